@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekmill.llm import exact_dedup, sharding, url_filter
+from seekmill.llm import exact_dedup, jaccard, langid, line_dedup, packing, sharding, token_files, url_filter
+from seekmill.llm.storage import new_path
 
 #: Sites of the list, each under three endings, and the days they were added (+) or removed (-).
 LISTED_SITES = {
@@ -60,6 +61,49 @@ FROM caps c LEFT JOIN hits h ON h.page_id = c.page_id AND h.k = 1
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.apply_line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+often AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT k.*, o.keeper IS NOT NULL AND k.doc_id <> o.keeper AS dropped FROM keyed k LEFT JOIN often o USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out()))
+    out = langid.identify(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_char", "rejected")
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    out = token_files.read_tokens(spark, path)
+    return out.select("doc_id", "start", "n_tokens", token_files.tokens_crc32("tokens").alias("ids_crc32"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -76,5 +120,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op5_exact_dedup": op5_exact_dedup, "op8_sharding": op8_sharding}
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_packing": op6_packing,
+    "op7_token_files": op7_token_files,
+    "op8_sharding": op8_sharding,
+}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL}

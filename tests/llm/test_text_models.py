@@ -1,0 +1,193 @@
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from seekmill.llm import components, jaccard, langid, queries, shingles
+
+
+def sets_of(rows):
+    return {i: frozenset(shingles.shingle_set(t).tolist()) for i, t in rows if i is not None}
+
+
+def brute(rows, threshold=0.8):
+    sets = sets_of(rows)
+    ids = sorted(sets)
+    links, parent = Counter(), {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            n = len(sets[i] & sets[j])
+            if n and n >= threshold * len(sets[i] | sets[j]) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return {(i, find(i), links[i]) for i in ids}
+
+
+def join(df, **k):
+    return {(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(df, **k).collect()}
+
+
+def test_bands_reach_the_recall():
+    b, r = jaccard.bands_for(0.8, 0.999)
+    assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= 216
+
+
+def test_shingles_against_a_plain_version():
+    words = "The quick, brown  fox jumped\nover It".replace(",", "").lower().split()
+    assert len(shingles.shingle_set("The quick, brown  fox jumped\nover It")) == len(words) - 4
+    a, b = shingles.shingle_set("x a b c d e"), shingles.shingle_set("A b. c d e")
+    assert len(np.intersect1d(a, b)) == 1
+    assert len(shingles.shingle_set(None)) == len(shingles.shingle_set(" ... ")) == 0
+    assert len(shingles.shingle_set("one two")) == 1
+    assert np.array_equal(shingles.shingle_set("é" * 3), shingles.shingle_set("É" * 3))
+
+
+def test_common_counts():
+    r = np.random.default_rng(1)
+    a = [np.unique(r.integers(0, 90, 60).astype(np.uint64)) for _ in range(9)]
+    b = [np.unique(r.integers(0, 90, 40).astype(np.uint64)) for _ in range(7)]
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert jaccard.common_counts(a, b, columns=16).tolist() == want
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_join_against_brute_force(spark, block):
+    r = np.random.default_rng(2)
+    rows, i = [], 0
+    for size in (1, 2, 5, 40):
+        base = [f"w{x}" for x in r.integers(0, 5000, 120)]
+        for _ in range(size):
+            t = list(base)
+            for at in r.integers(0, 120, r.integers(0, 4)):
+                t[at] = f"v{r.integers(0, 5000)}"
+            rows.append((i := i + 1, " ".join(t)))
+    rows += [(i + k, " ".join(f"u{x}" for x in r.integers(0, 5000, 60))) for k in range(1, 20)]
+    rows += [(900, rows[3][1]), (901, rows[3][1]), (902, ""), (903, None), (904, "two words"), (905, "Two, words!"), (None, rows[3][1])]
+    df = spark.createDataFrame([(a, b, 0) for a, b in rows], "doc_id long, text string, n int")
+    assert join(df, block=block) == brute(rows)
+
+
+def test_join_odd_tables(spark):
+    schema = "doc_id long, text string, band string"
+    assert join(spark.createDataFrame([], schema)) == set()
+    rows = [(1, "a b c d e f", None), (1, "a b c d e f", None), (2, "a b c d e f", ""), (None, "a b c d e f", "")]
+    assert join(spark.createDataFrame(rows, schema)) == {(1, 1, 1), (2, 1, 1)}
+    left = jaccard.drop_near_copies(spark.createDataFrame(rows[1:], schema))
+    assert left.columns == ["doc_id", "text", "band"] and sorted(map(repr, (r["doc_id"] for r in left.collect()))) == ["1", "None"]
+
+
+def test_join_over_the_table(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in queries.table(spark, sf, "documents").collect()]
+    got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in queries.op4_ngram_jaccard_join(spark, sf).collect()}
+    assert got == brute(rows)
+
+
+def test_components(spark):
+    r = np.random.default_rng(4)
+    edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(50)] + [(5000, 5000 + k) for k in range(1, 60)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = {(r["node"], r["component"]) for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(x, find(x)) for x in parent}
+
+
+# --- language identification
+
+
+def plain_kneser_ney(train, text, vocab, order=4):
+    """An interpolated Kneser-Ney model straight from its formula."""
+    grams = defaultdict(Counter)
+    for k in langid.grams(train):
+        for key in k.tolist():
+            grams[order][tuple((key >> 16 * j) & 0xFFFF for j in range(order - 1, -1, -1))] += 1
+    for k in range(order - 1, 0, -1):
+        for g in grams[k + 1]:
+            grams[k][g[1:]] += 1
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / vocab
+        once, twice = sum(n == 1 for n in grams[k].values()), sum(n == 2 for n in grams[k].values())
+        d = min(0.95, max(0.1, once / (once + 2 * twice))) if once + twice else 0.5
+        same = {x: n for x, n in grams[k].items() if x[:-1] == g[:-1]}
+        if not same:
+            return p(g[1:])
+        total = sum(same.values())
+        return max(grams[k][g] - d, 0) / total + d * len(same) / total * p(g[1:])
+
+    bits = [-math.log2(p(tuple((key >> 16 * j) & 0xFFFF for j in range(order - 1, -1, -1)))) for k in langid.grams(text) for key in k.tolist()]
+    return sum(bits) / len(bits)
+
+
+def model_of(texts):
+    counts = {}
+    for lang, t in texts.items():
+        counts[lang] = np.unique(np.concatenate(list(langid.grams(t))), return_counts=True)
+    return langid.fit(sorted(texts), counts)
+
+
+def test_entropy_is_that_of_the_formula():
+    texts = {"a": "the cat sat on the mat and the rat", "b": "der hund und die katze und das haus"}
+    m = model_of(texts)
+    vocab = len({c for t in texts.values() for c in langid.codes(t).tolist()} | {langid.BLANK}) + 1
+    for t in ("the cat", "das katzenhaus zzz", "é", "mat  mat, 99 mat"):
+        assert m.entropy(t) == pytest.approx([plain_kneser_ney(texts[x], t, vocab) for x in m.languages], abs=1e-4)
+
+
+def test_segments_do_not_change_a_long_text(monkeypatch):
+    m = model_of({"a": "the cat sat on the mat", "b": "und das haus"})
+    t = "The cat, 12 sat on!  a 𝔸 mat "
+    whole = m.entropy(t)
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        assert m.entropy(t) == pytest.approx(whole)
+    assert m.entropy("1 2 3") is None and m.entropy(None) is None and m.entropy("") is None
+
+
+def test_identify_odd_tables(spark):
+    schema = "doc_id long, text string, lang string, score string"
+    empty = spark.createDataFrame([], schema)
+    none = langid.train(empty)
+    rows = spark.createDataFrame([(1, None, "en", ""), (None, "the cat", None, ""), (2, "", "en", ""), (2, "77", "en", "")], schema)
+    assert {r["lang_pred"] for r in langid.identify(rows, none).collect()} == {"und"}
+    data = spark.createDataFrame([(k, "the cat sat on the mat " * 5, "en", "") for k in range(20)] + [(50 + k, "le chat est sur la table " * 5, "fr", "") for k in range(20)], schema)
+    m = langid.train(data)
+    got = langid.identify(rows, m).collect()
+    assert [(r["doc_id"], r["lang_pred"], r["rejected"]) for r in got] == [(1, "und", True), (None, "en", False), (2, "und", True), (2, "und", True)]
+    assert all(0 <= r["score"] <= 1 for r in got)
+    left = langid.drop_unrecognised(data.unionByName(rows), m)
+    assert left.columns == data.columns and left.count() == 41
+    assert langid.identify(empty, m).collect() == []
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["lang"] for r in queries.table(spark, sf, "documents").collect()}
+    out = queries.op3_language_id(spark, sf).collect()
+    assert len(out) == len(truth)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
+    held = [r for r in out if r["held_out"]]
+    right = sum(r["lang_pred"] == truth[r["doc_id"]] for r in held)
+    assert right / len(held) > 0.97
+    assert sum(r["rejected"] and r["lang_pred"] != "und" for r in out) <= 0.01 * len(out)

@@ -13,7 +13,7 @@ cross-entropy above which a text is rejected: midway between the worst genuine t
 that other languages' texts reach under that model, and never below the worst genuine text with a tenth added.
 
 Cases: a null text or one without letters gets ``und``, score 0 and is rejected; without labelled
-rows every text is ``und``; rows with null language or id teach nothing; repeated rows are each
+rows every text is ``und`` but those with letters are not rejected; rows with null language or id teach nothing; repeated rows are each
 answered; whole texts are read in segments, so long ones need no more memory; other columns are ignored.
 """
 
@@ -126,7 +126,7 @@ class Model:
         total, n, letters = np.zeros(len(self.languages)), 0, False
         for key in grams(text or ""):
             letters = letters or bool(((key & np.uint64(0xFFFF)) != BLANK).any())
-            total += self._bits(key, ORDER)
+            total += self._bits(key, ORDER) if self.languages else 0
             n += len(key)
         return total / n if letters else None
 
@@ -147,7 +147,7 @@ class Model:
     def decide(self, bits: np.ndarray | None) -> tuple[str, float, float | None, bool]:
         """(language, score, cross-entropy, rejected)."""
         if bits is None or not self.languages:
-            return "und", 0.0, None, True
+            return "und", 0.0, None, bits is None
         best = int(bits.argmin())
         score = 1 / np.exp2(-self.sharpness * (bits - bits[best])).sum()
         rejected = self.limits is not None and bits[best] > self.limits[best]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekmill.llm import exact_dedup, jaccard, langid, line_dedup, packing, sharding, token_files, url_filter
+from seekmill.llm import bpe, exact_dedup, jaccard, langid, line_dedup, packing, sharding, token_files, topk, url_filter
 from seekmill.llm.storage import new_path
 
 #: Sites of the list, each under three endings, and the days they were added (+) or removed (-).
@@ -120,6 +120,25 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
@@ -129,5 +148,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
+    "op9_top_k_search": op9_top_k_search,
+    "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_top_k_search": OP9_SQL}

@@ -45,4 +45,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` doesn't keep; columns as they were."""
     gone = exact_dedup(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (_digest(text_col) == gone["_gone_digest"]), "left_anti")
+    # what goes grows with the documents, so it is never broadcast, however little it is here
+    return docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_gone_id"]) & (_digest(text_col) == gone["_gone_digest"]), "left_anti")

@@ -257,7 +257,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = SIZE, reca
     wanted = units.groupBy("rep").agg(F.collect_list(F.struct("unit", "bi", "bj", "own", "kind")).alias("units"))
     # one row a representative and its blocks; texts move once, to meet them
     wanted = wanted.join(reps.select("rep", "mult", "bands"), "rep").select(F.col("rep").alias("doc_id"), "mult", "bands", "units")
-    shipped = texts.join(wanted, "doc_id").select("doc_id", "text", "mult", "bands", "units").mapInArrow(_expand(size), EXPANDED)
+    shipped = texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "mult", "bands", "units").mapInArrow(_expand(size), EXPANDED)
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = shipped.repartition(count, "kind", "unit", "bi", "bj").sortWithinPartitions("kind", "unit", "bi", "bj", "rep")
     found = materialize(met.mapInArrow(_verify(threshold), VERIFIED))
@@ -277,4 +277,5 @@ def drop_near_copies(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc
     """``docs`` with the least doc_id of each class; rows with null ids stay; columns as they were."""
     classes = jaccard_join(docs, threshold, id_col=id_col, text_col=text_col, **options)
     gone = classes.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+    # what goes grows with the documents, so it is never broadcast, however little it is here
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone_id"], "left_anti")

@@ -49,3 +49,35 @@ def vector_blocks(df: DataFrame) -> DataFrame:
 def six_digits(weight: Column) -> Column:
     """A weight as text files keep it: six significant digits."""
     return F.format_string("%.5e", weight).cast("double")
+
+
+def trie_bytes(words: dict[str, int]) -> bytes:
+    """A dictionary in the binary snapshot layout: header, word list, then the nodes of its trie in
+    preorder, children by character. For dictionaries that fit one file."""
+    entries = [(w.encode(), f) for w, f in words.items()]
+    head = b"TRIE" + struct.pack("<IQ", 1, len(entries)) + b"".join(struct.pack("<I", len(w)) + w + struct.pack("<Q", f) for w, f in entries)
+    nodes: list[bytes] = []
+
+    def visit(below: list[tuple[str, int]]) -> None:
+        own = [f for rest, f in below if not rest]
+        children: dict[str, list[tuple[str, int]]] = {}
+        for rest, f in below:
+            if rest:
+                children.setdefault(rest[0], []).append((rest[1:], f))
+        nodes.append(struct.pack("<BQI", bool(own), own[-1] if own else 0, len(children)))
+        for ch in sorted(children):
+            key = ch.encode()
+            nodes.append(struct.pack("<H", len(key)) + key)
+            visit(children[ch])
+
+    visit(list(words.items()))
+    return head + b"".join(nodes)
+
+
+def page_blocks(df: DataFrame) -> DataFrame:
+    """doc_id, block, size: documents in the page store layout with the block's size in bytes. Text is
+    escaped, so every block is well-formed."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    line = lambda tag, c: F.concat(F.lit(f"  <{tag}>"), c, F.lit(f"</{tag}>\n"))
+    block = F.concat(F.lit("<doc>\n"), line("id", F.col("doc_id").cast("string")), line("link", safe("link")), line("title", safe("title")), line("content", safe("content")), F.lit("</doc>\n"))
+    return df.select("doc_id", block.alias("block")).withColumn("size", F.octet_length("block").cast("long"))

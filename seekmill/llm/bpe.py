@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding with DataFrame functions.
 
 A regular expression cuts texts into words, each encoded alone. A word's bytes are folded: every
-step finds the adjacent pair whose concatenation has the lowest rank (leftmost of equals) and joins
-it, until no pair has a rank. The ranks are literals: arrays that form a perfect hash of the
-64-bit hashes of all ranked pieces, so a lookup costs two array reads and never scans a map.
+step finds the adjacent pair of pieces whose concatenation has the lowest rank (leftmost of equals)
+and joins it, until no pair has a rank. The rank map is a literal: an array in which a perfect hash
+of (left piece, right piece) finds the joined piece, so a lookup is two array reads and no scan.
 
-Frequent words are folded once: a Misra-Gries style sketch over all words of all texts names up to
-``dictionary`` of them, and their ids go into a second literal hash. Words outside it are folded
-where they stand, which needs no shuffle and gives the same ids. Decoding joins the pieces' bytes.
+Distinct frequent words are folded once: a Misra-Gries style sketch over all words of all texts names
+up to ``dictionary`` of them. Their ids, and the vocabulary's own pieces, form a second literal whose
+words are compared whole, so a hit is exact. Words outside it are folded where they stand, which needs
+no shuffle and gives the same ids. Decoding joins the pieces' bytes.
 
 Cases: a null or empty text has no ids; very long texts and words are encoded whole; repeated and
 null doc_ids are encoded row by row; an empty table gives an empty result; other columns are ignored.
@@ -37,53 +38,45 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def spark_hash(data: bytes) -> int:
-    """Spark's ``xxhash64`` of a binary or string value."""
+    """Spark's ``xxhash64`` of a binary or string value, or of a long's eight bytes."""
     h = xxhash.xxh64_intdigest(data, seed=42)
     return h - (1 << 64) if h >> 63 else h
 
 
 @dataclass
 class PerfectHash:
-    """Slots for a fixed set of 64-bit hashes: ``slot = (h + d * step(h)) mod size`` with a
-    displacement ``d`` per bucket of hashes."""
+    """Slots for a fixed set of distinct 64-bit hashes: ``slot = (h >> shift ^ moves[h & low]) & high``."""
 
     size: int
-    shifts: list[int]
+    shift: int
+    moves: list[int]
     order: list[int]  # which key is in each slot, -1 if none
-    hashes: list[int]
 
     @classmethod
     def of(cls, hashes: list[int]) -> PerfectHash:
-        n = len(hashes)
-        size = 1 << max(3, (n + n // 3).bit_length())
-        buckets: list[list[int]] = [[] for _ in range(max(2, size // 4))]
+        size = 1 << max(3, (len(hashes) + len(hashes) // 4).bit_length())
+        buckets: list[list[int]] = [[] for _ in range(size // 4)]
         for k, h in enumerate(hashes):
-            buckets[(h >> 40) % len(buckets)].append(k)
-        shifts, order = [0] * len(buckets), [-1] * size
+            buckets[h & (size // 4 - 1)].append(k)
+        for shift in range(20, 40):
+            bases = [[(hashes[k] >> shift) & (size - 1) for k in keys] for keys in buckets]
+            if all(len(set(b)) == len(b) for b in bases):
+                break
+        else:
+            raise ValueError("two keys have one hash")
+        moves, order = [0] * len(buckets), [-1] * size
         for b in sorted(range(len(buckets)), key=lambda b: -len(buckets[b])):
-            keys = buckets[b]
-            if not keys:
+            if not buckets[b]:
                 break
-            spots = [(hashes[k] % size, (hashes[k] >> 20) % (size // 2) * 2 + 1) for k in keys]
-            d = 0
-            while True:
-                at = [(h + d * step) % size for h, step in spots]
-                if len(set(at)) == len(at) and all(order[x] < 0 for x in at):
-                    break
-                d += 1
-                if d > 1 << 20:
-                    raise ValueError("two keys have one hash")
-            shifts[b] = d
-            for k, x in zip(keys, at, strict=True):
-                order[x] = k
-        return cls(size, shifts, order, [hashes[k] if k >= 0 else 0 for k in order])
-
-    def lookup(self, h: Column, found: Callable[[Column], Column]) -> Column:
-        """``found(slot)`` if the hash ``h`` is in the set, else null."""
-        d = F.get(_numbers(self.shifts, "int"), F.pmod(F.shiftright(h, 40), F.lit(len(self.shifts))).cast("int"))
-        step = F.pmod(F.shiftright(h, 20), F.lit(self.size // 2)) * 2 + 1
-        slot = ((F.pmod(h, F.lit(self.size)) + d * step) % self.size).cast("int")
-        return _let(slot, lambda s: F.when(F.get(_numbers(self.hashes, "bigint"), s) == h, found(s)))
+            move = next(d for d in range(size) if all(order[x ^ d] < 0 for x in bases[b]))
+            moves[b] = move
+            for k, x in zip(buckets[b], bases[b], strict=True):
+                order[x ^ move] = k
+        return cls(size, shift, moves, order)
+
+    def slot(self, h: Column) -> Column:
+        move = F.get(_numbers(self.moves, "int"), h.bitwiseAND(F.lit(len(self.moves) - 1)).cast("int"))
+        return F.shiftright(h, self.shift).bitwiseXOR(move.cast("long")).bitwiseAND(F.lit(self.size - 1)).cast("int")
 
 
 def _numbers(values, kind: str) -> Column:
@@ -96,46 +89,64 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+BITS = 20  # of a piece's rank
+NONE = 1 << 62
+LAST = (1 << 31) - 1  # in place of the rank of a pair that has none
+MARK = "\uf8ff"  # between the literal dictionary's words; words with it are folded in place
+
+
 class Ranks:
-    """The ranked pieces of a vocabulary as columns."""
+    """The ranked pieces of a vocabulary, whose ranks are their ids, as columns."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.pieces = sorted(ranks, key=ranks.__getitem__)
-        self.ranks = [ranks[p] for p in self.pieces]
-        self.table = PerfectHash.of([spark_hash(p) for p in self.pieces])
-        self.by_slot = [self.ranks[k] if k >= 0 else -1 for k in self.table.order]
-
-    def rank(self, h: Column) -> Column:
-        """Rank of the piece with hash ``h``; null if it has none."""
-        return self.table.lookup(h, lambda s: F.get(_numbers(self.by_slot, "int"), s))
+        self.ranks = ranks
+        pairs = [(ranks[p[:i]] << BITS | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
+        self.table = PerfectHash.of([spark_hash(key.to_bytes(8, "little")) for key, _ in pairs])
+        self.joined = [pairs[k][0] << BITS | pairs[k][1] if k >= 0 else NONE for k in self.table.order]
+        self.of_byte = [ranks[bytes([b])] for b in range(256)]
 
     def fold(self, word: Column) -> Column:
-        """Ids of one word (binary)."""
-        n = F.octet_length(word)
-        single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
+        """Ids of one word (string)."""
+        byte_pieces = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(_numbers(self.of_byte, "int"), F.ascii(c)))
 
-        def merge(p: Column, at: Column) -> Column:
-            return F.concat(F.slice(p, F.lit(1), at - 1), F.array(F.concat(F.get(p, at - 1), F.get(p, at))), F.slice(p, at + 2, F.size(p)))
+        def rank_all(keys: Column) -> Column:
+            # the key's bits cancel where the slot holds it, which leaves the rank
+            found = F.transform(keys, lambda k: F.get(_numbers(self.joined, "bigint"), self.table.slot(F.xxhash64(k))).bitwiseXOR(F.shiftleft(k, BITS)))
+            return F.transform(found, lambda r: F.when(r < (1 << BITS), r.cast("int")).otherwise(F.lit(LAST)))
+
+        def pair(left: Column, right: Column) -> Column:
+            return F.shiftleft(left.cast("long"), BITS).bitwiseOR(right.cast("long"))
+
+        # pieces, and for each the rank of it with the next; a step looks up the two pairs that it makes
+        first = _let(byte_pieces, lambda p: F.struct(p.alias("p"), rank_all(F.transform(p, lambda x, i: pair(x, F.get(p, i + 1)))).alias("r")))
 
         def step(state: Column, _: Column) -> Column:
-            p = state["p"]
-            hashes = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.xxhash64(F.concat(F.get(p, i - 1), F.get(p, i))))
-            ranks = F.transform(hashes, self.rank)
-            done = F.struct(p.alias("p"), F.lit(True).alias("done"))
-            best = _let(ranks, lambda r: F.coalesce(F.array_position(r, F.array_min(r)), F.lit(0)).cast("int"))
-            more = _let(best, lambda at: F.when(at > 0, F.struct(merge(p, at).alias("p"), F.lit(False).alias("done"))).otherwise(done))
-            return F.when(state["done"] | (F.size(p) < 2), done).otherwise(more)
-
-        start = F.struct(single.alias("p"), F.lit(False).alias("done"))
-        merged = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["p"])
-        split = F.transform(merged, lambda x: self.rank(F.xxhash64(x)))
-        return _let(self.rank(F.xxhash64(word)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(split))
+            p, r = state["p"], state["r"]
+
+            def join(m: Column, at: Column) -> Column:
+                made = rank_all(F.array(pair(F.get(p, at - 2), m), pair(m, F.get(p, at + 1))))
+                ranks = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), F.slice(made, F.when(at > 1, 1).otherwise(2), F.lit(2)), F.slice(r, at + 2, F.size(r)))
+                return F.struct(F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, F.size(p))).alias("p"), ranks.alias("r"))
+
+            best = lambda m: F.when(m == LAST, state).otherwise(_let(F.array_position(r, m).cast("int"), lambda at: join(m, at)))
+            return _let(F.array_min(r), best)
+
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), first, step, lambda s: s["p"])
+
+    def words(self) -> dict[str, list[int]]:
+        """The pieces that are text: a word equal to one has its rank as its only id."""
+        out = {}
+        for p, r in self.ranks.items():
+            try:
+                out[p.decode()] = [r]
+            except UnicodeDecodeError:
+                continue
+        return out
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ``ids``: their pieces, joined."""
-        size = max(self.ranks, default=0) + 1
-        hexes = [""] * size
-        for p, r in zip(self.pieces, self.ranks, strict=True):
+        hexes = [""] * (max(self.ranks.values(), default=0) + 1)
+        for p, r in self.ranks.items():
             hexes[r] = p.hex()
         pieces = F.split(F.lit(",".join(hexes)), ",")
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
@@ -146,6 +157,29 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(read_ranks(path))
 
 
+class Dictionary:
+    """Ids of known words as columns."""
+
+    def __init__(self, known: dict[str, list[int]]) -> None:
+        names = [w for w in known if MARK not in w]
+        self.table = PerfectHash.of([spark_hash(w.encode()) for w in names])
+        order = [names[k] if k >= 0 else "" for k in self.table.order]
+        self.names = F.split(F.lit(MARK.join(order)), MARK)
+        ids = [known[w] if w else [] for w in order]
+        self.starts = _numbers(np.cumsum([0, *map(len, ids)]).tolist(), "int")
+        self.ids = _numbers([i for x in ids for i in x], "int")
+
+    def slot(self, word: Column) -> Column:
+        return self.table.slot(F.xxhash64(word))
+
+    def holds(self, word: Column, slot: Column) -> Column:
+        return F.get(self.names, slot) == word
+
+    def at(self, slot: Column) -> Column:
+        first = F.get(self.starts, slot)
+        return F.slice(self.ids, first + 1, F.get(self.starts, slot + 1) - first)
+
+
 def frequent_words(words: DataFrame, dictionary: int, tracked: int, groups: int = 64) -> list[str]:
     """Frequent values of the column ``word``, by sketches merged in two levels."""
     part = words.groupBy((F.spark_partition_id() % groups).alias("g")).agg(F.expr(f"approx_top_k_accumulate(word, {tracked})").alias("s"))
@@ -153,29 +187,22 @@ def frequent_words(words: DataFrame, dictionary: int, tracked: int, groups: int
     return [x["item"] for x in (top and top["top"]) or []]
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, dictionary: int = 65_536, tracked: int = 262_144, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, rank_path: str, pattern: str, dictionary: int = 131_072, tracked: int = 262_144, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of every row of ``docs``."""
     spark = docs.sparkSession
     ranks = ranks_of(rank_path)
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    known: list[str] = []
+    known = ranks.words()
     if dictionary:
-        known = frequent_words(docs.select(F.explode(words).alias("word")), dictionary, tracked)
-    in_place = lambda w: ranks.fold(F.encode(w, "UTF-8"))
-    one = in_place
-    if known:
-        folded = spark.createDataFrame([(w,) for w in known], "word string").repartition(spark.sparkContext.defaultParallelism).select("word", in_place(F.col("word")).alias("ids")).collect()
-        table = PerfectHash.of([spark_hash(r["word"].encode()) for r in folded])
-        flat = np.concatenate([r["ids"] for r in folded]).tolist()
-        ends = np.cumsum([len(r["ids"]) for r in folded])
-        starts = [int(ends[k]) - len(folded[k]["ids"]) if k >= 0 else 0 for k in table.order]
-        sizes = [len(folded[k]["ids"]) if k >= 0 else 0 for k in table.order]
-
-        def one(w: Column) -> Column:
-            ready = _let(F.xxhash64(w), lambda h: table.lookup(h, lambda s: F.slice(_numbers(flat, "int"), F.get(_numbers(starts, "int"), s) + 1, F.get(_numbers(sizes, "int"), s))))
-            return F.coalesce(ready, in_place(w))
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.flatten(F.transform(words, one)).alias("ids"))
+        found = [(w,) for w in frequent_words(docs.select(F.explode(words).alias("word")), dictionary, tracked) if w not in known]
+        if found:
+            folded = spark.createDataFrame(found, "word string").repartition(spark.sparkContext.defaultParallelism).select("word", ranks.fold(F.col("word")).alias("ids"))
+            known |= {r["word"]: r["ids"] for r in folded.collect()}
+    ready = Dictionary(known)
+    cut = docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))
+    one = lambda w, slot: F.when(ready.holds(w, slot), ready.at(slot)).otherwise(ranks.fold(w))
+    ids = F.flatten(F.zip_with("words", F.transform("words", ready.slot), one))
+    return cut.select("doc_id", ids.alias("ids"))
 
 
 def decode(encoded: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:

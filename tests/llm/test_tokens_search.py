@@ -170,8 +170,8 @@ def reference_encoding():
 
 
 def test_spark_hash(spark):
-    row = spark.sql("select xxhash64('über'), xxhash64(X'00ff10')").first()
-    assert tuple(row) == (bpe.spark_hash("über".encode()), bpe.spark_hash(b"\x00\xff\x10"))
+    row = spark.sql("select xxhash64('über'), xxhash64(X'00ff10'), xxhash64(123456789012L)").first()
+    assert tuple(row) == (bpe.spark_hash("über".encode()), bpe.spark_hash(b"\x00\xff\x10"), bpe.spark_hash((123456789012).to_bytes(8, "little")))
 
 
 @pytest.mark.parametrize("dictionary", [0, 50])

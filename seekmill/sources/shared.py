@@ -1,19 +1,26 @@
-"""Cutting lineage in the folder that all executors share."""
+"""The folder that all executors share, and cutting lineage in it."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; in local mode, where it is unset, a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="seekmill-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in ``spark.checkpoint.dir``; local mode gets a temporary folder where it is unset."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="seekmill-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

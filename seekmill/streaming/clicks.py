@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from seekmill.operators.hot import click_counts, event_clicks
+from seekmill.sources.shared import shared_folder
 
 
 def stream_clicks(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -15,8 +18,9 @@ def stream_clicks(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def count_to_table(clicks: DataFrame, name: str, available_now: bool = True) -> StreamingQuery:
-    """Keeps the counts per document in the in-memory table ``name``; state is one row a clicked document."""
-    writer = click_counts(clicks).writeStream.outputMode("complete").format("memory").queryName(name)
+    """Keeps the counts per document in the in-memory table ``name``; state, in the shared folder, is one row a clicked document."""
+    state = f"{shared_folder(clicks.sparkSession)}/stream-{uuid.uuid4().hex}"
+    writer = click_counts(clicks).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", state)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -9,8 +9,9 @@ lowest cross-entropy a character wins.
 Learning uses a bounded sample: per language the ``per_language`` labelled rows of lowest hash,
 those of at most ``LONG`` characters first; a fifth of them is set aside to calibrate. Calibration
 picks the sharpness of the score (softmax of the negative cross-entropies) and, per language, the
-cross-entropy above which a text is rejected: midway between the worst genuine text and the best
-that other languages' texts reach under that model, and never below the worst genuine text with a tenth added.
+cross-entropy above which a text is rejected: the median of other languages' texts under that model, so
+a rejected text fits its best language no better than a foreign text does, and never below the worst
+genuine text with a tenth added. Short texts get ``SLACK / sqrt(characters)`` more, three standard errors.
 
 Cases: a null text or one without letters gets ``und``, score 0 and is rejected; without labelled
 rows every text is ``und`` but those with letters are not rejected; rows with null language or id teach nothing; repeated rows are each
@@ -32,7 +33,8 @@ SEGMENT = 1 << 20
 LONG = 20_000
 BLANK = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
-FLOOR = 1.25
+FLOOR = 1.5
+SLACK = 9.0
 
 
 def _letters() -> np.ndarray:
@@ -123,12 +125,16 @@ class Model:
 
     def entropy(self, text: str | None) -> np.ndarray | None:
         """Bits a character under each language; None without letters."""
+        return self.measure(text)[0]
+
+    def measure(self, text: str | None) -> tuple[np.ndarray | None, int]:
+        """The entropies and how many characters they are of."""
         total, n, letters = np.zeros(len(self.languages)), 0, False
         for key in grams(text or ""):
             letters = letters or bool(((key & np.uint64(0xFFFF)) != BLANK).any())
             total += self._bits(key, ORDER) if self.languages else 0
             n += len(key)
-        return total / n if letters else None
+        return (total / n if letters else None), n
 
     def _bits(self, key: np.ndarray, order: int) -> np.ndarray:
         if not order:
@@ -144,13 +150,13 @@ class Model:
             total += self._bits(rest & np.uint64((1 << 16 * (order - 1)) - 1), order - 1)
         return total
 
-    def decide(self, bits: np.ndarray | None) -> tuple[str, float, float | None, bool]:
-        """(language, score, cross-entropy, rejected)."""
+    def decide(self, bits: np.ndarray | None, n: int) -> tuple[str, float, float | None, bool]:
+        """(language, score, cross-entropy, rejected) of a text with these entropies over ``n`` characters."""
         if bits is None or not self.languages:
             return "und", 0.0, None, bits is None
         best = int(bits.argmin())
         score = 1 / np.exp2(-self.sharpness * (bits - bits[best])).sum()
-        rejected = self.limits is not None and bits[best] > self.limits[best]
+        rejected = self.limits is not None and bits[best] > self.limits[best] + SLACK / np.sqrt(n)
         return self.languages[best], float(score), float(bits[best]), bool(rejected)
 
 
@@ -220,7 +226,7 @@ def calibrate(model: Model, truth: list[int], bits: np.ndarray) -> Model:
         own, other = bits[y == i, i], bits[y != i, i]
         if own.size:
             worst = own.max()
-            model.limits[i] = max(worst * 1.1, (worst + other.min()) / 2 if other.size else worst * FLOOR)
+            model.limits[i] = max(worst * 1.1, float(np.median(other)) if other.size else worst * FLOOR)
     return model
 
 
@@ -283,7 +289,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            out = [m.decide(m.entropy(t.as_py())) for t in batch.column(at)]
+            out = [m.decide(*m.measure(t.as_py())) for t in batch.column(at)]
             lang, score, bits, rejected = zip(*out, strict=True) if out else ((), (), (), ())
             found = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *found], names=[*carry, *new])

@@ -181,6 +181,14 @@ def test_identify_odd_tables(spark):
     assert langid.identify(empty, m).collect() == []
 
 
+def test_texts_in_no_known_language_are_rejected(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    m = langid.train(docs.where(~queries.held_out()))
+    for t in ("Привет, как дела? " * 20, "qzxj wvkq jjx zzq " * 20, "日本語のテキスト" * 20):
+        assert m.decide(*m.measure(t))[3], t
+    assert not m.decide(*m.measure("the and of"))[3]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r["doc_id"]: r["lang"] for r in queries.table(spark, sf, "documents").collect()}

@@ -197,7 +197,8 @@ def apply_line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id
     rows = _text_rows(docs, id_col, text_col)
     drops = dropped_lines(docs, min_chars, min_docs, id_col, text_col).withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
     n_lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = rows.join(drops, rows["doc_id"].eqNullSafe(drops["_d"]) & (rows["text_key"] == drops["_k"]), "left")
+    # the drops grow with the documents, so they are never broadcast, however few they are here
+    out = rows.join(drops.hint("merge"), rows["doc_id"].eqNullSafe(drops["_d"]) & (rows["text_key"] == drops["_k"]), "left")
     out = out.withColumn("n_lines", n_lines).withColumn("keep_bitmap", _bitmap("n_lines", "dropped"))
     kept = F.coalesce(_kept(F.when(F.col("keep_bitmap").isNotNull(), F.col("text")), F.col("keep_bitmap")), F.col("text"))
     return out.select("doc_id", "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), "keep_bitmap", kept.alias("kept_text"))

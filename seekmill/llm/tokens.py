@@ -1,8 +1,8 @@
 """Encoders for whole texts that remember what they have encoded.
 
 Both pre-tokenizers cut texts into pieces that are encoded separately, so a text's ids are the
-ids of its pieces in order. Each Python worker keeps the ids of pieces it has met; a full memory is
-emptied, which changes no result.
+ids of its pieces in order. Each Python worker keeps the ids of pieces it met of late; forgetting
+changes no result.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 import unicodedata
 
 import numpy as np
 import regex
 
-MEMORY = 400_000
+MEMORY = 300_000
 #: The pre-tokenizer patterns of the two vocabularies, contractions in either case for the lower-casing one.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WORD_PATTERN = r"""'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
@@ -28,12 +29,29 @@ def _bytes_of_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Recent:
+    """A bounded memory of two generations: what is used in one lives on into the next."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The ``keys`` that are not in ``new``, after those in ``old`` have moved there."""
+        if len(self.new) > MEMORY:
+            self.new, self.old = {}, self.new
+        lacking = keys.difference(self.new)
+        old = self.old
+        found = {k: old[k] for k in lacking if k in old}
+        self.new.update(found)
+        return list(lacking.difference(found))
+
+
 class _Memo:
     """Little-endian uint32 ids of texts, as bytes."""
 
     def __init__(self) -> None:
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = Recent()
 
     def chunks(self, text: str) -> list[str]:
         raise NotImplementedError
@@ -43,16 +61,10 @@ class _Memo:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
-        missing = set().union(*cut) if cut else set()
-        missing.difference_update(self.words)
+        missing = self.words.missing(set().union(*cut))
         if missing:
-            if len(self.words) > MEMORY:
-                self.words.clear()
-                missing = set().union(*cut)
-            if len(self.pieces) > MEMORY:
-                self.pieces.clear()
-            self.fill(sorted(missing))
-        get = self.words.__getitem__
+            self.fill(missing)
+        get = self.words.new.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
@@ -91,15 +103,17 @@ class BytePairs(_Memo):
         return _SAFE.split(text)
 
     def fill(self, words: list[str]) -> None:
-        one = self._one
+        one, new = self._one, self.words.new
         for w in words:
-            self.words[w] = np.array(one(w), "<u4").tobytes()
+            new[w] = np.array(one(w), "<u4").tobytes()
 
 
 #: A space next to other white space; and the places where a single space begins a piece.
 _BY_SPACE = regex.compile(r" \s|\s ")
 _SAFE = regex.compile(r"(?<=\S)(?= \S)")
 _WORDS = regex.compile(WORD_PATTERN)
+_LATIN = re.compile("[\\x00-\u024f]*").fullmatch
+_TAILS = frozenset(",.:;!?")
 
 
 class WordPairs(_Memo):
@@ -112,27 +126,54 @@ class WordPairs(_Memo):
 
         self._library = Tokenizer.from_file(path)
         self._library.encode_special_tokens = True
+        self.pieces = Recent()
+        vocab = self._library.get_vocab(with_added_tokens=True)
+        self._ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self._ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def chunks(self, text: str) -> list[str]:
         # nothing reaches across a blank: neither composition nor a piece; extra blanks give empty words
         return text.replace("\n", " ").split(" ")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces go to the library many at a time, with blanks between: each ends in a token that ends a word."""
+        out: list[bytes] = []
+        groups = [pieces[at : at + 512] for at in range(0, len(pieces), 512)]
+        for group, e in zip(groups, self._library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self._ends_word[ids]) + 1
+            if len(ends) != len(group) or (len(ends) and ends[-1] != len(ids)):
+                out += self._each(group)
+                continue
+            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def fill(self, words: list[str]) -> None:
         whole, cut = [], []
         for w in words:
-            if w.isascii() or ("İ" not in w and unicodedata.is_normalized("NFC", w)):
-                cut.append((w, [p.lower() if p.isascii() else p for p in _WORDS.findall(w)]))
-            else:
+            plain = w.isascii()
+            if not plain and ("İ" in w or not unicodedata.is_normalized("NFC", w)):
                 whole.append(w)
-        pieces = self.pieces
-        new = sorted({p for _, ps in cut for p in ps if p not in pieces})
-        pieces.update(zip(new, self._ids(new), strict=True))
+                continue
+            if plain or _LATIN(w):  # these letters change case in the same way everywhere
+                if w.isalpha():
+                    cut.append((w, (w.lower(),)))
+                elif w[-1:] in _TAILS and w[:-1].isalpha():
+                    cut.append((w, (w[:-1].lower(), w[-1])))
+                else:
+                    cut.append((w, [p.lower() for p in _WORDS.findall(w)]))
+            else:
+                cut.append((w, _WORDS.findall(w)))
+        new = self.pieces.missing({p for _, ps in cut for p in ps})
+        pieces, known = self.pieces.new, self.words.new
+        pieces.update(zip(new, self._pieces(new), strict=True))
         for w, ps in cut:
-            self.words[w] = b"".join([pieces[p] for p in ps])
-        self.words.update(zip(whole, self._ids(whole), strict=True))
+            known[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
+        known.update(zip(whole, self._each(whole), strict=True))
 
 
 @functools.lru_cache(maxsize=4)

@@ -22,8 +22,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,14 +75,30 @@ class PerfectHash:
                 order[x ^ move] = k
         return cls(size, shift, moves, order)
 
-    def slot(self, h: Column) -> Column:
-        move = F.get(_numbers(self.moves, "int"), h.bitwiseAND(F.lit(len(self.moves) - 1)).cast("int"))
+    def slot(self, h: Column, literals: Literals) -> Column:
+        move = F.get(literals.use(self.moves, pa.int32()), h.bitwiseAND(F.lit(len(self.moves) - 1)).cast("int"))
         return F.shiftright(h, self.shift).bitwiseXOR(move.cast("long")).bitwiseAND(F.lit(self.size - 1)).cast("int")
 
 
-def _numbers(values, kind: str) -> Column:
-    """A literal array: the optimizer folds the split and the cast."""
-    return F.split(F.lit(",".join(map(str, values)) or "0"), ",").cast(f"array<{kind}>")
+class Literals:
+    """Large arrays as literals of one plan. They are scalar subqueries of a local table, whose values Spark
+    makes literals when it runs, so neither the plan nor its printed form holds them. Every use is a column
+    of its own that is read once, so the optimizer puts it where it is used and no row carries it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self._spark = spark
+        self._arrays: dict[int, tuple[str, list, pa.DataType]] = {}
+        self._uses: list[tuple[str, str]] = []
+
+    def use(self, values: list, kind: pa.DataType) -> Column:
+        name, _, _ = self._arrays.setdefault(id(values), (f"a{len(self._arrays)}", values, kind))
+        self._uses.append((f"_literal{len(self._uses)}", name))
+        return F.col(self._uses[-1][0])
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        table = pa.table({name: pa.array([values], pa.list_(kind)) for name, values, kind in self._arrays.values()})
+        local = self._spark.createDataFrame(table)
+        return df.select("*", *[local.select(name).scalar().alias(alias) for alias, name in self._uses])
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -92,7 +109,6 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 BITS = 20  # of a piece's rank
 NONE = 1 << 62
 LAST = (1 << 31) - 1  # in place of the rank of a pair that has none
-MARK = "\uf8ff"  # between the literal dictionary's words; words with it are folded in place
 
 
 class Ranks:
@@ -105,13 +121,13 @@ class Ranks:
         self.joined = [pairs[k][0] << BITS | pairs[k][1] if k >= 0 else NONE for k in self.table.order]
         self.of_byte = [ranks[bytes([b])] for b in range(256)]
 
-    def fold(self, word: Column) -> Column:
+    def fold(self, word: Column, literals: Literals) -> Column:
         """Ids of one word (string)."""
-        byte_pieces = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(_numbers(self.of_byte, "int"), F.ascii(c)))
+        byte_pieces = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(literals.use(self.of_byte, pa.int32()), F.ascii(c)))
 
         def rank_all(keys: Column) -> Column:
             # the key's bits cancel where the slot holds it, which leaves the rank
-            found = F.transform(keys, lambda k: F.get(_numbers(self.joined, "bigint"), self.table.slot(F.xxhash64(k))).bitwiseXOR(F.shiftleft(k, BITS)))
+            found = F.transform(keys, lambda k: F.get(literals.use(self.joined, pa.int64()), self.table.slot(F.xxhash64(k), literals)).bitwiseXOR(F.shiftleft(k, BITS)))
             return F.transform(found, lambda r: F.when(r < (1 << BITS), r.cast("int")).otherwise(F.lit(LAST)))
 
         def pair(left: Column, right: Column) -> Column:
@@ -148,7 +164,7 @@ class Ranks:
         hexes = [""] * (max(self.ranks.values(), default=0) + 1)
         for p, r in self.ranks.items():
             hexes[r] = p.hex()
-        pieces = F.split(F.lit(",".join(hexes)), ",")
+        pieces = F.split(F.lit(",".join(hexes)), ",")  # a literal, for the optimizer folds the split
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
@@ -158,26 +174,25 @@ def ranks_of(path: str) -> Ranks:
 
 
 class Dictionary:
-    """Ids of known words as columns."""
+    """Ids of known words as columns; a word is compared whole, so a hit is exact."""
 
     def __init__(self, known: dict[str, list[int]]) -> None:
-        names = [w for w in known if MARK not in w]
+        names = list(known)
         self.table = PerfectHash.of([spark_hash(w.encode()) for w in names])
-        order = [names[k] if k >= 0 else "" for k in self.table.order]
-        self.names = F.split(F.lit(MARK.join(order)), MARK)
-        ids = [known[w] if w else [] for w in order]
-        self.starts = _numbers(np.cumsum([0, *map(len, ids)]).tolist(), "int")
-        self.ids = _numbers([i for x in ids for i in x], "int")
+        self.names = [names[k] if k >= 0 else None for k in self.table.order]
+        ids = [known[w] if w is not None else [] for w in self.names]
+        self.starts = np.cumsum([0, *map(len, ids)]).tolist()
+        self.ids = [i for x in ids for i in x]
 
-    def slot(self, word: Column) -> Column:
-        return self.table.slot(F.xxhash64(word))
+    def slot(self, word: Column, literals: Literals) -> Column:
+        return self.table.slot(F.xxhash64(word), literals)
 
-    def holds(self, word: Column, slot: Column) -> Column:
-        return F.get(self.names, slot) == word
+    def holds(self, word: Column, slot: Column, literals: Literals) -> Column:
+        return F.get(literals.use(self.names, pa.string()), slot) == word
 
-    def at(self, slot: Column) -> Column:
-        first = F.get(self.starts, slot)
-        return F.slice(self.ids, first + 1, F.get(self.starts, slot + 1) - first)
+    def at(self, slot: Column, literals: Literals) -> Column:
+        first, end = F.get(literals.use(self.starts, pa.int32()), slot), F.get(literals.use(self.starts, pa.int32()), slot + 1)
+        return _let(first, lambda a: F.slice(literals.use(self.ids, pa.int32()), a + 1, end - a))
 
 
 def frequent_words(words: DataFrame, dictionary: int, tracked: int, groups: int = 64) -> list[str]:
@@ -196,13 +211,16 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, dictionary: int = 131_
     if dictionary:
         found = [(w,) for w in frequent_words(docs.select(F.explode(words).alias("word")), dictionary, tracked) if w not in known]
         if found:
-            folded = spark.createDataFrame(found, "word string").repartition(spark.sparkContext.defaultParallelism).select("word", ranks.fold(F.col("word")).alias("ids"))
+            own = Literals(spark)
+            ids = ranks.fold(F.col("word"), own)
+            folded = own.attach(spark.createDataFrame(found, "word string").repartition(spark.sparkContext.defaultParallelism)).select("word", ids.alias("ids"))
             known |= {r["word"]: r["ids"] for r in folded.collect()}
     ready = Dictionary(known)
-    cut = docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))
-    one = lambda w, slot: F.when(ready.holds(w, slot), ready.at(slot)).otherwise(ranks.fold(w))
-    ids = F.flatten(F.zip_with("words", F.transform("words", ready.slot), one))
-    return cut.select("doc_id", ids.alias("ids"))
+    literals = Literals(spark)
+    # the words are read once, else they and the literals would stay columns below the fold
+    one = lambda w: _let(ready.slot(w, literals), lambda at: F.when(ready.holds(w, at, literals), ready.at(at, literals)).otherwise(ranks.fold(w, literals)))
+    ids = F.flatten(F.transform("words", one))
+    return literals.attach(docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))).select("doc_id", ids.alias("ids"))
 
 
 def decode(encoded: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:

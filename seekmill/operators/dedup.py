@@ -60,6 +60,20 @@ def near_pairs(hashes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFra
     return found.where(far <= distance).select(F.col("l.doc_id").alias("i"), F.col("r.doc_id").alias("j"), far.cast("int").alias("distance")).distinct()
 
 
+def near_links(hashes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
+    """``near_pairs``, and for each further document of a fingerprint a row (the fingerprint's first document, it, 0).
+
+    No document is missing and rows grow with documents: two documents are near if their first documents
+    are the same or a pair here, whose distance is theirs. Null doc_ids are left out; rows that repeat a
+    doc_id and fingerprint are one document.
+    """
+    held = checkpointed(hashes)
+    shared = held.groupBy("h").agg(F.min("doc_id").alias("i"), F.count("*").alias("n")).where(F.col("n") > 1)
+    # one row a fingerprint, which may have very many documents: a join by merging can split those
+    members = held.join(shared.hint("merge"), "h").where(F.col("i") < F.col("doc_id")).select("i", F.col("doc_id").alias("j"), F.lit(0).alias("distance")).distinct()
+    return near_pairs(held, distance, blocks).unionByName(members)
+
+
 def keep_first(hashes: DataFrame, distance: int = 3, blocks: int = 5, rounds: int = 200) -> DataFrame:
     """doc_id of the documents that stay: in id order, a document goes if one that stays is near.
 

@@ -189,6 +189,7 @@ QUERIES: dict[str, Query] = {
     "suggest": lambda s, d: suggest.suggest(_en(s, d), _word(s, d)),
     "simhash": lambda s, d: _hashes(s, d).select("doc_id", _hex(F.col("h")).alias("h")),
     "hamming_pairs": lambda s, d: dedup.near_pairs(_hashes(s, d)),
+    "hamming_links": lambda s, d: dedup.near_links(_hashes(s, d)),
     "dedup_greedy": lambda s, d: dedup.keep_first(_hashes(s, d)),
     "hot_docs": lambda s, d: hot.hot(_clicks(s, d)),
     "hot_stats": lambda s, d: hot.hot_stats(_clicks(s, d)),
@@ -299,6 +300,9 @@ SELECT word, freq, 'prefix' AS type FROM pre UNION ALL SELECT word, freq, 'corre
     "simhash": f"WITH {_HASHES} SELECT doc_id, format('{{:016x}}', h) AS h FROM hashes",
     "hamming_pairs": f"""WITH {_HASHES}, first AS (SELECT h, min(doc_id) AS doc_id FROM hashes GROUP BY h)
 SELECT a.doc_id AS i, b.doc_id AS j, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM first a JOIN first b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 3""",
+    "hamming_links": f"""WITH {_HASHES}, named AS (SELECT doc_id, h, min(doc_id) OVER (PARTITION BY h) AS head FROM hashes)
+SELECT a.doc_id AS i, b.doc_id AS j, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM named a JOIN named b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 3
+WHERE a.doc_id = a.head AND (b.doc_id = b.head OR b.head = a.doc_id)""",
     "dedup_greedy": f"""WITH RECURSIVE {_HASHES}, numbered AS MATERIALIZED (SELECT doc_id, h, row_number() OVER (ORDER BY doc_id) AS k FROM hashes),
 lower AS MATERIALIZED (SELECT b.k, list(a.doc_id) AS near FROM numbered a JOIN numbered b ON a.k < b.k AND bit_count(xor(a.h, b.h)) <= 3 GROUP BY b.k),
 walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept UNION ALL

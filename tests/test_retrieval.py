@@ -124,6 +124,24 @@ def test_near_pairs_and_greedy(spark, blocks):
     assert {r["doc_id"] for r in dedup.keep_first(df, 3, blocks).collect()} == greedy(hashes)
 
 
+def test_near_links_hold_every_document_and_pair(spark):
+    hashes = random_hashes(7, 150) + [(200 + i, 0) for i in range(20)]
+    rows = [tuple(r) for r in dedup.near_links(spark.createDataFrame([*hashes, hashes[-1], (None, 0)], "doc_id long, h long")).collect()]
+    assert len(rows) == len(set(rows))
+    by_id = dict(hashes)
+    head = {i: i for i in by_id} | {j: i for i, j, d in rows if d == 0}
+    near = {(i, j): d for i, j, d in rows if d}
+    got = {}
+    for j in by_id:
+        for i in by_id:
+            a, b = sorted((head[i], head[j]))
+            if i < j and (a == b or (a, b) in near):
+                got[i, j] = near.get((a, b), 0)
+    far = {(i, j): bin((g ^ h) & (2**64 - 1)).count("1") for j, h in by_id.items() for i, g in by_id.items() if i < j}
+    assert got == {p: d for p, d in far.items() if d <= 3}
+    assert sum(d == 0 for _, _, d in rows) == len(hashes) - len(set(by_id.values()))
+
+
 def test_greedy_chain(spark):
     a, b, c = 0, 0b111, 0b111111
     df = spark.createDataFrame([(1, a), (2, b), (3, c), (4, 0b1111 << 20)], "doc_id long, h long")

@@ -12,7 +12,8 @@
    document its number of links and one edge of a spanning forest: rows grow with documents, not pairs.
 
 Cases: a null text or one without words has an empty set and links with nothing; null doc_ids are
-left out; rows that share a doc_id are one document, whose text is the greatest of theirs; equal
+left out; rows that share a doc_id and text are one; where a doc_id has several texts, all are compared,
+the join gives the document the links of all of them, and ``drop_near_copies`` judges each text alone; equal
 texts link with each other; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekmill.llm.components import connected_components
@@ -31,7 +32,7 @@ from seekmill.llm.shingles import SIZE, mix, shingle_set
 from seekmill.llm.storage import materialize
 
 SIGNED = "doc_id long, n int, s1 long, s2 long, bands array<long>"
-VERIFIED = "rep long, links long, root long, unit long, giant boolean"
+VERIFIED = "rep long, links long, root long, unit long, giant boolean, other long"
 
 
 def bands_for(threshold: float, recall: float = 0.999, most: int = 216) -> tuple[int, int]:
@@ -143,7 +144,8 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
 
 
 def verify(members: list[dict], threshold: float) -> Iterator[tuple]:
-    """All pairs of a task's two blocks (or within its one) -> (rep, links, root of its tree here)."""
+    """All pairs of a task's two blocks (or within its one) -> (rep, links, root of its tree here), and
+    each pair with a member of multiplicity 0, which ``links`` leaves out, both ways as (rep, other)."""
     first = [m for m in members if m["own"] == members[0]["bi"]]
     within = members[0]["bi"] == members[0]["bj"]
     second = first if within else [m for m in members if m["own"] == members[0]["bj"]]
@@ -178,14 +180,20 @@ def verify(members: list[dict], threshold: float) -> Iterator[tuple]:
             parent[high] = low
     mult = np.array([m["mult"] for m in first]), np.array([m["mult"] for m in second])
     links = [(linked * mult[1][None, :]).sum(axis=1)] if within else [(linked * mult[1][None, :]).sum(axis=1), (linked * mult[0][:, None]).sum(axis=0)]
-    for i, (m, n) in enumerate(zip(everyone, np.concatenate(links).tolist(), strict=True)):
-        if n:
-            yield m["rep"], n, everyone[find(i)]["rep"], m["unit"], m["kind"] > 0
+    met = [linked.any(axis=1)] if within else [linked.any(axis=1), linked.any(axis=0)]
+    for i, (m, n, any_) in enumerate(zip(everyone, np.concatenate(links).tolist(), np.concatenate(met).tolist(), strict=True)):
+        if any_:
+            yield m["rep"], n, everyone[find(i)]["rep"], m["unit"], m["kind"] > 0, None
+    apart = linked & ((mult[0] == 0)[:, None] | (mult[1] == 0)[None, :])
+    for i, j in zip(*(x.tolist() for x in np.nonzero(apart)), strict=True):
+        yield first[i]["rep"], 0, None, first[i]["unit"], False, second[j]["rep"]
+        if not within:
+            yield second[j]["rep"], 0, None, first[i]["unit"], False, first[i]["rep"]
 
 
 def _verify(threshold: float):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-    names = ["rep", "links", "root", "unit", "giant"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+    names = ["rep", "links", "root", "unit", "giant", "other"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -222,19 +230,38 @@ def _deal(members: DataFrame, unit: str, blocks: str, kind: int) -> DataFrame:
     return dealt.select("rep", "unit", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), "own", F.lit(kind).alias("kind"))
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = SIZE, recall: float = 0.999, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id linked with it, over any number of
-    links), n_links (other documents of similarity ``threshold`` or more), n_shingles."""
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _numbered(texts: DataFrame) -> DataFrame:
+    """node, doc_id, digest, text, many (whether its doc_id has other texts): a row a distinct doc_id and text, nodes in doc_id order."""
+    once = texts.groupBy("doc_id", _digest(F.col("text")).alias("digest")).agg(F.max("text").alias("text"))
+    once = materialize(once.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").withColumn("node", F.monotonically_increasing_id()))
+    many = once.groupBy("doc_id").agg((F.count("*") > 1).alias("many"))
+    return materialize(once.join(many.hint("merge"), "doc_id"))
+
+
+def _compared(docs: DataFrame, threshold: float, size: int, recall: float, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(doc_id, rep, class_id, n_links, n) of each document; where a doc_id repeats, of each distinct doc_id
+    and text under a number as doc_id, with the numbers' names and the linked pairs (rep, other, weight) that
+    have a text of a doc_id with several, which n_links leaves out."""
     bands, rows = bands_for(threshold, recall)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
     every = materialize(texts.mapInArrow(_sign(bands, rows, size), SIGNED))
     repeated = every.groupBy("doc_id").agg(F.count("*").alias("c")).where(F.col("c") > 1).limit(1).count()
-    if repeated:  # rows that share a doc_id: the greatest text stands for them
-        texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))
+    key, mult, names = ["s1", "s2", "n"], F.count("*"), None
+    if repeated:
+        named = _numbered(texts)
+        names, texts = named.select("node", "doc_id", "digest", "many"), named.select(F.col("node").alias("doc_id"), "text")
         every = materialize(texts.mapInArrow(_sign(bands, rows, size), SIGNED))
+        # a text of a doc_id with several stands alone, with multiplicity 0
+        alone = names.select(F.col("node").alias("doc_id"), F.when(F.col("many"), F.col("node") + 1).otherwise(0).alias("alone"))
+        every = materialize(every.join(alone, "doc_id"))
+        key, mult = [*key, "alone"], F.sum(F.when(F.col("alone") == 0, 1).otherwise(0))
 
     sets = every.where(F.col("n") > 0)
-    equal = sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"))
+    equal = sets.groupBy(*key).agg(F.min("doc_id").alias("rep"), mult.alias("mult"))
     reps = materialize(equal.join(sets.select(F.col("doc_id").alias("rep"), "bands"), "rep"))
     banded = reps.select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("c"), F.min("rep").alias("head")).where(F.col("c") > 1)
@@ -268,14 +295,50 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = SIZE, reca
         joined = connected_components(trees).withColumnsRenamed({"node": "rep", "component": "far"})
         linked = linked.join(joined, "rep", "left").withColumn("root", F.coalesce("far", "root")).drop("far")
     answer = equal.join(linked, "rep", "left")
-    answer = answer.select("s1", "s2", "n", F.coalesce("root", "rep").alias("class_id"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = every.select("doc_id", "s1", "s2", "n").join(answer, ["s1", "s2", "n"], "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").cast("long").alias("n_shingles"))
+    others = F.when(F.col("mult") > 0, F.col("mult") - 1).otherwise(0) + F.coalesce(F.col("links"), F.lit(0))
+    answer = answer.select(*key, "rep", F.coalesce("root", "rep").alias("class_id"), others.alias("n_links"))
+    out = every.select("doc_id", *key).join(answer, key, "left")
+    out = out.select("doc_id", "rep", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n").cast("long").alias("n_shingles"))
+    if names is None:
+        return out, None, None
+    pairs = found.where(F.col("other").isNotNull()).select("rep", "other").distinct()
+    return out, names, pairs.join(reps.select(F.col("rep").alias("other"), F.col("mult").alias("weight")), "other")
+
+
+def _by_doc(nodes: DataFrame, names: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Numbered texts -> documents: links to distinct other documents, classes joined over all texts of a document."""
+    nodes = materialize(nodes.withColumnRenamed("doc_id", "node").join(names.select("node", F.col("doc_id"), "many"), "node"))
+    several = nodes.where("many")
+    least = several.groupBy("doc_id").agg(F.min("class_id").alias("v"))
+    joined = connected_components(several.select("doc_id", F.col("class_id").alias("u")).join(least, "doc_id").select("u", "v"))
+    nodes = nodes.join(joined.withColumnsRenamed({"node": "class_id", "component": "far"}), "class_id", "left").withColumn("class_id", F.coalesce("far", "class_id"))
+
+    of = several.select("node", "doc_id")
+    met = pairs.join(of.select(F.col("node").alias("rep"), F.col("doc_id").alias("own")), "rep", "left").join(of.select(F.col("node").alias("other"), F.col("doc_id").alias("to")), "other", "left")
+    met = met.withColumns({"at": F.when(F.col("to").isNull(), F.col("other")), "weight": F.when(F.col("to").isNull(), F.col("weight")).otherwise(1)})
+    to_several = met.where(F.col("own").isNull()).select("rep", "to").distinct().groupBy("rep").agg(F.count("*").alias("more"))
+    of_several = met.where(F.col("own").isNotNull() & ~F.col("own").eqNullSafe(F.col("to"))).select("own", "to", "at", "weight").distinct().groupBy(F.col("own").alias("doc_id")).agg(F.sum("weight").alias("total"))
+
+    docs = nodes.join(to_several, "rep", "left").withColumn("n_links", F.col("n_links") + F.coalesce("more", F.lit(0)))
+    docs = docs.groupBy("doc_id").agg(F.min("class_id").alias("node"), F.max("n_links").alias("n_links"), F.max("n_shingles").alias("n_shingles"), F.max("many").alias("many"))
+    docs = docs.join(of_several, "doc_id", "left").withColumn("n_links", F.when(F.col("many"), F.coalesce("total", F.lit(0))).otherwise(F.col("n_links")))
+    return docs.join(names.select("node", F.col("doc_id").alias("class_id")), "node").select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "n_shingles")
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = SIZE, recall: float = 0.999, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id linked with it, over any number of
+    links), n_links (other documents of similarity ``threshold`` or more), n_shingles (of several texts, the most)."""
+    out, names, pairs = _compared(docs, threshold, size, recall, block, id_col, text_col)
+    return out.drop("rep") if names is None else _by_doc(out, names, pairs)
 
 
-def drop_near_copies(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the least doc_id of each class; rows with null ids stay; columns as they were."""
-    classes = jaccard_join(docs, threshold, id_col=id_col, text_col=text_col, **options)
-    gone = classes.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone_id"))
+def drop_near_copies(docs: DataFrame, threshold: float = 0.8, size: int = SIZE, recall: float = 0.999, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the least doc_id of each class; rows with null ids stay; columns as they were. Where a
+    doc_id repeats, its texts are judged one by one."""
+    nodes, names, _ = _compared(docs, threshold, size, recall, block, id_col, text_col)
+    gone = nodes.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone_id"))
     # what goes grows with the documents, so it is never broadcast, however little it is here
-    return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone_id"], "left_anti")
+    if names is None:
+        return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone_id"], "left_anti")
+    gone = gone.join(names, gone["_gone_id"] == names["node"]).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
+    return docs.join(gone.hint("merge"), (docs[id_col] == gone["_gone_id"]) & (_digest(docs[text_col]) == gone["_gone_digest"]), "left_anti")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -86,6 +87,37 @@ def test_join_odd_tables(spark):
     assert left.columns == ["doc_id", "text", "band"] and sorted(map(repr, (r["doc_id"] for r in left.collect()))) == ["1", "None"]
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_every_text_of_a_repeated_doc_id_is_compared(spark, block):
+    r = np.random.default_rng(6)
+    bases = [[f"w{x}" for x in r.integers(0, 5000, 60)] for _ in range(6)]
+    rows = []
+    for _ in range(60):
+        t = list(bases[r.integers(0, 6)])
+        t[r.integers(0, 60)] = f"v{r.integers(0, 3)}"
+        rows.append((int(r.integers(0, 40)), " ".join(t)))
+    rows += [(i + 50, t) for i, t in rows[:5]] + rows[:3] + [(70, "only here at first"), (70, rows[0][1]), (71, None), (71, "a b"), (None, rows[0][1])]
+    df = spark.createDataFrame([(i, t, "") for i, t in rows], "doc_id long, text string, band string")
+    texts = sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda x: (x[0], hashlib.sha256(x[1].encode()).hexdigest()))
+    sets = [set(shingles.shingle_set(t).tolist()) for _, t in texts]
+    links, text_class, doc_class = defaultdict(set), list(range(len(texts))), {i: i for i, _ in texts}
+    for b in range(len(texts)):
+        for a in range(b):
+            n = len(sets[a] & sets[b])
+            if n and n >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                i, j = texts[a][0], texts[b][0]
+                low, high = sorted((text_class[a], text_class[b]))
+                text_class = [low if x == high else x for x in text_class]
+                low, high = sorted((doc_class[i], doc_class[j]))
+                doc_class = {k: low if x == high else x for k, x in doc_class.items()}
+                if i != j:
+                    links[i].add(j)
+                    links[j].add(i)
+    assert join(df, block=block) == {(i, c, len(links[i])) for i, c in doc_class.items()}
+    left = {(x["doc_id"], x["text"] or "") for x in jaccard.drop_near_copies(df, block=block).collect()}
+    assert left == {texts[k] for k, c in enumerate(text_class) if k == c} | {(None, rows[0][1])}
+
+
 def test_join_over_the_table(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in queries.table(spark, sf, "documents").collect()]
     got = {(r["doc_id"], r["class_id"], r["n_links"]) for r in queries.op4_ngram_jaccard_join(spark, sf).collect()}

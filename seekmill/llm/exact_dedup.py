@@ -7,7 +7,7 @@ what is left to shuffle holds no large group.
 
 Cases: a null text counts as empty; all other texts are compared unchanged. A null ``doc_id`` is
 smaller than any other; a group of null ids only keeps its rows. Rows that repeat a ``doc_id`` and
-text are one document and get equal answers. An empty table gives an empty result. Other columns
+text are one document and get equal answers; ``drop_copies`` leaves one of them. An empty table gives an empty result. Other columns
 are ignored, whatever their names.
 """
 
@@ -43,7 +43,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` doesn't keep; columns as they were."""
-    gone = exact_dedup(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")).distinct()
+    """``docs`` with one row of each group of equal texts: one that ``exact_dedup`` keeps, and any one of
+    those that repeat its doc_id too; columns as they were."""
+    seen = exact_dedup(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
+    odd = materialize(seen.agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).where(~F.col("_kept") | (F.col("_n") > 1)))
     # what goes grows with the documents, so it is never broadcast, however little it is here
-    return docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_gone_id"]) & (_digest(text_col) == gone["_gone_digest"]), "left_anti")
+    left = docs.join(odd.hint("merge"), docs[id_col].eqNullSafe(odd["_gone_id"]) & (_digest(text_col) == odd["_gone_digest"]), "left_anti")
+    repeated = odd.where("_kept")
+    if not repeated.limit(1).count():
+        return left
+    again = docs.join(repeated.hint("merge"), docs[id_col].eqNullSafe(repeated["_gone_id"]) & (_digest(text_col) == repeated["_gone_digest"]))
+    # the first rows are found before the shuffle too, so many repeats are no hot group
+    return left.unionByName(again.dropDuplicates(["_gone_id", "_gone_digest"]).select(*docs.columns))

@@ -104,6 +104,14 @@ def test_exact_dedup_odd_rows_and_heavy_groups(spark):
     assert {(r["doc_id"], (r["text"] or "")[:9]) for r in left.collect()} == {(2, ""), (3, "a"), (None, "b"), (5, "long long"), (7, "é\n\tÀ  "), (399, "hot")}
 
 
+def test_drop_copies_leaves_one_row_of_each_text(spark):
+    rows = [(1, "a"), (3, "a"), (3, "a"), (None, "b"), (None, "b"), (4, None), (4, ""), *[(9, "hot")] * 300, (10, "c")]
+    for candidates in (1, 256):
+        left = exact_dedup.drop_copies(frame(spark, rows), candidates=candidates, tracked=512)
+        assert left.columns == ["doc_id", "text", "digest", "kept"]
+        assert Counter((r["doc_id"], r["text"] or "") for r in left.collect()) == Counter([(3, "a"), (None, "b"), (4, ""), (9, "hot"), (10, "c")])
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000])
 def test_feistel_is_a_permutation(n):
     places = [sharding.locate(x, n, 16, 7) for x in range(n)]

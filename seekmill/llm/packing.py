@@ -85,17 +85,15 @@ def pack_stream(docs: Iterator[tuple[int | None, bytes]], first_id: int, capacit
     yield from flush()
 
 
-def _pack(path: str, end_id: int, capacity: int, window: int, linear: float, quadratic: float):
+def _pack(path: str, added: bool, end_id: int, capacity: int, window: int, linear: float, quadratic: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder("bytes", path)
+        ids = encoder(path, added).ids
         end = np.array([end_id], "<u4").tobytes()
 
         def docs() -> Iterator[tuple]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    texts = [t or "" for t in part.column(1).to_pylist()]
-                    yield from zip(part.column(0).to_pylist(), (x + end for x in enc.encode(texts)), strict=True)
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    yield doc, ids(text.as_py() or "").tobytes() + end
 
         out: list[tuple] = []
         for row in pack_stream(docs(), TaskContext.get().partitionId() << 33, capacity, window, linear, quadratic):
@@ -109,7 +107,7 @@ def _pack(path: str, end_id: int, capacity: int, window: int, linear: float, qua
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, window: int = 1 << 20, linear: float = 1.0, quadratic: float = 1 / 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``PIECES`` for all rows of ``docs``; ``ids`` are little-endian unsigned 32-bit."""
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, window: int = 1 << 20, linear: float = 1.0, quadratic: float = 1 / 2048, added: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``PIECES`` for all rows of ``docs``; ``ids`` are little-endian unsigned 32-bit. ``added``: see ``tokens``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_pack(tokenizer_path, end_id, capacity, window, linear, quadratic), PIECES)
+    return rows.mapInArrow(_pack(tokenizer_path, added, end_id, capacity, window, linear, quadratic), PIECES)

@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,31 +28,32 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", p
 STRIPE = {"orc.stripe.size": str(32 << 20), "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd"}
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, added: bool, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder("words", path)
-        end = np.array([end_id], "<u4").tobytes()
+        encode = encoder(path, added).ids
+        end = np.array([end_id], "<u4")
         before = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.frombuffer(x + end, "<i4") for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
-                n = np.array([len(x) for x in ids], np.int64)
+                ids = [encode(t.as_py() or "") for t in part.column(1)]
+                n = np.array([len(x) + 1 for x in ids], np.int64)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(ids)))
+                flat = np.concatenate([x for each in ids for x in (each, end)]).view("<i4")
+                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ends[:-1] + before), pa.array(n), tokens.cast(ARROW.field(3).type)], schema=ARROW)
                 before += int(ends[-1])
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every whole text, appends ``end_id`` and writes the files to ``path``."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, added: bool = True, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encodes every whole text, appends ``end_id`` and writes the files to ``path``. ``added``: see ``tokens``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    dealt.mapInArrow(_encode(tokenizer_path, end_id), FILE).write.options(**STRIPE).orc(path)
+    dealt.mapInArrow(_encode(tokenizer_path, added, end_id), FILE).write.options(**STRIPE).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -67,7 +67,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return out.select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "tokens")
 
 
-@F.pandas_udf(T.LongType())
-def tokens_crc32(tokens: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def tokens_crc32(tokens: pa.Array) -> pa.Array:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in tokens], dtype="int64")
+    data, ends = memoryview(np.ascontiguousarray(tokens.values, "<i4")).cast("B"), (4 * tokens.offsets.to_numpy()).tolist()
+    return pa.array([zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())

@@ -1,8 +1,13 @@
-"""Encoders for whole texts that remember what they have encoded.
+"""Encoders of whole texts that give the ids of the tokenizers library.
 
-Both pre-tokenizers cut texts into pieces that are encoded separately, so a text's ids are the
-ids of its pieces in order. Each Python worker keeps the ids of pieces it met of late; forgetting
-changes no result.
+Where a vocabulary file's ids are its merge order, tiktoken merges by those ids, several times faster
+than the library: a pair is merged by the rank of what it makes, which is the same as by its own rank
+because every merged token is made in one way, its own, when no merge reaches over its ends. Any other
+file, and any text that tiktoken refuses, goes to the library. Nothing is remembered from text to text,
+so memory is the vocabulary and one text.
+
+``added`` says how a vocabulary's added tokens (``<|endoftext|>``) in a text are read: ``True``, as the
+library as loaded does, gives their own ids; ``False`` reads them as ordinary characters.
 """
 
 from __future__ import annotations
@@ -12,14 +17,16 @@ import json
 import os
 import re
 import unicodedata
+from typing import Any
 
 import numpy as np
 import regex
 
-MEMORY = 300_000
-#: The pre-tokenizer patterns of the two vocabularies, contractions in either case for the lower-casing one.
+#: Fixed value: how byte-level vocabularies cut texts.
 BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD_PATTERN = r"""'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"""
+#: Fixed value: the pieces that the word vocabulary keeps of a lower-cased text.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ENDS_WORD = "</w>"
 
 
 def _bytes_of_symbols() -> dict[str, int]:
@@ -29,154 +36,138 @@ def _bytes_of_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Recent:
-    """A bounded memory of two generations: what is used in one lives on into the next."""
-
-    def __init__(self) -> None:
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def missing(self, keys: set[str]) -> list[str]:
-        """The ``keys`` that are not in ``new``, after those in ``old`` have moved there."""
-        if len(self.new) > MEMORY:
-            self.new, self.old = {}, self.new
-        lacking = keys.difference(self.new)
-        old = self.old
-        found = {k: old[k] for k in lacking if k in old}
-        self.new.update(found)
-        return list(lacking.difference(found))
-
-
-class _Memo:
-    """Little-endian uint32 ids of texts, as bytes."""
-
-    def __init__(self) -> None:
-        self.words = Recent()
-
-    def chunks(self, text: str) -> list[str]:
-        raise NotImplementedError
-
-    def fill(self, words: list[str]) -> None:
-        raise NotImplementedError
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in texts]
-        missing = self.words.missing(set().union(*cut))
-        if missing:
-            self.fill(missing)
-        get = self.words.new.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
-
-
-class BytePairs(_Memo):
-    """The ids of a byte-level vocabulary file of the tokenizers library, special strings as ordinary text.
-
-    Where the file's ids are its merge ranks, as in the file that the query names, tiktoken merges
-    pieces by those ranks, which gives the same ids several times faster; else the library itself does.
-    """
-
-    def __init__(self, path: str) -> None:
-        super().__init__()
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        symbols = _bytes_of_symbols()
-        special = {"<|endoftext|>"}
-        ranks = {bytes(symbols[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-        merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
-        ordered = sorted(ranks.values()) == list(range(len(ranks))) and all(model["vocab"][m.replace(" ", "")] == 256 + i for i, m in enumerate(merges))
-        if ordered:
-            import tiktoken
-
-            self._one = tiktoken.Encoding("own", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            library = Tokenizer.from_file(path)
-            library.encode_special_tokens = True
-            self._one = lambda s: library.encode(s, add_special_tokens=False).ids
-
-    def chunks(self, text: str) -> list[str]:
-        words = text.split(" ")
-        if "  " not in text and not _BY_SPACE.search(text) and text[:1] != " " and text[-1:] != " ":
-            return [words[0], *[" " + w for w in words[1:]]] if text else []
-        return _SAFE.split(text)
-
-    def fill(self, words: list[str]) -> None:
-        one, new = self._one, self.words.new
-        for w in words:
-            new[w] = np.array(one(w), "<u4").tobytes()
-
-
-#: A space next to other white space; and the places where a single space begins a piece.
-_BY_SPACE = regex.compile(r" \s|\s ")
-_SAFE = regex.compile(r"(?<=\S)(?= \S)")
-_WORDS = regex.compile(WORD_PATTERN)
-_LATIN = re.compile("[\\x00-\u024f]*").fullmatch
-_TAILS = frozenset(",.:;!?")
+def _ranks(model: dict[str, Any], added: set[str], end: bytes | None) -> dict[bytes, int] | None:
+    """Bytes -> id, if ids order the merges; ``end`` stands for the mark at a word's end."""
+    symbols, vocab = _bytes_of_symbols(), {t: i for t, i in model["vocab"].items() if t not in added}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [vocab.get(a + b) for a, b in merges]
+    if None in made or made != sorted(set(made)) or min(made, default=0) < len(vocab) - len(made):
+        return None
+    out = {}
+    for token, i in vocab.items():
+        bare = token.removesuffix(ENDS_WORD) if end else token
+        if not set(bare) <= symbols.keys():
+            return None
+        out[bytes(symbols[c] for c in bare) + (end if end and bare != token else b"")] = i
+    return out if len(out) == len(vocab) else None
 
 
-class WordPairs(_Memo):
-    """The ids of a lower-casing word vocabulary file by the tokenizers library, special strings as ordinary text."""
+class Library:
+    """The ids of the tokenizers library itself."""
 
-    def __init__(self, path: str) -> None:
-        super().__init__()
+    def __init__(self, path: str, added: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
-        self.pieces = Recent()
-        vocab = self._library.get_vocab(with_added_tokens=True)
-        self._ends_word = np.zeros(max(vocab.values()) + 1, bool)
-        self._ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def chunks(self, text: str) -> list[str]:
-        # nothing reaches across a blank: neither composition nor a piece; extra blanks give empty words
-        return text.replace("\n", " ").split(" ")
-
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Pieces go to the library many at a time, with blanks between: each ends in a token that ends a word."""
-        out: list[bytes] = []
-        groups = [pieces[at : at + 512] for at in range(0, len(pieces), 512)]
-        for group, e in zip(groups, self._library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self._ends_word[ids]) + 1
-            if len(ends) != len(group) or (len(ends) and ends[-1] != len(ids)):
-                out += self._each(group)
-                continue
-            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
-        return out
-
-    def fill(self, words: list[str]) -> None:
-        whole, cut = [], []
-        for w in words:
-            plain = w.isascii()
-            if not plain and ("İ" in w or not unicodedata.is_normalized("NFC", w)):
-                whole.append(w)
-                continue
-            if plain or _LATIN(w):  # these letters change case in the same way everywhere
-                if w.isalpha():
-                    cut.append((w, (w.lower(),)))
-                elif w[-1:] in _TAILS and w[:-1].isalpha():
-                    cut.append((w, (w[:-1].lower(), w[-1])))
-                else:
-                    cut.append((w, [p.lower() for p in _WORDS.findall(w)]))
-            else:
-                cut.append((w, _WORDS.findall(w)))
-        new = self.pieces.missing({p for _, ps in cut for p in ps})
-        pieces, known = self.pieces.new, self.words.new
-        pieces.update(zip(new, self._pieces(new), strict=True))
-        for w, ps in cut:
-            known[w] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
-        known.update(zip(whole, self._each(whole), strict=True))
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = not added
+
+    def ids(self, text: str) -> np.ndarray:
+        """Little-endian unsigned 32-bit ids of a whole text."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+
+
+class BytePairs(Library):
+    """A byte-level vocabulary: texts are cut by ``BYTE_PATTERN``, all bytes count."""
+
+    def __init__(self, path: str, added: bool, ranks: dict[bytes, int], tokens: dict[str, int]) -> None:
+        import tiktoken
+
+        super().__init__(path, added)
+        self._merged = tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens=tokens)
+        self._allowed = set(tokens) if added else set()
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self._merged.encode_to_numpy(text, allowed_special=self._allowed, disallowed_special=())
+        except ValueError:  # a run of blanks too long for its regular expressions
+            return super().ids(text)
+
+
+#: Latin letters up to U+017F, whose case changes in the same way everywhere; the letters among them; digits.
+_LATIN = re.compile("[\0-ſ]*").fullmatch
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ"
+#: What is not a letter and not white space there, in the pieces of ``WORD_PATTERN``.
+_BETWEEN = re.compile(rf"'(?:[st]|re|ve|m|ll|d)|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\s{_LETTERS}0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: White space that is not a blank or a line end, and separators that only some take for white space.
+_ODD_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0]")
+_WORDS = regex.compile(WORD_PATTERN)
+
+
+@functools.cache
+def _unsettled() -> re.Pattern[str]:
+    """A character that is new since Unicode 3.2 or of another class since: libraries may differ on it."""
+    def settled(c: int) -> bool:
+        now, then = unicodedata.category(chr(c)), unicodedata.ucd_3_2_0.category(chr(c))
+        return now[0] == then[0] and now != "Cn" and not 0x1C <= c <= 0x1F
+
+    good = [c for c in range(1 << 16) if settled(c) and not 0xD800 <= c < 0xE000]
+    ends = [c for c, d in zip(good, good[1:] + [1 << 20]) if d != c + 1]
+    starts = [c for c, d in zip(good, [-2, *good]) if c != d + 1]
+    return re.compile("[^" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True)) + "]")
+
+
+class WordPairs(Library):
+    """A lower-casing vocabulary of words with a mark at their ends, which a blank stands for here:
+    blanks part the pieces of a text, and every piece is merged with the blank after it."""
+
+    def __init__(self, path: str, added: bool, ranks: dict[bytes, int], tokens: dict[str, int]) -> None:
+        import tiktoken
+
+        super().__init__(path, added)
+        self._merged = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        self._tokens = tokens if added else {}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._tokens, key=len, reverse=True))) + ")").split if self._tokens else None
+
+    def ids(self, text: str) -> np.ndarray:
+        if self._cut and any(t in text for t in self._tokens):
+            parts = self._cut(text)
+            return np.concatenate([np.array([self._tokens[p]], "<u4") if i % 2 else self._plain(p) for i, p in enumerate(parts)])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
+        if _LATIN(text) and "İ" not in text and not _ODD_SPACE.search(text):
+            return self._of(_BETWEEN.sub(r" \g<0> ", text.lower().replace("\n", " ")))
+        # nothing reaches across a blank, so words with unsettled characters go to the library alone
+        out, at = [], 0
+        for odd in _unsettled().finditer(text):
+            if odd.start() >= at:
+                lo, hi = text.rfind(" ", at, odd.start()) + 1 or at, text.find(" ", odd.end())
+                hi = len(text) if hi < 0 else hi
+                out += [self._settled(text[at:lo]), super().ids(text[lo:hi])]
+                at = hi
+        out.append(self._settled(text[at:]))
+        return np.concatenate(out) if len(out) > 1 else out[0]
+
+    def _settled(self, text: str) -> np.ndarray:
+        return self._of(" ".join(_WORDS.findall(self.library.normalizer.normalize_str(text))))
+
+    def _of(self, pieces: str) -> np.ndarray:
+        return self._merged.encode_to_numpy(pieces + " ", disallowed_special=())
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(kind: str, path: str) -> _Memo:
-    """One encoder a worker: ``bytes`` or ``words``."""
-    return {"bytes": BytePairs, "words": WordPairs}[kind](path)
+def encoder(path: str, added: bool = True) -> Library:
+    """One encoder a worker for the vocabulary file at ``path``."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, cut = file["model"], file["pre_tokenizer"] or {}
+    plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in file["added_tokens"])
+    plain &= not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    tokens = {t["content"]: t["id"] for t in file["added_tokens"]}
+    kind, suffix = Library, model.get("end_of_word_suffix")
+    if model["type"] == "BPE" and plain:
+        if file["normalizer"] is None and not suffix and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]:
+            kind = BytePairs
+        elif suffix == ENDS_WORD and cut.get("type") == "Sequence" and _is_word_cut(file["normalizer"], cut["pretokenizers"]):
+            kind = WordPairs
+    ranks = _ranks(model, set(tokens), b" " if kind is WordPairs else None) if kind is not Library else None
+    return Library(path, added) if ranks is None else kind(path, added, ranks, tokens)
+
+
+def _is_word_cut(normalizer: dict[str, Any] | None, cuts: list[dict[str, Any]]) -> bool:
+    steps = [s["type"] for s in (normalizer or {}).get("normalizers", [])]
+    if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
+        return False
+    split, level = cuts
+    return split["pattern"] == {"Regex": WORD_PATTERN} and split["invert"] and split["behavior"] == "Removed" and not level["use_regex"] and not level["add_prefix_space"]

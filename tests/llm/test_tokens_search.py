@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -20,29 +21,64 @@ TEXTS = [
 ]
 
 
-def library(path):
+def library(path, added=True):
+    """The library as loaded; without ``added``, its added tokens are ordinary text."""
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if not added:
+        t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-@pytest.mark.parametrize("kind,path", [("bytes", BYTES), ("words", WORDS)])
-def test_remembered_pieces_give_the_library_ids(kind, path):
+ADDED = ["a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|startoftext|><|endoftext|>", " <|startoftext|> <|endoftext|>\n", "<|ENDOFTEXT|>", "<|endoftext|", "日<|endoftext|>🙂"]
+
+
+@pytest.mark.parametrize("added", [True, False])
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoders_give_the_library_ids(path, added):
     r = random.Random(1)
-    texts = TEXTS + ["".join(r.choice(" \n\taeé'sST1.,-İ日́") for _ in range(r.randrange(40))) for _ in range(2000)]
-    memo = tokens.encoder(kind, path)
-    for _ in range(2):
-        got = [np.frombuffer(x, "<u4").tolist() for x in memo.encode(texts)]
-        for t, a, b in zip(texts, got, library(path)(texts), strict=True):
-            assert a == b, repr(t)
-
-
-def test_a_full_memory_is_emptied(monkeypatch):
-    monkeypatch.setattr(tokens, "MEMORY", 3)
-    memo = tokens.BytePairs(BYTES)
-    texts = ["a b c d e f", "g h a b"]
-    for _ in range(3):
-        assert [np.frombuffer(x, "<u4").tolist() for x in memo.encode(texts)] == library(BYTES)(texts)
+    points = [chr(c) for c in [*range(1, 0x250), *range(0x250, 0x3000, 7), *range(0x3000, 0x20000, 97)] if not 0xD800 <= c < 0xE000]
+    alphabets = [" \n\taeé'sST1.,-İ日́", "abc'sdtrellvm ,.1<|>", points, points[:0x24F]]
+    texts = TEXTS + ADDED + ["".join(r.choice(a) for _ in range(r.randrange(40))) for a in alphabets for _ in range(1500)]
+    encoder = tokens.encoder(path, added)
+    assert type(encoder) is {BYTES: tokens.BytePairs, WORDS: tokens.WordPairs}[path]
+    for t, want in zip(texts, library(path, added)(texts), strict=True):
+        assert encoder.ids(t).tolist() == want, repr(t)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoders_on_long_runs(path):
+    texts = [c * 300_000 for c in (" ", "\n", "x", "é", "日", ".", "1", "ab ", "🙂")]
+    for t, want in zip(texts, library(path)(texts), strict=True):
+        assert tokens.encoder(path).ids(t).tolist() == want, repr(t[:3])
+
+
+@pytest.mark.parametrize("path,end", [(BYTES, ""), (WORDS, "</w>")])
+def test_every_token_is_merged_from_its_own_pair(path, end):
+    """What lets merges be ranked by what they make: each merged token's characters, merged alone, give it."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    rank = {p: i for i, p in enumerate(pairs)}
+    for a, b in pairs:
+        bare = (a + b).removesuffix(end) if end else a + b
+        parts = [*bare[:-1], bare[-1] + end] if end and (a + b) != bare else list(bare)
+        while len(parts) > 1:
+            i = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
+            assert (parts[i], parts[i + 1]) in rank
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [a + b]
+
+
+def test_other_vocabularies_go_to_the_library(tmp_path):
+    with open(BYTES, encoding="utf-8") as f:
+        file = json.load(f)
+    file["model"]["vocab"]["!"], file["model"]["vocab"]["he"] = file["model"]["vocab"]["he"], file["model"]["vocab"]["!"]
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(file, f)
+    encoder = tokens.encoder(path)
+    assert type(encoder) is tokens.Library
+    assert [encoder.ids(t).tolist() for t in TEXTS] == library(path)(TEXTS)
 
 
 def test_assign_fills_and_balances():

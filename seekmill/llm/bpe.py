@@ -5,10 +5,10 @@ step finds the adjacent pair of pieces whose concatenation has the lowest rank (
 and joins it, until no pair has a rank. The rank map is a literal: an array in which a perfect hash
 of (left piece, right piece) finds the joined piece, so a lookup is two array reads and no scan.
 
-Distinct frequent words are folded once: a Misra-Gries style sketch over all words of all texts names
-up to ``dictionary`` of them. Their ids, and the vocabulary's own pieces, form a second literal whose
-words are compared whole, so a hit is exact. Words outside it are folded where they stand, which needs
-no shuffle and gives the same ids. Decoding joins the pieces' bytes.
+The distinct words of all texts are counted, and the most frequent ones, a bounded number, are folded
+once each; with the vocabulary's own pieces they form a second literal, whose words are compared whole.
+A word outside it is folded where it stands, with the same ids: sending ids of rare words back to their
+documents would shuffle the documents too. Decoding joins the pieces' bytes.
 
 Cases: a null or empty text has no ids; very long texts and words are encoded whole; repeated and
 null doc_ids are encoded row by row; an empty table gives an empty result; other columns are ignored.
@@ -23,10 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekmill.llm.storage import materialize
+
 
 def java_pattern(pattern: str) -> str:
     """``pattern`` with white space as Unicode defines it, which Java's ``\\s`` is not."""
@@ -46,38 +49,39 @@ def spark_hash(data: bytes) -> int:
 
 @dataclass
 class PerfectHash:
-    """Slots for a fixed set of distinct 64-bit hashes: ``slot = (h >> shift ^ moves[h & low]) & high``."""
+    """Slots for a fixed set of distinct 64-bit hashes: ``slot = (h ^ moves[h >> shift & low]) & high``."""
 
     size: int
     shift: int
-    moves: list[int]
+    moves: pa.Array
     order: list[int]  # which key is in each slot, -1 if none
 
     @classmethod
     def of(cls, hashes: list[int]) -> PerfectHash:
         size = 1 << max(3, (len(hashes) + len(hashes) // 4).bit_length())
-        buckets: list[list[int]] = [[] for _ in range(size // 4)]
-        for k, h in enumerate(hashes):
-            buckets[h & (size // 4 - 1)].append(k)
-        for shift in range(20, 40):
-            bases = [[(hashes[k] >> shift) & (size - 1) for k in keys] for keys in buckets]
-            if all(len(set(b)) == len(b) for b in bases):
+        places = [h & (size - 1) for h in hashes]
+        for shift in range(24, 44):
+            groups = [h >> shift & (size // 4 - 1) for h in hashes]
+            if len(set(zip(groups, places, strict=True))) == len(hashes):
                 break
         else:
             raise ValueError("two keys have one hash")
+        buckets: list[list[int]] = [[] for _ in range(size // 4)]
+        for k, b in enumerate(groups):
+            buckets[b].append(k)
         moves, order = [0] * len(buckets), [-1] * size
         for b in sorted(range(len(buckets)), key=lambda b: -len(buckets[b])):
             if not buckets[b]:
                 break
-            move = next(d for d in range(size) if all(order[x ^ d] < 0 for x in bases[b]))
+            move = next(d for d in range(size) if all(order[places[k] ^ d] < 0 for k in buckets[b]))
             moves[b] = move
-            for k, x in zip(buckets[b], bases[b], strict=True):
-                order[x ^ move] = k
-        return cls(size, shift, moves, order)
+            for k in buckets[b]:
+                order[places[k] ^ move] = k
+        return cls(size, shift, pa.array(moves, pa.int64()), order)
 
     def slot(self, h: Column, literals: Literals) -> Column:
-        move = F.get(literals.use(self.moves, pa.int32()), h.bitwiseAND(F.lit(len(self.moves) - 1)).cast("int"))
-        return F.shiftright(h, self.shift).bitwiseXOR(move.cast("long")).bitwiseAND(F.lit(self.size - 1)).cast("int")
+        move = F.get(literals.use(self.moves), F.shiftright(h, self.shift).bitwiseAND(F.lit(len(self.moves) - 1)).cast("int"))
+        return h.bitwiseXOR(move).bitwiseAND(F.lit(self.size - 1)).cast("int")
 
 
 class Literals:
@@ -87,17 +91,17 @@ class Literals:
 
     def __init__(self, spark: SparkSession) -> None:
         self._spark = spark
-        self._arrays: dict[int, tuple[str, list, pa.DataType]] = {}
+        self._arrays: dict[int, tuple[str, pa.Array]] = {}
         self._uses: list[tuple[str, str]] = []
 
-    def use(self, values: list, kind: pa.DataType) -> Column:
-        name, _, _ = self._arrays.setdefault(id(values), (f"a{len(self._arrays)}", values, kind))
-        self._uses.append((f"_literal{len(self._uses)}", name))
+    def use(self, values: pa.Array) -> Column:
+        name, _ = self._arrays.setdefault(id(values), (f"a{len(self._arrays)}", values))
+        self._uses.append((f"_bpe_literal{len(self._uses)}", name))
         return F.col(self._uses[-1][0])
 
     def attach(self, df: DataFrame) -> DataFrame:
-        table = pa.table({name: pa.array([values], pa.list_(kind)) for name, values, kind in self._arrays.values()})
-        local = self._spark.createDataFrame(table)
+        one = {name: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values) for name, values in self._arrays.values()}
+        local = self._spark.createDataFrame(pa.table(one))
         return df.select("*", *[local.select(name).scalar().alias(alias) for alias, name in self._uses])
 
 
@@ -106,9 +110,13 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-BITS = 20  # of a piece's rank
-NONE = 1 << 62
-LAST = (1 << 31) - 1  # in place of the rank of a pair that has none
+BITS = 20  # of a piece's rank, which is its id
+MASK = (1 << BITS) - 1
+NONE = 1 << 60  # in an empty slot
+LAST = 1 << BITS  # in place of the rank of a pair that has none
+EDGE = LAST << BITS | MASK  # before the first and after the last piece: no piece, no pair
+GONE = -1  # in place of a piece that another took in
+SHORT = 48  # places up to which a pass over all of them is cheaper than slices
 
 
 class Ranks:
@@ -118,54 +126,62 @@ class Ranks:
         self.ranks = ranks
         pairs = [(ranks[p[:i]] << BITS | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
         self.table = PerfectHash.of([spark_hash(key.to_bytes(8, "little")) for key, _ in pairs])
-        self.joined = [pairs[k][0] << BITS | pairs[k][1] if k >= 0 else NONE for k in self.table.order]
-        self.of_byte = [ranks[bytes([b])] for b in range(256)]
+        self.joined = pa.array([pairs[k][0] << BITS | pairs[k][1] if k >= 0 else NONE for k in self.table.order], pa.int64())
+        # two bytes to the first one's place in the fold's state; the 257th is the end
+        byte = [ranks[bytes([b])] for b in range(256)]
+        self.of_bytes = pa.array([ranks.get(bytes([b, c]), LAST) << BITS | byte[b] for b in range(256) for c in range(256)], pa.int64())
+        self.of_last = pa.array([LAST << BITS | x for x in byte], pa.int64())
+        texts = [""] * (max(ranks.values(), default=0) + 1)
+        for p, r in ranks.items():
+            texts[r] = p.decode("iso-8859-1")
+        self.texts = pa.array(texts, pa.string())
+
+    def _place(self, key: Column, literals: Literals) -> Column:
+        """A pair's rank, or ``LAST``, above its left piece; ``key`` holds left above right."""
+        # the key's bits cancel where the slot holds it, which leaves the rank
+        found = F.get(literals.use(self.joined), self.table.slot(F.xxhash64(key), literals)).bitwiseXOR(F.shiftleft(key, BITS))
+        return F.shiftleft(F.least(found, F.lit(LAST)), BITS).bitwiseOR(F.shiftright(key, BITS))
 
     def fold(self, word: Column, literals: Literals) -> Column:
-        """Ids of one word (string)."""
-        byte_pieces = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(literals.use(self.of_byte, pa.int32()), F.ascii(c)))
-
-        def rank_all(keys: Column) -> Column:
-            # the key's bits cancel where the slot holds it, which leaves the rank
-            found = F.transform(keys, lambda k: F.get(literals.use(self.joined, pa.int64()), self.table.slot(F.xxhash64(k), literals)).bitwiseXOR(F.shiftleft(k, BITS)))
-            return F.transform(found, lambda r: F.when(r < (1 << BITS), r.cast("int")).otherwise(F.lit(LAST)))
-
-        def pair(left: Column, right: Column) -> Column:
-            return F.shiftleft(left.cast("long"), BITS).bitwiseOR(right.cast("long"))
-
-        # pieces, and for each the rank of it with the next; a step looks up the two pairs that it makes
-        first = _let(byte_pieces, lambda p: F.struct(p.alias("p"), rank_all(F.transform(p, lambda x, i: pair(x, F.get(p, i + 1)))).alias("r")))
-
-        def step(state: Column, _: Column) -> Column:
-            p, r = state["p"], state["r"]
-
-            def join(m: Column, at: Column) -> Column:
-                made = rank_all(F.array(pair(F.get(p, at - 2), m), pair(m, F.get(p, at + 1))))
-                ranks = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), F.slice(made, F.when(at > 1, 1).otherwise(2), F.lit(2)), F.slice(r, at + 2, F.size(r)))
-                return F.struct(F.concat(F.slice(p, F.lit(1), at - 1), F.array(m), F.slice(p, at + 2, F.size(p))).alias("p"), ranks.alias("r"))
-
-            best = lambda m: F.when(m == LAST, state).otherwise(_let(F.array_position(r, m).cast("int"), lambda at: join(m, at)))
-            return _let(F.array_min(r), best)
-
-        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), first, step, lambda s: s["p"])
-
-    def words(self) -> dict[str, list[int]]:
+        """Ids of one word (string). The state has a place a piece, with an edge at both ends: the rank of
+        the piece with the next one above its own id, so the least place is the pair to join next."""
+        codes = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+        two = lambda c, n: F.get(literals.use(self.of_bytes), c * 256 + n)
+        places = _let(codes, lambda p: F.transform(p, lambda c, i: F.coalesce(two(c, F.get(p, i + 1)), F.get(literals.use(self.of_last), c))))
+        first = F.concat(F.array(F.lit(EDGE)), places, F.array(F.lit(EDGE)))
+
+        def keys(s: Column, at: Column) -> tuple[Column, Column]:
+            made = F.shiftright(F.get(s, at - 1), BITS)
+            left = F.shiftleft(F.get(s, at - 2).bitwiseAND(F.lit(MASK)), BITS).bitwiseOR(made)
+            return left, F.shiftleft(made, BITS).bitwiseOR(F.get(s, at + 1).bitwiseAND(F.lit(MASK)))
+
+        def join(s: Column, at: Column) -> Column:
+            left, right = keys(s, at)
+            place = lambda key: _let(key, lambda k: self._place(k, literals))
+            new = lambda i: F.when(i == at, F.lit(GONE)).otherwise(place(F.when(i == at - 1, right).otherwise(left)))
+            passed = F.array_remove(F.transform(s, lambda x, i: F.when(i > at, x).when(i < at - 2, x).otherwise(new(i))), F.lit(GONE))
+            sliced = F.concat(F.slice(s, F.lit(1), at - 2), F.array(place(left), place(right)), F.slice(s, at + 2, F.size(s)))
+            return F.when(F.size(s) > SHORT, sliced).otherwise(passed)
+
+        def step(s: Column, _: Column) -> Column:
+            least = F.array_min(s)
+            return F.when(least >= LAST << BITS, s).otherwise(_let(F.array_position(s, least).cast("int"), lambda at: join(s, at)))
+
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), first, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(F.lit(MASK)).cast("int")))
+
+    def words(self) -> dict[str, int]:
         """The pieces that are text: a word equal to one has its rank as its only id."""
         out = {}
         for p, r in self.ranks.items():
             try:
-                out[p.decode()] = [r]
+                out[p.decode()] = r
             except UnicodeDecodeError:
                 continue
         return out
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ``ids``: their pieces, joined."""
-        hexes = [""] * (max(self.ranks.values(), default=0) + 1)
-        for p, r in self.ranks.items():
-            hexes[r] = p.hex()
-        pieces = F.split(F.lit(",".join(hexes)), ",")  # a literal, for the optimizer folds the split
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    def decode(self, ids: Column, literals: Literals) -> Column:
+        """The bytes of ``ids``: their pieces, joined as text of one character a byte."""
+        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(literals.use(self.texts), i)), ""), "ISO-8859-1")
 
 
 @functools.lru_cache(maxsize=4)
@@ -174,55 +190,78 @@ def ranks_of(path: str) -> Ranks:
 
 
 class Dictionary:
-    """Ids of known words as columns; a word is compared whole, so a hit is exact."""
-
-    def __init__(self, known: dict[str, list[int]]) -> None:
-        names = list(known)
-        self.table = PerfectHash.of([spark_hash(w.encode()) for w in names])
-        self.names = [names[k] if k >= 0 else None for k in self.table.order]
-        ids = [known[w] if w is not None else [] for w in self.names]
-        self.starts = np.cumsum([0, *map(len, ids)]).tolist()
-        self.ids = [i for x in ids for i in x]
-
-    def slot(self, word: Column, literals: Literals) -> Column:
-        return self.table.slot(F.xxhash64(word), literals)
-
-    def holds(self, word: Column, slot: Column, literals: Literals) -> Column:
-        return F.get(literals.use(self.names, pa.string()), slot) == word
-
-    def at(self, slot: Column, literals: Literals) -> Column:
-        first, end = F.get(literals.use(self.starts, pa.int32()), slot), F.get(literals.use(self.starts, pa.int32()), slot + 1)
-        return _let(first, lambda a: F.slice(literals.use(self.ids, pa.int32()), a + 1, end - a))
-
-
-def frequent_words(words: DataFrame, dictionary: int, tracked: int, groups: int = 64) -> list[str]:
-    """Frequent values of the column ``word``, by sketches merged in two levels."""
-    part = words.groupBy((F.spark_partition_id() % groups).alias("g")).agg(F.expr(f"approx_top_k_accumulate(word, {tracked})").alias("s"))
-    top = part.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {dictionary})").alias("top")).first()
-    return [x["item"] for x in (top and top["top"]) or []]
-
-
-def encode(docs: DataFrame, rank_path: str, pattern: str, dictionary: int = 131_072, tracked: int = 262_144, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array<int>) of every row of ``docs``."""
-    spark = docs.sparkSession
+    """Ids of known words as columns. Each word has the slot of its hash in a table; of words with one slot the
+    first stays and the others go to a next, smaller table. A word is compared whole, so a hit is exact,
+    and a word without a slot is folded where it stands."""
+
+    def __init__(self, words: pa.StringArray, ids: pa.ListArray) -> None:
+        hashes = np.array([spark_hash(w.as_py().encode()) for w in words], np.int64)
+        left = np.arange(len(words))
+        self.tables: list[tuple[int, pa.Array, pa.Array]] = []
+        for shift in (0, 20, 40):
+            size = 1 << max(3, (2 * len(left) - 1).bit_length() - 1)
+            slots, first = np.unique(hashes[left] >> shift & (size - 1), return_index=True)
+            held = np.full(size, -1)
+            held[slots] = left[first]
+            take = pa.array(held, mask=held < 0)
+            self.tables.append((shift, words.take(take), ids.take(take)))
+            left = np.delete(left, first)
+
+    def find(self, word: Column, literals: Literals, otherwise: Column) -> Column:
+        for shift, words, ids in reversed(self.tables):
+            h = F.shiftright(F.xxhash64(word), shift) if shift else F.xxhash64(word)
+            slot = h.bitwiseAND(F.lit(len(words) - 1)).cast("int")
+            otherwise = F.when(F.get(literals.use(words), slot) == word, F.get(literals.use(ids), slot)).otherwise(otherwise)
+        return otherwise
+
+
+def frequent_words(words: DataFrame, most: int, longest: int) -> DataFrame:
+    """word, level: values of the column ``word`` that occur at least twice, the most frequent ones, ``most`` at most, of
+    ``longest`` bytes at most. Counts are exact; where they end comes from a histogram of few rows."""
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.octet_length("word") <= longest))
+    counts = materialize(counts.select("word", F.floor(4 * F.log2("n")).alias("level")))
+    levels = counts.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    room, least = most, None
+    for row in levels:
+        room -= row["words"]
+        if room < 0:
+            break
+        least = row["level"]
+    return counts.where(F.col("level") >= least if least is not None else F.lit(False))
+
+
+def known_words(docs_words: DataFrame, ranks: Ranks, most: int, longest: int) -> Dictionary:
+    """The vocabulary's own pieces and the frequent values of the column ``word``, folded once each."""
+    spark = docs_words.sparkSession
+    pieces = ranks.words()
+    words, ids = pa.array(list(pieces), pa.string()), pa.array([[r] for r in pieces.values()], pa.list_(pa.int32()))
+    if most:
+        literals = Literals(spark)
+        fold = ranks.fold(F.col("word"), literals)
+        often = frequent_words(docs_words, most, longest).repartition(spark.sparkContext.defaultParallelism)
+        table = literals.attach(often).select("word", "level", fold.alias("ids")).toArrow().sort_by([("level", "descending")])
+        table = table.filter(pc.invert(pc.is_in(table.column("word"), words)))
+        words = pa.concat_arrays([words, *table.column("word").cast(pa.string()).chunks])
+        ids = pa.concat_arrays([ids, *table.column("ids").cast(ids.type).chunks])
+    return Dictionary(words, ids)
+
+
+def encode(docs: DataFrame, rank_path: str, pattern: str, dictionary: int = 1 << 19, longest: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids (array<int>) of every row of ``docs``.
+
+    ``dictionary`` words of ``longest`` bytes at most are folded once and go to all tasks.
+    """
     ranks = ranks_of(rank_path)
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
-    known = ranks.words()
-    if dictionary:
-        found = [(w,) for w in frequent_words(docs.select(F.explode(words).alias("word")), dictionary, tracked) if w not in known]
-        if found:
-            own = Literals(spark)
-            ids = ranks.fold(F.col("word"), own)
-            folded = own.attach(spark.createDataFrame(found, "word string").repartition(spark.sparkContext.defaultParallelism)).select("word", ids.alias("ids"))
-            known |= {r["word"]: r["ids"] for r in folded.collect()}
-    ready = Dictionary(known)
-    literals = Literals(spark)
+    known = known_words(docs.select(F.explode(words).alias("word")), ranks, dictionary, longest)
+    literals = Literals(docs.sparkSession)
     # the words are read once, else they and the literals would stay columns below the fold
-    one = lambda w: _let(ready.slot(w, literals), lambda at: F.when(ready.holds(w, at, literals), ready.at(at, literals)).otherwise(ranks.fold(w, literals)))
-    ids = F.flatten(F.transform("words", one))
+    ids = F.flatten(F.transform("words", lambda w: known.find(w, literals, ranks.fold(w, literals))))
     return literals.attach(docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))).select("doc_id", ids.alias("ids"))
 
 
 def decode(encoded: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded`` (binary)."""
-    return encoded.withColumn("decoded", ranks_of(rank_path).decode(F.col(ids_col)))
+    literals = Literals(encoded.sparkSession)
+    decoded = ranks_of(rank_path).decode(F.col(ids_col), literals)
+    return literals.attach(encoded).select(*encoded.columns, decoded.alias("decoded"))

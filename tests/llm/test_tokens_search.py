@@ -216,7 +216,7 @@ def test_bpe_against_the_library(spark, dictionary):
     texts = [*TEXTS, None, *["".join(r.choice(" \n\taeé'sST1.,-İ日́") for _ in range(r.randrange(60))) for _ in range(100)]]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "the the", 1), (None, "the the", 1)], "doc_id long, text string, ids int")
     enc = reference_encoding()
-    out = bpe.decode(bpe.encode(df, MULTI, P.PATTERN, dictionary=dictionary, tracked=1024), MULTI).collect()
+    out = bpe.decode(bpe.encode(df, MULTI, P.PATTERN, dictionary=dictionary), MULTI).collect()
     for row in out:
         t = "the the" if row["doc_id"] is None else texts[row["doc_id"]] or ""
         assert row["ids"] == enc.encode_ordinary(t), repr(t)
@@ -225,6 +225,20 @@ def test_bpe_against_the_library(spark, dictionary):
     assert bpe.encode(df.limit(0), MULTI, P.PATTERN).collect() == []
 
 
+def test_bpe_of_long_words(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefghij") for _ in range(8000)), "x" * 20000, "日" * 3000, " " * 5000 + "a", "ab" * bpe.SHORT]
+    enc = reference_encoding()
+    out = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), MULTI, P.PATTERN).collect()
+    assert {x["doc_id"]: x["ids"] for x in out} == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_frequent_words_are_the_most_frequent(spark):
+    df = spark.createDataFrame([(w,) for n, w in enumerate("abcdefgh") for _ in range(n)], "word string")
+    assert sorted(r["word"] for r in bpe.frequent_words(df, 3, 64).collect()) == ["f", "g", "h"]
+    assert bpe.frequent_words(df.limit(0), 3, 64).collect() == []
+
+
 def test_bpe_over_the_table(spark, sf):
     enc = reference_encoding()
     docs = {r["doc_id"]: r["text"] or "" for r in queries.table(spark, sf, "documents").collect()}

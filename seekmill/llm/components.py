@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekmill.llm.storage import materialize
+from seekmill.llm.storage import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = materialize(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct())
+        before, star = star, materialize(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct())
+        discard(before)
         was, state = state, _state(star)
         if state == was:
             break

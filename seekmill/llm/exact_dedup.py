@@ -2,8 +2,10 @@
 
 A Misra-Gries style sketch (``approx_top_k``) proposes frequent digests, an exact aggregate
 verifies them, and the verified winners are broadcast: rows of frequent digests get their answer
-map-side. Every digest with more than a ``1/tracked`` share of the rows is among the proposals, so
-what is left to shuffle holds no large group.
+map-side. A sketch of ``tracked`` counters misses no digest with more than a ``1/tracked`` share of the
+rows it saw, and all counters are proposed, so what is left to shuffle holds no large group; it is
+aggregated where it is read, and joined back by sort-merge, which AQE can split. Sketches merge in two
+levels, so no task takes one of every other task.
 
 Cases: a null text counts as empty; all other texts are compared unchanged. A null ``doc_id`` is
 smaller than any other; a group of null ids only keeps its rows. Rows that repeat a ``doc_id`` and
@@ -13,7 +15,9 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekmill.llm.storage import materialize
@@ -23,21 +27,30 @@ def _digest(text_col: str):
     return F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", candidates: int = 256, tracked: int = 4096) -> DataFrame:
+def frequent_digests(rows: DataFrame, tracked: int) -> list[int]:
+    """Hashes of the digests that may be frequent, ``tracked`` at most, by sketches merged in two levels."""
+    groups = max(1, math.isqrt(rows.rdd.getNumPartitions()))
+    part = rows.groupBy((F.spark_partition_id() % groups).alias("g")).agg(F.expr(f"approx_top_k_accumulate(xxhash64(digest), {tracked})").alias("s"))
+    top = part.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
+    found = top.select(F.expr(f"approx_top_k_estimate(s, {tracked})").alias("top")).first()
+    return [x["item"] for x in (found and found["top"]) or [] if x["count"] > 1]
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = 4096) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest (binary SHA-256).
 
-    ``candidates`` bounds the broadcast (rows of 56 bytes); ``tracked`` is the sketch's counters.
+    ``tracked`` is the sketch's counters and bounds the broadcast: rows of 56 bytes.
     """
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("digest")))
     key = F.xxhash64("digest")
-    top = rows.agg(F.expr(f"approx_top_k(xxhash64(digest), {candidates}, {tracked})").alias("top")).first()["top"]
-    heavy = [x["item"] for x in top or []]
+    heavy = frequent_digests(rows, tracked)
     is_heavy = key.isin(heavy) if heavy else F.lit(False)
 
-    winners = rows.where(is_heavy).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    group = (F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    winners = rows.where(is_heavy).groupBy("digest").agg(*group)
     split = rows.where(is_heavy).join(F.broadcast(winners), "digest")
-    same = Window.partitionBy("digest")
-    rest = rows.where(~is_heavy).withColumns({"keep_id": F.max("doc_id").over(same), "group_size": F.count("*").over(same)})
+    rest = rows.where(~is_heavy)
+    rest = rest.join(rest.groupBy("digest").agg(*group).hint("merge"), "digest")
     out = split.select("doc_id", "keep_id", "group_size", "digest").unionByName(rest.select("doc_id", "keep_id", "group_size", "digest"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 

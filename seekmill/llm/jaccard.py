@@ -32,6 +32,7 @@ from seekmill.llm.shingles import SIZE, mix, shingle_set
 from seekmill.llm.storage import materialize
 
 SIGNED = "doc_id long, n int, s1 long, s2 long, bands array<long>"
+BROADCAST_ROWS, SALTS = 1 << 16, 64
 VERIFIED = "rep long, links long, root long, unit long, giant boolean, other long"
 
 
@@ -97,8 +98,9 @@ def _expand(size: int):
                 s = shingle_set(row["text"], size).tobytes()
                 units = row["units"]
                 k = len(units)
-                for lo in range(0, k, 64):
-                    part = units[lo : lo + 64]
+                step = max(1, min(64, (64 << 20) // max(1, len(s))))  # copies of a set in a batch
+                for lo in range(0, k, step):
+                    part = units[lo : lo + step]
                     m = len(part)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -230,6 +232,15 @@ def _deal(members: DataFrame, unit: str, blocks: str, kind: int) -> DataFrame:
     return dealt.select("rep", "unit", F.least("own", "with").alias("bi"), F.greatest("own", "with").alias("bj"), "own", F.lit(kind).alias("kind"))
 
 
+def _by_part(rows: DataFrame, giants: DataFrame, count: int, how: str = "inner") -> DataFrame:
+    """``rows`` (rep, part) joined with a row a large component. Most rows may be of one component, so they are
+    not dealt by it: ``giants`` is broadcast up to a checked number of rows, else each of its rows is sent to many tasks."""
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(giants), "part", how)
+    spread = giants.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(spread, ["part", "_salt"], how).drop("_salt")
+
+
 def _digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
@@ -269,17 +280,18 @@ def _compared(docs: DataFrame, threshold: float, size: int, recall: float, block
     parts = connected_components(inside.select(F.col("rep").alias("u"), F.col("head").alias("v")))
     parts = materialize(parts.select(F.col("node").alias("rep"), F.col("component").alias("part")))
     per_part = parts.groupBy("part").agg(F.count("*").alias("m")).withColumn("pb", F.ceil(F.col("m") / block))
+    giants = materialize(per_part.where(F.col("pb") > 1))
 
-    small = parts.join(per_part.where(F.col("pb") == 1), "part")
+    large = giants.count()
+    small = _by_part(parts, giants, large, "left_anti")
     units = small.select("rep", F.col("part").alias("unit"), F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("own"), F.lit(0).alias("kind"))
-    giants = materialize(per_part.where(F.col("pb") > 1))
-    if giants.limit(1).count():
-        big = parts.join(giants, "part")
+    if large:
+        big = _by_part(parts, giants, large)
         by_bucket = inside.join(big, "rep").withColumn("bb", F.ceil(F.col("c") / block))
-        shipped = by_bucket.groupBy("part").agg(F.sum("bb").alias("by_bucket"), F.first("m").alias("m"), F.first("pb").alias("pb"))
-        whole = shipped.select("part", (F.col("m") * F.col("pb") <= F.col("by_bucket")).alias("whole"))
-        dense = big.join(whole.where("whole"), "part")
-        loose = by_bucket.join(whole.where(~F.col("whole")), "part")
+        shipped = by_bucket.groupBy("part").agg(F.sum("bb").alias("by_bucket"), F.max("m").alias("m"), F.max("pb").alias("pb"))
+        whole = materialize(shipped.select("part", (F.col("m") * F.col("pb") <= F.col("by_bucket")).alias("whole")))
+        dense = _by_part(big, whole.where("whole"), large)
+        loose = _by_part(by_bucket, whole.where(~F.col("whole")), large)
         units = units.unionByName(_deal(dense, "part", "pb", 1)).unionByName(_deal(loose, "band", "bb", 2))
     wanted = units.groupBy("rep").agg(F.collect_list(F.struct("unit", "bi", "bj", "own", "kind")).alias("units"))
     # one row a representative and its blocks; texts move once, to meet them

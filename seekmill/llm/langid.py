@@ -7,14 +7,14 @@ one lookup serves all models; contexts have a row of interpolation weights. The
 lowest cross-entropy a character wins.
 
 Learning uses a bounded sample: per language the ``per_language`` labelled rows of lowest hash,
-those of at most ``LONG`` characters first; a fifth of them is set aside to calibrate. Calibration
+those of at most ``long`` characters first; a fifth of them is set aside to calibrate. Calibration
 picks the sharpness of the score (softmax of the negative cross-entropies) and, per language, the
 cross-entropy above which a text is rejected: the median of other languages' texts under that model, so
 a rejected text fits its best language no better than a foreign text does, and never below the worst
 genuine text with a tenth added. Short texts get ``SLACK / sqrt(characters)`` more, three standard errors.
 
 Cases: a null text or one without letters gets ``und``, score 0 and is rejected; without labelled
-rows every text is ``und`` but those with letters are not rejected; rows with null language or id teach nothing; repeated rows are each
+rows every text is ``und`` but those with letters are not rejected; rows with null language or id teach nothing; rows that repeat in full teach once and are each
 answered; whole texts are read in segments, so long ones need no more memory; other columns are ignored.
 """
 
@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seekmill.llm.storage import materialize
+
 ORDER = 4
 SEGMENT = 1 << 20
-LONG = 20_000
 BLANK = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 FLOOR = 1.5
@@ -241,22 +242,32 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, per_language: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def _sample(rows: DataFrame, per_language: int, long: int) -> DataFrame:
+    """lang, text, aside: the ``per_language`` distinct rows a language of lowest draw, shorter texts first.
+
+    Rows are thinned to about four times that many a language before any are ranked, by approximate
+    counts that tasks make where they read, so a language that most rows have sends few rows to its task."""
+    rows = rows.withColumns({"hash": F.xxhash64("text"), "long": F.length("text") > long})
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "hash", F.lit("language sample")))
+    counts = rows.groupBy("lang").agg(*[F.approx_count_distinct(F.when(F.col("long") == x, F.col("draw"))).alias(n) for x, n in ((False, "short"), (True, "longer"))])
+    share = lambda n: F.lit(4.0 * per_language) / F.greatest(F.col(n), F.lit(1))
+    shares = counts.select("lang", share("short").alias("short"), F.when(F.col("short") < 2 * per_language, share("longer")).otherwise(0.0).alias("longer"))
+    thin = rows.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1 << 31)) < F.when(F.col("long"), F.col("longer")).otherwise(F.col("short")) * (1 << 31))
+    once = thin.dropDuplicates(["doc_id", "lang", "hash"])
+    best = Window.partitionBy("lang").orderBy("long", "draw", "doc_id", "hash")
+    ranked = once.withColumn("k", F.row_number().over(best)).where(F.col("k") <= per_language)
+    return ranked.select("lang", "text", (F.col("k") % 5 == 0).alias("aside"))
+
+
+def train(docs: DataFrame, per_language: int = 500, long: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A calibrated model from the labelled rows of ``docs``; callers hold out rows by a filter.
 
-    The sample has ``per_language`` rows a language at most, which bounds what is broadcast (ids)
-    and what the driver gets (the sample's distinct character n-grams).
+    The sample has ``per_language`` distinct rows a language at most, texts of up to ``long`` characters
+    first, which bounds what the driver gets (the sample's distinct character n-grams).
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    draw = F.xxhash64("doc_id", F.lit("language sample"))
-    by = Window.partitionBy("lang").orderBy("long", "draw", "doc_id")
-    chosen = rows.select("doc_id", "lang", (F.length("text") > LONG).alias("long"), draw.alias("draw")).withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_language)
-    ids = chosen.select("doc_id", "lang", (F.col("k") % 5 == 0).alias("aside")).distinct().toArrow()
-    if not ids.num_rows:
-        return Model([], [], [], np.zeros(0))
-    picked = F.broadcast(spark.createDataFrame(ids.to_pandas()))
-    sample = rows.join(picked, ["doc_id", "lang"]).select("lang", "text", "aside")
+    sample = materialize(_sample(rows, per_language, long))
     table = sample.where(~F.col("aside")).select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = np.array(table.column("lang").to_pylist(), dtype=object)
     keys, n = table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy()

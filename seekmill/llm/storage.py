@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
@@ -39,16 +40,28 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``materialize`` made and nothing reads any more."""
+    folders = {f.rpartition("/")[0].rpartition("/")[2] for f in table.inputFiles()}
+    for spark, path in [x for x in _made if x[1].rpartition("/")[2] in folders]:
+        _delete(spark, path)
+        _made.remove((spark, path))
+
+
 def release() -> None:
     """Deletes every intermediate table of this process; results that still read them break."""
     while _made:
         spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM may be gone already when the process ends
-            pass
+            _delete(spark, path)
+        except (Py4JError, ConnectionError, AttributeError):  # the JVM is gone when the process ends
+            return
 
 
 atexit.register(release)

@@ -10,7 +10,8 @@ home); the score of its kth hit there goes along to all other shards, which prun
 start and return hits of at least that score. Queries are streamed in blocks and not broadcast, so
 memory is a shard and a batch, however many queries there are.
 
-Components become ``floor(scale * x)``; sums are exact in doubles while scores stay below 2**53.
+Components become ``floor(scale * x)``; sums are exact in doubles while scores stay below 2**53. Larger
+scores are rounded to doubles, and those beyond a long's range come back as its nearest end.
 
 Cases: vectors that are null or hold null or non-finite components, and rows with a null id, take no
 part; rows that share an id count once, with the greatest vector; vectors meet only vectors of equal
@@ -115,7 +116,7 @@ class BallTree:
                 who[q] = np.take_along_axis(names, top, axis=1)
                 least[q] = np.maximum(least[q], best[q, -1])
         row, col = np.nonzero(best > -np.inf)
-        return row, who[row, col], np.rint(best[row, col]).astype(np.int64)
+        return row, who[row, col], np.clip(np.rint(best[row, col]), -(2.0**63), 2.0**63 - 1024).astype(np.int64)
 
 
 def _search(k: int):
@@ -182,10 +183,17 @@ def _search(k: int):
     return run
 
 
+def _own_task(df: DataFrame, parts: int) -> Column:
+    """A value for each shard whose hash deals it to a task of its own among ``parts``."""
+    tries = df.sparkSession.range(32 * parts + 64).select(F.col("id").cast("int").alias("x"))
+    taken = {r["task"]: r["x"] for r in tries.groupBy(F.pmod(F.hash("x"), F.lit(parts)).alias("task")).agg(F.min("x").alias("x")).collect()}
+    return F.get(F.lit([taken.get(i, i) for i in range(parts)]), F.col("shard"))
+
+
 def _round(vectors: DataFrame, queries: DataFrame, parts: int, k: int) -> DataFrame:
     """Searches ``queries`` (shard, vec_id, v, floor) in their shards."""
     both = vectors.select("shard", F.lit(VECTOR).alias("tag"), "vec_id", "v", F.lit(0.0).alias("floor")).unionByName(queries.select("shard", F.lit(QUERY).alias("tag"), "vec_id", "v", "floor"))
-    met = both.repartition(parts, "shard").sortWithinPartitions("shard", "tag", "vec_id", "v")
+    met = both.repartition(parts, _own_task(both, parts)).sortWithinPartitions("shard", "tag", "vec_id", "v")
     return met.mapInArrow(_search(k), HITS)
 
 

@@ -3,14 +3,15 @@
 Dated list entries (kind, value, action, day) become validity intervals [day, day of the next
 entry of that key). An as-of join evaluates every capture against the entries active on its fetch
 day. Kind ``domain`` matches a host and all below it; kind ``url`` matches one address without
-scheme, user, port, fragment and trailing slash.
+scheme, user, port, fragment and trailing slash. List values are brought to the same form as captures,
+with or without a scheme, so entries that differ in form only are one.
 
 Captures are first reduced to distinct (host, day), so a hot host costs a row a day; only those are
 expanded to domain suffixes. Both joins are plain equi-joins that AQE can split or broadcast by size.
 
 Cases: entries of one key and day count once, and ``remove`` wins over ``add``; a null or
 unparsable URL, a host over 253 characters (no DNS name is longer) or a null fetch day matches
-nothing and is not blocked; repeated captures are each answered; an empty list blocks nothing. Of
+nothing and is not blocked; an entry without a host counts for nothing; repeated captures are each answered; an empty list blocks nothing. Of
 several active entries the URL's own is reported, else the longest domain. Other columns are ignored.
 """
 
@@ -34,9 +35,16 @@ def address_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_replace(rest, "/$", ""))
 
 
+def entry_key(kind: Column, value: Column) -> Column:
+    """The host or address that a list value stands for; null if there is none."""
+    url = F.when(value.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), value).otherwise(F.concat(F.lit("http://"), F.regexp_replace(value, r"^\.", "")))
+    return F.when(kind == "domain", host_of(url)).when(kind == "url", address_of(url))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """kind, value, valid_from, valid_to (null: still active) for the periods on the list."""
-    one = entries.where(F.col("value").isNotNull() & F.col("day").isNotNull()).groupBy("kind", "value", "day").agg(F.max("action").alias("action"))
+    keyed = entries.select("kind", entry_key(F.col("kind"), F.btrim(F.col("value"))).alias("value"), "day", "action")
+    one = keyed.where(F.col("value").isNotNull() & F.col("day").isNotNull()).groupBy("kind", "value", "day").agg(F.max("action").alias("action"))
     by_key = Window.partitionBy("kind", "value").orderBy("day")
     before = one.withColumn("was", F.lag("action").over(by_key)).where(F.col("was").isNull() | (F.col("was") != F.col("action")))
     return before.withColumn("valid_to", F.lead("day").over(by_key)).where(F.col("action") == "add").select("kind", "value", F.col("day").alias("valid_from"), "valid_to")

@@ -94,8 +94,8 @@ def test_exact_dedup_odd_rows_and_heavy_groups(spark):
     for i, t in rows:
         groups[t or ""].append(i)
     want = Counter((i, max((x for x in groups[t or ""] if x is not None), default=None), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
-    for candidates in (1, 256):
-        out = exact_dedup.exact_dedup(frame(spark, rows), candidates=candidates, tracked=512).collect()
+    for tracked in (16, 512):
+        out = exact_dedup.exact_dedup(frame(spark, rows), tracked=tracked).collect()
         assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["digest"].hex()) for r in out) == want
         assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in out)
     assert exact_dedup.exact_dedup(frame(spark, [])).collect() == []
@@ -106,8 +106,8 @@ def test_exact_dedup_odd_rows_and_heavy_groups(spark):
 
 def test_drop_copies_leaves_one_row_of_each_text(spark):
     rows = [(1, "a"), (3, "a"), (3, "a"), (None, "b"), (None, "b"), (4, None), (4, ""), *[(9, "hot")] * 300, (10, "c")]
-    for candidates in (1, 256):
-        left = exact_dedup.drop_copies(frame(spark, rows), candidates=candidates, tracked=512)
+    for tracked in (16, 512):
+        left = exact_dedup.drop_copies(frame(spark, rows), tracked=tracked)
         assert left.columns == ["doc_id", "text", "digest", "kept"]
         assert Counter((r["doc_id"], r["text"] or "") for r in left.collect()) == Counter([(3, "a"), (None, "b"), (4, ""), (9, "hot"), (10, "c")])
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seekmill.llm import components, jaccard, langid, queries, shingles
 
@@ -197,6 +198,17 @@ def test_segments_do_not_change_a_long_text(monkeypatch):
     assert m.entropy("1 2 3") is None and m.entropy(None) is None and m.entropy("") is None
 
 
+def test_the_sample_is_bounded_by_rows(spark):
+    hot = spark.range(20_000).selectExpr("1L doc_id", "'the cat sat on the mat' text", "'en' lang", "id score")
+    many = spark.range(5000).selectExpr("2L doc_id", "concat('le chat ', id) text", "'fr' lang", "id score")
+    long = spark.range(30).selectExpr("id doc_id", "repeat(concat('wort ', id, ' '), 5000) text", "'de' lang", "id score")
+    short = spark.range(10).selectExpr("id doc_id", "concat('kurz ', id) text", "'de' lang", "id score")
+    rows = langid._sample(hot.unionByName(many).unionByName(long).unionByName(short), 500, 20_000)
+    assert {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()} == {"en": 1, "fr": 500, "de": 40}
+    few = langid._sample(long.unionByName(short), 20, 20_000).collect()
+    assert len(few) == 20 and sum(r["text"].startswith("kurz") for r in few) == 10 and sum(r["aside"] for r in few) == 4
+
+
 def test_identify_odd_tables(spark):
     schema = "doc_id long, text string, lang string, score string"
     empty = spark.createDataFrame([], schema)

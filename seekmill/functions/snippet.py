@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 #: Where a snippet without a match may end, and where sentences end.
 SOFT_ENDS = tuple(x.encode() for x in ("。", "，", "！", "？", ",", ".", "!", "?", " "))
 SENTENCE_ENDS = tuple(x.encode() for x in ("。", "！", "？", "\n", ". ", "! ", "? "))
-LEAD = 100
 
 
 def _boundary(data: bytes, at: int, step: int) -> int:
@@ -31,7 +30,7 @@ def snippet(content: str | None, keywords: list[str], size: int = 300) -> str:
         cut = _boundary(data, size, -1)
         last = max(data[:cut].rfind(d) for d in SOFT_ENDS)
         return data[: last if last > cut * 2 // 3 else cut].decode() + "..."
-    start = _boundary(data, max(0, min(found) - LEAD), -1)
+    start = _boundary(data, max(0, min(found) - size // 3), -1)
     end = min(len(data), _boundary(data, min(len(data), start + size), 1))
     part = data[start:end]
     if start:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,5 +115,5 @@ def highlight_words(query: Column) -> Column:
 
 def highlight(text: Column, words: list[str]) -> Column:
     """Escaped text with the words marked, case ignored."""
-    safe = escape_html(text)
-    return F.regexp_replace(safe, f"(?i)({'|'.join(words)})", "<em>$1</em>") if words else safe
+    safe, marked = escape_html(text), "|".join(re.escape(w) for w in words if w)
+    return F.regexp_replace(safe, f"(?i)({marked})", "<em>$1</em>") if marked else safe

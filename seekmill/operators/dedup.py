@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +40,25 @@ def simhash(docs: DataFrame, counts: DataFrame, text_col: str = "text") -> DataF
     return docs.select("doc_id").join(hashed, "doc_id", "left").select("doc_id", F.coalesce("h", F.lit(0)).alias("h"))
 
 
-def near_pairs(hashes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
+def blocks_for(n: int, distance: int = 3, room: int = 4, most: int = 10) -> int:
+    """The fewest blocks whose keys are so long that ``n`` even fingerprints leave ``room`` a key at most."""
+    fits = (b for b in range(distance + 2, most) if n <= room << BITS * (b - distance) // b)
+    return next(fits, most)
+
+
+def near_pairs(hashes: DataFrame, distance: int = 3, blocks: int | None = None) -> DataFrame:
     """Pairs i < j with Hamming distance up to ``distance`` between the first documents of different
     fingerprints, and that distance.
 
     Of ``blocks`` blocks of bits, at least ``blocks - distance`` agree in such a pair, so an equi-join on
     every choice of that many blocks finds all. More blocks make longer keys, so smaller buckets, and
-    more keys; five give ten keys of 25 bits for distance 3.
+    more keys; for distance 3 five give ten keys of 25 bits, eight 56 of 40. The default follows the
+    number of fingerprints.
     """
     first = hashes.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    if blocks is None:
+        first = checkpointed(first)
+        blocks = blocks_for(first.count(), distance)
     edges = [round(BITS * b / blocks) for b in range(blocks + 1)]
     keys = []
     for k, chosen in enumerate(combinations(range(blocks), blocks - distance)):
@@ -60,7 +72,7 @@ def near_pairs(hashes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFra
     return found.where(far <= distance).select(F.col("l.doc_id").alias("i"), F.col("r.doc_id").alias("j"), far.cast("int").alias("distance")).distinct()
 
 
-def near_links(hashes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFrame:
+def near_links(hashes: DataFrame, distance: int = 3, blocks: int | None = None) -> DataFrame:
     """``near_pairs``, and for each further document of a fingerprint a row (the fingerprint's first document, it, 0).
 
     No document is missing and rows grow with documents: two documents are near if their first documents
@@ -74,28 +86,46 @@ def near_links(hashes: DataFrame, distance: int = 3, blocks: int = 5) -> DataFra
     return near_pairs(held, distance, blocks).unionByName(members)
 
 
-def keep_first(hashes: DataFrame, distance: int = 3, blocks: int = 5, rounds: int = 200) -> DataFrame:
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges in order of (j, i) -> the j that stay: those whose lower neighbours all went."""
+    gone: set[int] = set()
+    now, stays = None, True
+    for batch in batches:
+        kept = []
+        for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if j != now:
+                if now is not None:
+                    kept.append(now) if stays else gone.add(now)
+                now, stays = j, True
+            stays = stays and i in gone
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["doc_id"])
+    if now is not None and stays:
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64())], names=["doc_id"])
+
+
+def keep_first(hashes: DataFrame, distance: int = 3, blocks: int | None = None, local: int = 1 << 20) -> DataFrame:
     """doc_id of the documents that stay: in id order, a document goes if one that stays is near.
 
     Documents of equal fingerprint stand or fall with the first of them, so only first ones are
     compared. A document is decided once all its lower neighbours are: each round keeps those whose
-    lower neighbours all went, then drops their neighbours, until none is left.
+    lower neighbours all went, then drops their neighbours. Once ``local`` edges or fewer are open, one
+    task walks them in order, so a long chain of neighbours takes no long row of rounds.
     """
-    edges = checkpointed(near_pairs(hashes, distance, blocks))
+    hashes = checkpointed(hashes)
+    edges = checkpointed(near_pairs(hashes, distance, blocks).select("i", "j"))
     first = hashes.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     kept = first.join(edges.select(F.col("j").alias("doc_id")).distinct(), "doc_id", "left_anti")
     newly, open_edges = kept, edges
-    for _ in range(rounds):
+    while open_edges.count() > local:
         gone = open_edges.join(newly.select(F.col("doc_id").alias("i")), "i", "left_semi").select("j").distinct()
         # edges from or to a dropped document decide nothing any more
         left = open_edges.join(gone, "j", "left_anti").join(gone.select(F.col("j").alias("i")), "i", "left_anti")
         waiting = open_edges.select("j").distinct().join(gone, "j", "left_anti")
         newly = checkpointed(waiting.join(left.select("j").distinct(), "j", "left_anti").select(F.col("j").alias("doc_id")))
         open_edges = checkpointed(left)
-        kept = kept.unionByName(newly)
-        if not open_edges.limit(1).count():
-            return kept
-    raise RuntimeError("more rounds are needed than allowed")
+        kept = checkpointed(kept.unionByName(newly))
+    last = open_edges.repartition(1).sortWithinPartitions("j", "i").mapInArrow(_walk, "doc_id long")
+    return kept.unionByName(last)
 
 
 def renumbered(docs: DataFrame, order: str = "doc_id") -> DataFrame:

@@ -38,14 +38,15 @@ def idf(n_docs: int, df: Column) -> Column:
     return F.log2(F.lit(float(n_docs)) / (df + 1))
 
 
-def tfidf(counts: DataFrame, n_docs: int) -> DataFrame:
-    """doc_id, term, weight: tf times idf over its document's norm; zero weights are kept.
+def tfidf(counts: DataFrame, n_docs: int, frequencies: DataFrame | None = None) -> DataFrame:
+    """doc_id, term, weight: tf times idf over its document's norm; zero weights are kept. ``frequencies``
+    are those of all documents where ``counts`` has some of them only.
 
     The document total cancels in the normalised weight, but a document whose weights are all zero
     keeps them, so both norms are taken from the same products. One shuffle by term (document
     frequency) and one by document (norm); no sort is needed, and hot terms split under AQE.
     """
-    freq = document_frequencies(counts)
+    freq = document_frequencies(counts) if frequencies is None else frequencies
     raw = counts.join(freq, "term").select("doc_id", "term", "n", (F.col("n") * idf(n_docs, F.col("df"))).alias("w"))
     norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, "doc_id").select("doc_id", "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.lit(0.0)).alias("weight"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seekmill.functions import text as tx
 from seekmill.functions.snippet import snippet_column
 from seekmill.operators import dedup, hot, index, lexicon, search, suggest
+from seekmill.sources.shared import checkpointed, spread
 from seekmill.streaming.clicks import count_to_table, stream_clicks
 
 #: A few function words and signs of the four languages.
@@ -29,7 +30,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _stop(spark: SparkSession) -> DataFrame:
@@ -40,28 +41,48 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.term_counts(index.terms(_docs(spark, sf_dir), _stop(spark)))
 
 
-def _picked(spark: SparkSession, sf_dir: str) -> list[str]:
-    freq = index.document_frequencies(_counts(spark, sf_dir)).where(F.col("term").rlike("^[a-z]{3,}$"))
+def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that several parts of a plan read."""
+    return checkpointed(_counts(spark, sf_dir))
+
+
+def _size(spark: SparkSession, sf_dir: str) -> int:
+    return _read(spark, sf_dir, "documents").count()
+
+
+def _picked(frequencies: DataFrame) -> list[str]:
+    freq = frequencies.where(F.col("term").rlike("^[a-z]{3,}$"))
     best = [r["term"] for r in freq.orderBy(F.desc("df"), "term").limit(max(PICKED) + 1).collect()]
     return [best[min(k, len(best) - 1)] for k in PICKED] if best else []
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.tfidf(_counts(spark, sf_dir), _docs(spark, sf_dir).count())
+    return index.tfidf(_kept(spark, sf_dir), _size(spark, sf_dir))
 
 
-def _vector(spark: SparkSession, sf_dir: str, absent: bool = True) -> DataFrame:
-    words = _picked(spark, sf_dir) + [ABSENT] * absent
-    terms = spark.createDataFrame([(w,) for w in words], "term string")
-    return search.query_vector(terms, index.document_frequencies(_counts(spark, sf_dir)), _docs(spark, sf_dir).count())
+def _vector(spark: SparkSession, sf_dir: str, absent: bool = True, frequencies: DataFrame | None = None) -> DataFrame:
+    freq = checkpointed(index.document_frequencies(_counts(spark, sf_dir))) if frequencies is None else frequencies
+    words = _picked(freq) + ([ABSENT] if absent else [])
+    query = spark.createDataFrame([(w,) for w in words], "term string")
+    return search.query_vector(query, freq, _size(spark, sf_dir))
 
 
-def _sparse(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    return search.sparse_search(_index(spark, sf_dir), _vector(spark, sf_dir), k)
+def _matches(spark: SparkSession, sf_dir: str, absent: bool = True, strict: bool = False) -> DataFrame:
+    """The query's matches: terms are counted once, and only documents with a term of the query get weights."""
+    counts = _kept(spark, sf_dir)
+    freq = checkpointed(index.document_frequencies(counts))
+    vector = checkpointed(_vector(spark, sf_dir, absent, freq))
+    having = counts.join(F.broadcast(vector.select("term")), "term", "left_semi").select("doc_id").distinct()
+    weights = index.tfidf(counts.join(having, "doc_id", "left_semi"), _size(spark, sf_dir), freq)
+    return search.matches(weights, vector, strict)
 
 
 def _all_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matches(_index(spark, sf_dir), _vector(spark, sf_dir)).select("doc_id", F.round("score", 9).alias("sparse_score"))
+    return _matches(spark, sf_dir).select("doc_id", F.round("score", 9).alias("sparse_score"))
+
+
+def _sparse(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
+    return search.top(_all_sparse(spark, sf_dir), k, "sparse_score", F.col("doc_id"))
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int = 60) -> DataFrame:
@@ -79,15 +100,17 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def _en(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.english_dictionary(_docs(spark, sf_dir), _stop(spark))
+    return checkpointed(lexicon.english_dictionary(_docs(spark, sf_dir), _stop(spark)))
 
 
 def _cn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.chinese_dictionary(_docs(spark, sf_dir), _stop(spark))
 
 
-def _word(spark: SparkSession, sf_dir: str) -> str:
-    return _en(spark, sf_dir).where(F.length("word") >= 5).orderBy(F.desc("freq"), "word").first()["word"]
+def _suggested(spark: SparkSession, sf_dir: str, use: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """``use`` on the dictionary and its most frequent word of five letters or more."""
+    en = _en(spark, sf_dir)
+    return use(en, en.where(F.length("word") >= 5).orderBy(F.desc("freq"), "word").first()["word"])
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +131,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = [*_picked(spark, sf_dir), ABSENT]
+    words = [*_picked(index.document_frequencies(_counts(spark, sf_dir))), ABSENT]
     at = F.array_min(F.array(*[tx.keyword_position(F.col("text"), F.lit(w)) for w in words]))
     return _docs(spark, sf_dir).select("doc_id", at.cast("long").alias("pos"))
 
@@ -128,7 +151,7 @@ def _search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _picked(spark, sf_dir)
+    words = _picked(index.document_frequencies(_counts(spark, sf_dir)))
     page = _results(spark, sf_dir)
     return page.select("doc_id", snippet_column(F.col("content"), words).alias("abstract"), F.round("final_score", 6).alias("final_score"))
 
@@ -162,7 +185,7 @@ QUERIES: dict[str, Query] = {
     "cn_dict": _cn,
     "en_char_index": lambda s, d: lexicon.character_index(_en(s, d)),
     "cn_char_index": lambda s, d: lexicon.character_index(_cn(s, d)),
-    "tf": lambda s, d: _rounded(index.term_frequencies(_counts(s, d)), "tf"),
+    "tf": lambda s, d: _rounded(index.term_frequencies(_kept(s, d)), "tf"),
     "doc_len": lambda s, d: index.document_lengths(_counts(s, d)),
     "df": lambda s, d: index.document_frequencies(_counts(s, d)),
     "idf": lambda s, d: index.document_frequencies(_counts(s, d)).select("term", F.round(index.idf(_docs(s, d).count(), F.col("df")), 6).alias("idf")),
@@ -170,8 +193,8 @@ QUERIES: dict[str, Query] = {
     "tfidf_index": lambda s, d: _rounded(_index(s, d), "weight"),
     "postings": lambda s, d: index.postings(_index(s, d)).select("term", F.size("postings").cast("long").alias("n"), F.get("postings", F.lit(0))["doc_id"].alias("first_doc")),
     "query_vector": lambda s, d: _rounded(_vector(s, d).select("term", "q_weight"), "q_weight"),
-    "and_candidates": lambda s, d: search.matches(_index(s, d), _vector(s, d)).select("doc_id"),
-    "and_candidates_strict": lambda s, d: search.matches(_index(s, d), _vector(s, d, absent=False), strict=True).select("doc_id"),
+    "and_candidates": lambda s, d: _matches(s, d).select("doc_id"),
+    "and_candidates_strict": lambda s, d: _matches(s, d, absent=False, strict=True).select("doc_id"),
     "sparse_search": lambda s, d: _rounded(_sparse(s, d), "sparse_score"),
     "dense_search": lambda s, d: _rounded(_dense(s, d), "score"),
     "hybrid_search": lambda s, d: _rounded(_hybrid(s, d), "sparse_score", "dense_score", "final_score"),
@@ -183,10 +206,10 @@ QUERIES: dict[str, Query] = {
     "highlight_words": lambda s, d: _docs(s, d).select("doc_id", F.explode(tx.highlight_words(F.col("text"))).alias("word")),
     "normalize_key": lambda s, d: _docs(s, d).select("doc_id", tx.normalize_key(F.col("text")).alias("key")),
     "levenshtein": lambda s, d: suggest.levenshtein_pairs(_en(s, d).select("word"), "thering"),
-    "suggest_prefix": lambda s, d: suggest.by_prefix(_en(s, d), _word(s, d)[:2]),
-    "suggest_corrections": lambda s, d: suggest.corrections(_en(s, d), _word(s, d)[:3] + "zz"),
-    "suggest_corrections_ref": lambda s, d: suggest.corrections(_en(s, d), _word(s, d)[:3] + "zz", order="reference"),
-    "suggest": lambda s, d: suggest.suggest(_en(s, d), _word(s, d)),
+    "suggest_prefix": lambda s, d: _suggested(s, d, lambda en, word: suggest.by_prefix(en, word[:2])),
+    "suggest_corrections": lambda s, d: _suggested(s, d, lambda en, word: suggest.corrections(en, word[:3] + "zz")),
+    "suggest_corrections_ref": lambda s, d: _suggested(s, d, lambda en, word: suggest.corrections(en, word[:3] + "zz", order="reference")),
+    "suggest": lambda s, d: _suggested(s, d, suggest.suggest),
     "simhash": lambda s, d: _hashes(s, d).select("doc_id", _hex(F.col("h")).alias("h")),
     "hamming_pairs": lambda s, d: dedup.near_pairs(_hashes(s, d)),
     "hamming_links": lambda s, d: dedup.near_links(_hashes(s, d)),

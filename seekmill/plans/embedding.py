@@ -1,8 +1,13 @@
-"""Document embeddings by a caller's model, in batches on the executors."""
+"""Embeddings by a caller's model: of documents in batches on the executors, of queries over HTTP."""
 
 from __future__ import annotations
 
+import json
+import logging
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.request import Request, urlopen
 
 import numpy as np
 import pandas as pd
@@ -11,6 +16,8 @@ from pyspark.sql import functions as F
 
 from seekmill.functions.text import indexed_text
 
+log = logging.getLogger("seekmill.embedding")
+
 
 def embed_documents(docs: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 32) -> DataFrame:
     """vec_id, embedding (L2-normalised) of ``title + " " + content``. ``load`` runs once a task and
@@ -27,3 +34,55 @@ def embed_documents(docs: DataFrame, load: Callable[[], Callable[[list[str]], np
                 yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "embedding": list(m / np.where(norm > 0, norm, 1))})
 
     return rows.mapInPandas(run, "vec_id long, embedding array<float>")
+
+
+def query_embedder(url: str, seconds: float = 3.0) -> Callable[[str], list[float] | None]:
+    """A query's vector from an embedding service at ``url``; None if that fails or takes over ``seconds`` in all,
+    so that a slow model never holds up a search."""
+    pool = ThreadPoolExecutor(8, "embedding")
+
+    def ask(query: str) -> list[float]:
+        request = Request(url, json.dumps({"query": query}).encode(), {"Content-Type": "application/json"})
+        with urlopen(request, timeout=seconds) as reply:
+            return [float(x) for x in json.load(reply)["embedding"]]
+
+    def embed(query: str) -> list[float] | None:
+        try:
+            return pool.submit(ask, query).result(seconds)
+        except Exception as e:  # whatever fails there, the search goes on without it
+            log.warning("no embedding for %r: %r", query, e)
+            return None
+
+    return embed
+
+
+def embedding_server(model: Callable[[list[str]], np.ndarray], port: int = 8765, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+    """Serves POST /embed ({"query"} to {"embedding", "dim"}, L2-normalised) and GET /health by ``model``."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def _reply(self, status: int, body: dict[str, object]) -> None:
+            data = json.dumps(body).encode()
+            self.send_response(status)
+            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self) -> None:  # noqa: N802
+            self._reply(200, {"status": "ok"}) if self.path == "/health" else self._reply(404, {"error": "no such path"})
+
+        def do_POST(self) -> None:  # noqa: N802
+            if self.path != "/embed":
+                return self._reply(404, {"error": "no such path"})
+            try:
+                query = json.loads(self.rfile.read(int(self.headers.get("Content-Length") or 0)))["query"]
+            except (ValueError, KeyError, TypeError) as e:
+                return self._reply(422, {"error": repr(e)})
+            v = np.asarray(model([query])[0], np.float64)
+            norm = float(np.linalg.norm(v))
+            return self._reply(200, {"embedding": (v / norm if norm else v).tolist(), "dim": len(v)})
+
+        def log_message(self, text: str, *args: object) -> None:
+            log.info(text, *args)
+
+    return ThreadingHTTPServer((host, port), Handler)

@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
+import heapq
+import json
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekmill.functions.snippet import snippet_column
+from seekmill.functions.snippet import snippet
 from seekmill.functions.text import indexed_text, tokenize
-from seekmill.operators import dedup, hot, index, lexicon, search, suggest
+from seekmill.operators import dedup, index, lexicon, search, suggest
 from seekmill.plans.cache import LruCache
+from seekmill.sources.shared import checkpointed
 from seekmill.sources.sinks import json_array, write_sorted
 
+NO_DOCUMENT = {"link": "", "title": "", "content": ""}
+#: The field names of the JSON answers.
+RESULT_FIELDS = ("id", "title", "link", "abstract", "sparseScore", "denseScore", "finalScore")
+HOT_FIELDS = ("rank", "id", "title", "link", "clickCount")
 RESULT = "doc_id long, title string, link string, abstract string, sparse_score double, dense_score double, final_score double"
 
 
-def build(docs: DataFrame, path: str, stopwords: DataFrame | None = None, texts: dict[str, DataFrame] | None = None, tokens: Callable[[Column], Column] = tokenize, distance: int = 3) -> None:
-    """Writes documents (without near-duplicates), postings, frequencies and dictionaries under ``path``.
+def to_json(rows: list[dict[str, object]]) -> str:
+    return json.dumps(rows, ensure_ascii=False)
+
+
+def build(docs: DataFrame, path: str, stopwords: DataFrame | None = None, texts: dict[str, DataFrame] | None = None, tokens: Callable[[Column], Column] = tokenize, distance: int = 3, renumber: bool = False) -> None:
+    """Writes documents (without near-duplicates), postings, frequencies, dictionaries and character indexes
+    under ``path``. ``renumber`` gives the documents that stay the ids 1..n in order; vectors are then made from those.
 
     ``docs`` has doc_id, link, title, content; ``texts`` may hold frames ``cn`` and ``en`` with a column text."""
     spark = docs.sparkSession
     whole = docs.withColumn("text", indexed_text(F.col("title"), F.col("content")))
-    counts = index.term_counts(index.terms(whole, stopwords, tokens=tokens))
+    counts = checkpointed(index.term_counts(index.terms(whole, stopwords, tokens=tokens)))
     hashes = dedup.simhash(docs, counts, "content")
     kept = docs.join(dedup.keep_first(hashes, distance), "doc_id", "left_semi")
-    write_sorted(kept, f"{path}/documents", "doc_id")
+    ids = kept.select("doc_id", F.col("doc_id").alias("new_id"))
+    if renumber:
+        ids = checkpointed(dedup.renumbered(kept.select("doc_id")).select("doc_id", "new_id"))
+    new = lambda df: df.join(ids, "doc_id").drop("doc_id").withColumnRenamed("new_id", "doc_id")
+    write_sorted(new(kept).select(*docs.columns), f"{path}/documents", "doc_id")
     kept = spark.read.parquet(f"{path}/documents")
-    left = counts.join(kept.select("doc_id"), "doc_id", "left_semi")
+    left = new(counts)
     write_sorted(index.tfidf(left, kept.count()), f"{path}/index", "term", "doc_id")
     write_sorted(spark.read.parquet(f"{path}/index").groupBy("term").agg(F.count("*").alias("df")), f"{path}/frequencies", "term")
     empty = spark.createDataFrame([], "text string")
@@ -36,6 +54,8 @@ def build(docs: DataFrame, path: str, stopwords: DataFrame | None = None, texts:
     cn = lexicon.chinese_dictionary(texts.get("cn", empty), stopwords, tokens=tokens)
     en = lexicon.english_dictionary(texts.get("en", empty), stopwords)
     write_sorted(lexicon.merged_dictionary(cn, en), f"{path}/dictionary", "word")
+    for name, words in (("cn", cn), ("en", en)):
+        write_sorted(lexicon.character_index(words), f"{path}/characters_{name}", "ch", "word")
 
 
 @dataclass
@@ -54,6 +74,7 @@ class SearchService:
     alpha: float = 0.5
     strict: bool = False
     cache: LruCache = field(default_factory=lambda: LruCache(1000, 300.0))
+    doc_cache: LruCache = field(default_factory=lambda: LruCache(500))
 
     def __post_init__(self) -> None:
         self.docs = self.spark.read.parquet(f"{self.path}/documents")
@@ -61,7 +82,8 @@ class SearchService:
         self.frequencies = self.spark.read.parquet(f"{self.path}/frequencies")
         self.dictionary = self.spark.read.parquet(f"{self.path}/dictionary")
         self.n_docs = self.docs.count()
-        self.clicks: list[int] = []
+        self._clicks: Counter[int] = Counter()
+        self._lock = Lock()
 
     def total_docs(self) -> int:
         return self.n_docs
@@ -78,28 +100,41 @@ class SearchService:
         except Exception:  # a failing embedder degrades the result to sparse scores
             return None
 
-    def search(self, query: str, k: int = 20) -> DataFrame:
-        """doc_id, title, link, abstract and the three scores of the ``k`` best documents."""
-        none = self.spark.createDataFrame([], RESULT)
+    def _found(self, query: str, k: int) -> list[tuple]:
+        """Rows of ``RESULT``, best first. Only the ``k`` ranked rows reach the driver; their documents come by id."""
         words = [r["term"] for r in self.query_terms(query).select("term").distinct().collect()] if self.n_docs else []
         if not words or k <= 0:
-            return none
+            return []
         # the query's few words prune the sorted files
         freq = self.frequencies.where(F.col("term").isin(words))
         vector = search.query_vector(self.query_terms(query), freq, self.n_docs)
         found = search.matches(self.index.where(F.col("term").isin(words)), vector, self.strict).select("doc_id", F.col("score").alias("sparse_score"))
         q = self._vector(query)
         dense = search.dense_search(self.vectors, q, 3 * k) if q else None
-        ranked = search.fuse(found, dense, k, self.alpha)
-        page = search.with_documents(ranked, self.docs)
-        page = page.withColumn("abstract", snippet_column(F.col("content"), words))
-        return page.select("doc_id", "title", "link", "abstract", "sparse_score", "dense_score", "final_score").orderBy(F.desc("final_score"), "doc_id")
+        ranked = search.fuse(found, dense, k, self.alpha).collect()
+        docs = self.documents([r["doc_id"] for r in ranked])
+        rows = [(r["doc_id"], docs.get(r["doc_id"], NO_DOCUMENT), r) for r in sorted(ranked, key=lambda r: (-r["final_score"], r["doc_id"]))]
+        return [(i, d["title"], d["link"], snippet(d["content"], words), r["sparse_score"], r["dense_score"], r["final_score"]) for i, d, r in rows]
+
+    def documents(self, doc_ids: list[int]) -> dict[int, dict[str, str]]:
+        """link, title, content of the documents that are known; those in the cache aren't read again."""
+        held = {i: d for i in doc_ids if (d := self.doc_cache.get(i)) is not None}
+        lacking = [i for i in doc_ids if i not in held]
+        if lacking:
+            for r in self.docs.where(F.col("doc_id").isin(lacking)).select("doc_id", "link", "title", "content").collect():
+                held[r["doc_id"]] = {c: r[c] or "" for c in NO_DOCUMENT}
+                self.doc_cache.put(r["doc_id"], held[r["doc_id"]])
+        return held
+
+    def search(self, query: str, k: int = 20) -> DataFrame:
+        """doc_id, title, link, abstract and the three scores of the ``k`` best documents."""
+        return self.spark.createDataFrame(self._found(query, k), RESULT)
 
     def search_json(self, query: str, k: int = 20) -> str:
         key = query.strip(" \t\n\r\f\v").translate({c: c + 32 for c in range(65, 91)}), k
         found = self.cache.get(key)
         if found is None:
-            found = json_array(self.search(query, k))
+            found = to_json([dict(zip(RESULT_FIELDS, row, strict=True)) for row in self._found(query, k)])
             if found != "[]":
                 self.cache.put(key, found)
         return found
@@ -111,17 +146,25 @@ class SearchService:
         return json_array(self.suggest(query, k)) if query else "[]"
 
     def record_click(self, doc_id: int) -> None:
-        self.clicks.append(doc_id)
+        with self._lock:
+            self._clicks[doc_id] += 1
 
-    def _counts(self) -> DataFrame:
-        return hot.click_counts(self.spark.createDataFrame([(c,) for c in self.clicks], "doc_id long"))
+    def _hot(self, k: int) -> list[tuple]:
+        with self._lock:
+            best = heapq.nlargest(max(k, 0), self._clicks.items(), key=lambda x: (x[1], x[0]))
+        docs = self.documents([i for i, _ in best])
+        return [(rank, i, docs.get(i, NO_DOCUMENT)["title"], docs.get(i, NO_DOCUMENT)["link"], n) for rank, (i, n) in enumerate(best, 1)]
 
     def hot_pages(self, k: int = 10) -> DataFrame:
-        """rank, doc_id, click_count, title, link; a document that isn't known has empty fields."""
-        return search.with_documents(hot.hot(self._counts(), k), self.docs.select("doc_id", "title", "link")).orderBy("rank")
+        """rank, doc_id, title, link, click_count; ties go to the larger id, a document that isn't known has empty fields."""
+        return self.spark.createDataFrame(self._hot(k), "rank int, doc_id long, title string, link string, click_count long")
+
+    def hot_json(self, k: int = 10) -> str:
+        return to_json([dict(zip(HOT_FIELDS, row, strict=True)) for row in self._hot(k)])
 
-    def hot_stats(self) -> DataFrame:
-        return hot.hot_stats(self._counts())
+    def hot_stats(self) -> dict[str, int]:
+        with self._lock:
+            return {"uniqueDocs": len(self._clicks), "totalClicks": sum(self._clicks.values())}
 
     def set_cache_max_size(self, size: int) -> None:
         self.cache.set_max_size(size)
@@ -133,4 +176,4 @@ class SearchService:
         return self.cache.stats()
 
     def health(self) -> dict[str, object]:
-        return {"status": "ok", "documents": self.n_docs}
+        return {"status": "ok", "docs": self.n_docs}

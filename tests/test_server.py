@@ -1,35 +1,81 @@
 import json
 import struct
 import threading
+import time
 import urllib.error
 import urllib.request
 
+import numpy as np
 import pytest
 from test_service import DOCS, service  # noqa: F401
 
-from seekmill.plans.server import answer, server
+from seekmill.plans.embedding import embedding_server, query_embedder
+from seekmill.plans.server import answer, page_file, server
 from seekmill.sources import readers, sinks
 
 
 def test_answers(service):  # noqa: F811
     status, body = answer(service, "GET", "/search?q=pie&k=1")
-    assert status == 200 and len(json.loads(body)) == 1
+    (one,) = json.loads(body)
+    assert status == 200 and list(one) == ["id", "title", "link", "abstract", "sparseScore", "denseScore", "finalScore"]
+    assert one["denseScore"] == 0 and one["finalScore"] == one["sparseScore"] > 0
     assert answer(service, "GET", "/search") == (200, "[]")
     assert json.loads(answer(service, "GET", "/suggest?q=pea")[1])[0]["word"] == "pears"
-    assert answer(service, "POST", "/click?id=2")[0] == 200
-    assert json.loads(answer(service, "GET", "/hot?k=1")[1])[0]["title"] == "Pear"
-    assert json.loads(answer(service, "GET", "/health")[1])["documents"] == len(DOCS)
-    assert "hit_rate" in json.loads(answer(service, "GET", "/stats")[1])
-    assert answer(service, "POST", "/click?id=x")[0] == 400 and answer(service, "POST", "/click")[0] == 400
+    assert answer(service, "POST", "/click?id=2") == (200, '{"ok": true}')
+    assert json.loads(answer(service, "GET", "/hot?k=1")[1]) == [{"rank": 1, "id": 2, "title": "Pear", "link": "u2", "clickCount": 1}]
+    assert json.loads(answer(service, "GET", "/health")[1]) == {"status": "ok", "docs": len(DOCS)}
+    stats = json.loads(answer(service, "GET", "/stats")[1])
+    assert "hit_rate" in stats and stats["uniqueDocs"] == 1 and stats["totalClicks"] == 1
+    assert answer(service, "POST", "/click?id=x")[0] == 400
+    assert answer(service, "POST", "/click") == answer(service, "POST", "/click?id=") == (200, '{"ok": true}')
+    assert service.hot_stats()["totalClicks"] == 1
     assert answer(service, "GET", "/none")[0] == 404
 
 
-def test_over_http(service):  # noqa: F811
-    s = server(service, 0)
+def test_embedding_over_http(service):  # noqa: F811
+    def model(texts):
+        if "slow" in texts[0]:
+            time.sleep(1.5)
+        return np.array([[0.0, 2.0]])
+
+    s = embedding_server(model, 0)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{s.server_port}"
+    with urllib.request.urlopen(f"{base}/health") as r:
+        assert json.load(r) == {"status": "ok"}
+    embed = query_embedder(f"{base}/embed", 0.7)
+    assert embed("pears") == [0.0, 1.0]
+    began = time.monotonic()
+    assert embed("slow") is None and time.monotonic() - began < 1.2
+    service.embed, was = embed, service.embed
+    assert {r["doc_id"] for r in service.search("pears").collect()} == {1, 2, 3}
+    service.embed = query_embedder("http://127.0.0.1:9/embed", 0.7)
+    assert {r["doc_id"] for r in service.search("pears").collect()} == {2}
+    service.embed = was
+    with pytest.raises(urllib.error.HTTPError):
+        urllib.request.urlopen(f"{base}/embed", b"{}")
+    s.shutdown()
+
+
+def test_documents_come_from_the_cache(service):  # noqa: F811
+    first = service.documents([1, 2, 99])
+    assert set(first) == {1, 2} and first[2]["title"] == "Pear"
+    hits = service.doc_cache.stats()["hits"]
+    docs, service.docs = service.docs, None
+    assert service.documents([1, 2]) == first and service.doc_cache.stats()["hits"] == hits + 2
+    service.docs = docs
+
+
+def test_over_http(service, tmp_path):  # noqa: F811
+    (tmp_path / "index.html").write_text("<p>page</p>")
+    s = server(service, 0, static=str(tmp_path))
     threading.Thread(target=s.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{s.server_port}"
     with urllib.request.urlopen(f"{base}/suggest?q=pea") as r:
-        assert json.load(r)[0]["word"] == "pears"
+        assert json.load(r)[0]["word"] == "pears" and r.headers["Access-Control-Allow-Origin"] == "*"
+    with urllib.request.urlopen(f"{base}/") as r:
+        assert r.read() == b"<p>page</p>" and r.headers["Content-Type"] == "text/html"
+    assert page_file(tmp_path, "/../" + tmp_path.name + "/../x") is None
     with pytest.raises(urllib.error.HTTPError):
         urllib.request.urlopen(f"{base}/none")
     s.shutdown()

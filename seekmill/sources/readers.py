@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import struct
+import xml.parsers.expat
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +44,43 @@ def read_stopwords(spark: SparkSession, *paths: str) -> DataFrame:
     return words.where(F.col("word") != "").distinct()
 
 
+def _items(text: str) -> list[dict[str, str]]:
+    """Tags of the items of one RSS file, the first of each name; none if any of the file is malformed."""
+    parser, path, items, held = xml.parsers.expat.ParserCreate(), [], [], []
+
+    def start(name: str, _: object) -> None:
+        path.append(name)
+        if path == ["rss", "channel", "item"]:
+            items.append({})
+        held.append([])
+
+    def end(name: str) -> None:
+        found = "".join(held.pop())
+        if len(path) == 4 and path[:3] == ["rss", "channel", "item"]:
+            items[-1].setdefault(name, found)
+        path.pop()
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CharacterDataHandler = lambda data: held[-1].append(data) if held else None
+    try:
+        parser.Parse(text, True)
+    except xml.parsers.expat.ExpatError:
+        return []
+    return items
+
+
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files: link, title, content. Of content, content:encoded and description the first
-    that has text is cleaned; items without text, or whose text is markup only, are dropped."""
-    schema = "title string, link string, content string, `content:encoded` string, description string"
-    raw = _or_empty(spark, schema, lambda: spark.read.format("xml").options(rowTag="item", ignoreSurroundingSpaces="false", mode="DROPMALFORMED").schema(schema).load(path))
+    that has text is cleaned; items without text, or whose text is markup only, are dropped, and so is a
+    file that is not well-formed, as a whole."""
+    fields = ("title", "link", "content", "content:encoded", "description")
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [[item.get(f) for f in fields] for text in frame["text"] for item in _items(text)]
+            yield pd.DataFrame(rows, columns=list(fields), dtype=object)
+
+    raw = read_files(spark, path).mapInPandas(parse, "title string, link string, content string, `content:encoded` string, description string")
     content = clean_html(first_filled(F.col("content"), F.col("`content:encoded`"), F.col("description")))
     items = raw.select(F.coalesce("link", F.lit("")).alias("link"), F.coalesce("title", F.lit("")).alias("title"), content.alias("content"))
     return items.where(F.col("content") != "")
@@ -75,26 +111,64 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select(part("id").try_cast("long").alias("doc_id"), part("link").alias("link"), part("title").alias("title"), part("content").alias("content"))
 
 
+def read_document(spark: SparkSession, store: str, doc_id: int) -> dict[str, str] | None:
+    """One document of a page store by its offset: its file is opened there and its block alone is read.
+    None if the offsets don't have it or the block is no document."""
+    found = read_offsets(spark, f"{store}/offsets").where(F.col("doc_id") == doc_id).first()
+    if found is None:
+        return None
+    jvm, at = spark.sparkContext._jvm, found["offset"]
+    folder = jvm.org.apache.hadoop.fs.Path(f"{store}/pages")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
+    for f in files:
+        if at < f.getLen():
+            stream = system.open(f.getPath())
+            stream.seek(at)
+            block = bytes(stream.readNBytes(found["size"])).decode()
+            stream.close()
+            return document_of(block)
+        at -= f.getLen()
+    return None
+
+
+def document_of(block: str) -> dict[str, str] | None:
+    tags = {t: re.search(f"(?s)<{t}>(.*?)</{t}>", block) for t in ("id", "link", "title", "content")}
+    if not all(tags.values()):
+        return None
+    plain = lambda s: s.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&")
+    return {t: plain(m[1]) for t, m in tags.items()}
+
+
 VECTOR_MAGIC = 0x44454D42
 TRIE_MAGIC = b"TRIE"
 
 
+def vector_record(dim: int) -> np.dtype:
+    return np.dtype([("id", "<i4"), ("v", "<f4", (dim,))])
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Vector files (magic, count, dimension, then id and 32-bit floats each): vec_id, embedding. A file
     with another magic or a short one gives no rows."""
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for data in frame["content"]:
-                if len(data) < 12:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0):
+                data = cell.as_buffer()
+                if data.size < 12:
                     continue
                 magic, n, dim = struct.unpack_from("<Iii", data)
-                if magic != VECTOR_MAGIC or len(data) < 12 + n * (4 + 4 * dim):
+                if magic != VECTOR_MAGIC or n < 0 or dim < 0 or data.size < 12 + n * (4 + 4 * dim):
                     continue
-                rows = [struct.unpack_from(f"<i{dim}f", data, 12 + k * (4 + 4 * dim)) for k in range(n)]
-                yield pd.DataFrame({"vec_id": [r[0] for r in rows], "embedding": [list(r[1:]) for r in rows]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "vec_id long, embedding array<float>")
+                records = np.frombuffer(data, vector_record(dim), n, 12)
+                for at in range(0, n, 10_000):
+                    part = records[at : at + 10_000]
+                    ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * dim)
+                    vectors = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(part["v"]).ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(part["id"].astype(np.int64)), vectors], names=["vec_id", "embedding"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "vec_id long, embedding array<float>")
 
 
 def read_trie(spark: SparkSession, path: str) -> DataFrame:

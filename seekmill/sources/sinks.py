@@ -5,11 +5,13 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekmill.sources.readers import VECTOR_MAGIC
+from seekmill.sources.readers import VECTOR_MAGIC, vector_record
+from seekmill.sources.shared import checkpointed
 
 
 def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
@@ -32,18 +34,23 @@ def json_array(df: DataFrame) -> str:
 
 
 def vector_blocks(df: DataFrame) -> DataFrame:
-    """Vectors in the binary file layout, one block (a whole file's bytes) a partition: column ``data``."""
+    """Vectors in the binary file layout, one block (a whole file's bytes) a partition: column ``data``.
+    Partitions are to be small enough for a cell, so repartition large sets first."""
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, dim, body = 0, 0, []
-        for frame in frames:
-            for i, v in zip(frame["vec_id"], frame["embedding"], strict=True):
-                dim = len(v)
-                n += 1
-                body.append(struct.pack(f"<i{dim}f", i, *v))
-        yield pd.DataFrame({"data": [struct.pack("<Iii", VECTOR_MAGIC, n, dim) + b"".join(body)]})
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            n, dim = n + batch.num_rows, values.shape[1]
+            records = np.zeros(batch.num_rows, vector_record(dim))
+            records["id"], records["v"] = batch.column(0).to_numpy(), values
+            body.append(records.tobytes())
+        data = struct.pack("<Iii", VECTOR_MAGIC, n, dim) + b"".join(body)
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
-    return df.select("vec_id", "embedding").mapInPandas(pack, "data binary")
+    return df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).mapInArrow(pack, "data binary")
 
 
 def six_digits(weight: Column) -> Column:
@@ -81,3 +88,32 @@ def page_blocks(df: DataFrame) -> DataFrame:
     line = lambda tag, c: F.concat(F.lit(f"  <{tag}>"), c, F.lit(f"</{tag}>\n"))
     block = F.concat(F.lit("<doc>\n"), line("id", F.col("doc_id").cast("string")), line("link", safe("link")), line("title", safe("title")), line("content", safe("content")), F.lit("</doc>\n"))
     return df.select("doc_id", block.alias("block")).withColumn("size", F.octet_length("block").cast("long"))
+
+
+def write_page_store(docs: DataFrame, path: str) -> None:
+    """``path``/pages: blocks in doc_id order, whose files end to end are one store; ``path``/offsets: doc_id,
+    offset in that store and size, tab-separated. Ranges are written in parallel; a range starts after the
+    sizes of those before it, one row a range, which is what is broadcast."""
+    ranged = page_blocks(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    blocks = checkpointed(ranged.select("doc_id", "block", "size", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.groupBy("part").agg(F.sum("size").alias("bytes")).select("part", F.coalesce(F.sum("bytes").over(whole), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.withColumn("inside", inside).join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("inside")).alias("offset"), "size")
+    # the writer ends each value's line, so a block's own last line end goes
+    blocks.sortWithinPartitions("at").select(F.regexp_replace("block", "\n$", "")).write.mode("overwrite").text(f"{path}/pages")
+    write_tsv(offsets.sort("doc_id"), f"{path}/offsets")
+
+
+def write_postings(index: DataFrame, path: str) -> None:
+    """Lines of term, then doc_id and weight (six significant digits) of each document in ascending order, tab-separated."""
+    pairs = F.array_sort(F.collect_list(F.struct("doc_id", six_digits(F.col("weight")).alias("weight"))))
+    fields = F.flatten(F.transform("postings", lambda p: F.array(p["doc_id"].cast("string"), p["weight"].cast("string"))))
+    lines = index.groupBy("term").agg(pairs.alias("postings")).select("term", F.array_join(F.concat(F.array("term"), fields), "\t").alias("line"))
+    lines.repartitionByRange("term").sortWithinPartitions("term").select("line").write.mode("overwrite").text(path)
+
+
+def write_character_index(lists: DataFrame, path: str) -> None:
+    """Lines of a character (``ch``), then its ``words``, tab-separated, in ascending order."""
+    lines = lists.select("ch", F.array_join(F.concat(F.array("ch"), "words"), "\t").alias("line"))
+    lines.repartitionByRange("ch").sortWithinPartitions("ch").select("line").write.mode("overwrite").text(path)

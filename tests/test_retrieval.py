@@ -165,3 +165,24 @@ def test_hot(spark):
     assert hot.hot(counts, 0).collect() == []
     assert tuple(hot.hot_stats(counts).first()) == (4, 6)
     assert tuple(hot.hot_stats(counts.limit(0)).first()) == (0, 0)
+
+
+@pytest.mark.parametrize("local", [1 << 20, 490])
+def test_a_long_chain_of_neighbours(spark, local):
+    """Each of 500 documents is near the one before it and no other, so every second one stays."""
+    r, chain = random.Random(3), [0]
+    while len(chain) < 500:
+        a, b = r.sample(range(64), 2)
+        h = chain[-1] ^ (1 << a) ^ (1 << b)
+        if all((h ^ x).bit_count() > 3 for x in chain[:-1]):
+            chain.append(h)
+    hashes = [(k, h - (1 << 64) if h >> 63 else h) for k, h in enumerate(chain)]
+    df = spark.createDataFrame(hashes, "doc_id long, h long")
+    assert {x["doc_id"] for x in dedup.keep_first(df, local=local).collect()} == set(range(0, 500, 2))
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    fits = lambda n, b: n <= 4 << 64 * (b - 3) // b
+    for n in (0, 1000, 10**8, 10**9, 5 * 10**10, 10**13):
+        b = dedup.blocks_for(n)
+        assert fits(n, b) and (b == 5 or not fits(n, b - 1))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from test_service import DOCS, service  # noqa: F401
 
+from seekmill.operators import lexicon
 from seekmill.plans.embedding import embedding_server, query_embedder
 from seekmill.plans.server import answer, page_file, server
 from seekmill.sources import readers, sinks
@@ -91,3 +92,45 @@ def test_trie_and_page_files(spark, tmp_path):
     docs = spark.createDataFrame([(1, "l", "a < b", "c & d")], "doc_id long, link string, title string, content string")
     row = sinks.page_blocks(docs).first()
     assert "a &lt; b" in row["block"] and row["size"] == len(row["block"].encode())
+
+
+def test_page_store_by_offset(spark, tmp_path):
+    docs = [(k, f"u{k}", f"title <{k}> & é", "line one\nline two " + "日" * k) for k in range(40)]
+    store = str(tmp_path / "store")
+    sinks.write_page_store(spark.createDataFrame(docs, "doc_id long, link string, title string, content string").repartition(5), store)
+    offsets = {r["doc_id"]: (r["offset"], r["size"]) for r in readers.read_offsets(spark, f"{store}/offsets").collect()}
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "store" / "pages").glob("part-*")))
+    at = 0
+    for k, link, title, content in docs:
+        assert offsets[k][0] == at
+        block = data[at : at + offsets[k][1]].decode()
+        assert readers.document_of(block) == {"id": str(k), "link": link, "title": title, "content": content} and block.endswith("</doc>\n")
+        at += offsets[k][1]
+    assert at == len(data)
+    assert readers.read_document(spark, store, 17)["content"] == docs[17][3] and readers.read_document(spark, store, 99) is None
+
+
+def test_postings_and_character_files(spark, tmp_path):
+    rows = [("pie", 3, 0.123456789), ("pie", 1, 1.0), ("apple", 2, -0.5)]
+    sinks.write_postings(spark.createDataFrame(rows, "term string, doc_id long, weight double"), str(tmp_path / "inv"))
+    lines = "".join(p.read_text() for p in sorted((tmp_path / "inv").glob("part-*"))).splitlines()
+    assert lines == ["apple\t2\t-0.5", "pie\t1\t1.0\t3\t0.123457"]
+    assert {tuple(r) for r in readers.read_postings(spark, str(tmp_path / "inv")).collect()} == {("apple", 2, -0.5), ("pie", 1, 1.0), ("pie", 3, 0.123457)}
+    words = spark.createDataFrame([("ab", 1), ("b", 2)], "word string, freq long")
+    sinks.write_character_index(lexicon.character_lists(words), str(tmp_path / "chars"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "chars").glob("part-*"))).splitlines() == ["a\tab", "b\tab\tb"]
+
+
+def test_a_malformed_feed_goes_as_a_whole(spark, tmp_path):
+    item = "<item><title>t</title><link>l{}</link><description>text {}</description></item>"
+    (tmp_path / "good.xml").write_text("<?xml version='1.0'?><rss><channel>" + item.format(1, 1) + "<item><title>x</title></item></channel></rss>")
+    (tmp_path / "bad.xml").write_text("<rss><channel>" + item.format(2, 2) + "<item><title>open</channel></rss>")
+    (tmp_path / "other.xml").write_text("<feed>" + item.format(3, 3) + "</feed>")
+    assert [r["link"] for r in readers.read_rss(spark, str(tmp_path)).collect()] == ["l1"]
+
+
+def test_feeds_without_content_give_no_documents(spark, tmp_path):
+    items = "".join(f"<item>\r\n<title><![CDATA[n {k}]]></title><news_id>{k}</news_id><link>http://x/{k}</link><guid>{k}</guid><pubDate>d</pubDate></item>" for k in range(50))
+    (tmp_path / "edu.xml").write_text(f"<?xml version='1.0' encoding='UTF-8'?><rss version='2.0'><channel><title>c</title>{items}</channel></rss>")
+    assert len(readers._items((tmp_path / "edu.xml").read_text())) == 50
+    assert readers.read_rss(spark, str(tmp_path)).collect() == []

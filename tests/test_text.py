@@ -82,3 +82,14 @@ def test_segment(spark):
 def test_empty_frames(spark, n):
     df = spark.createDataFrame([("", None)] * n, "v string, w string")
     assert df.select(tx.tokenize(F.col("v")), tx.tokenize(F.col("w"))).count() == n
+
+
+def test_marked_words_are_taken_literally(spark):
+    df = spark.createDataFrame([("c++ (c) C++ ccc",)], "t string")
+    assert df.select(tx.highlight(F.col("t"), ["c++", "", "("]).alias("x")).first()["x"] == "<em>c++</em> <em>(</em>c) <em>C++</em> ccc"
+    assert df.select(tx.highlight(F.col("t"), [""]).alias("x")).first()["x"] == "c++ (c) C++ ccc"
+
+
+def test_snippets_lead_by_a_third_of_their_size():
+    text = "x" * 400 + " word " + "y" * 400
+    assert snippet(text, ["word"], 90) == "..." + text[401 - 30 : 401 + 60] + "..."

@@ -125,7 +125,10 @@ def test_join_over_the_table(spark, sf):
     assert got == brute(rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub,most", [(1024, 1 << 16), (2, 1 << 16), (2, 1)])
+def test_components(spark, monkeypatch, hub, most):
+    monkeypatch.setattr(components, "HUB_EDGES", hub)
+    monkeypatch.setattr(components, "MOST_HUBS", most)
     r = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(1000 + k, 1001 + k) for k in range(50)] + [(5000, 5000 + k) for k in range(1, 60)]
     parent = {}

@@ -19,8 +19,14 @@ LISTED_SITES = {
     "spam-farm": ["+2024-06-30"],
 }
 ENDINGS = ("example.com", "example.net", "example.org")
-#: One address that left the list and one that stays.
-LISTED_URLS = {"blog.tionsh.example.net/en/1": ["+2024-01-01", "-2024-07-01"], "tionsh.example.net/de/129652": ["+2024-01-01"]}
+#: Addresses of pages: listed still, and taken off before or after the page was fetched.
+LISTED_URLS = {
+    "blog.tionsh.example.net/en/1": ["+2024-01-01", "-2024-07-01"],
+    "tionsh.example.net/de/129652": ["+2024-01-01"],
+    "therha.example.com/en/676": ["+2024-03-01"],
+    "m.therou.example.com/en/474.html": ["+2024-01-01", "-2024-03-01", "+2024-05-01"],
+    "blog.thernd.example.net/de/612?utm_source=feed": ["+2024-01-01", "-2024-02-01"],
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -69,6 +69,12 @@ def test_against_a_plain_loop(spark, entries):
     assert sorted((tuple(r) for r in url_filter.url_filter(df, entries).collect()), key=str) == brute(captures)
 
 
+def test_the_query_meets_both_kinds_of_entries(spark):
+    found = {r["page_id"]: r for r in queries.op1_url_filters(spark, "/root/testdata/sf0.01").collect()}
+    assert {r["entry_kind"] for r in found.values()} == {"domain", "url", None}
+    assert [found[k]["entry_value"] for k in (3, 7, 20)] == ["therha.example.com/en/676", "m.therou.example.com/en/474.html", None]
+
+
 def test_empty_tables(spark, entries):
     df = spark.createDataFrame([(1, "http://example.com", D(2024, 1, 20))], "page_id long, url string, fetch_day date")
     assert [r["blocked"] for r in url_filter.url_filter(df, entries.limit(0)).collect()] == [False]

@@ -200,7 +200,9 @@ def _round(vectors: DataFrame, queries: DataFrame, parts: int, k: int) -> DataFr
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64, shard_rows: int = 1 << 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the rows where ``is_query`` (a column of the integer ``vec_id``)."""
     spark = vectors.sparkSession
-    v = F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
+    # doubles of 2**53 or more are whole already, and may be too large for a long
+    whole = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+    v = F.transform(vector_col, lambda x: whole(F.lit(float(scale)) * x.cast("double")))
     raw = F.col(vector_col)
     sound = F.col(id_col).isNotNull() & raw.isNotNull() & (F.size(raw) > 0)
     sound &= F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

@@ -190,6 +190,13 @@ def test_top_k_against_brute_force(spark, shard_rows):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_scores_beyond_a_long_are_its_ends(spark):
+    rows = [(0, [1e30, 0.0]), (1, [1e30, 1.0]), (2, [-1e30, 0.0]), (3, [0.0, 3.4e38])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
+    assert got == [(1, 1, 2**63 - 1024), (2, 3, 0), (3, 2, -(2**63))]
+
+
 def test_ball_tree_bounds_hold():
     r = np.random.default_rng(5)
     v = r.normal(size=(500, 6))

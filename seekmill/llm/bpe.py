@@ -2,8 +2,13 @@
 
 A regular expression cuts texts into words, each encoded alone. A word's bytes are folded: every
 step finds the adjacent pair of pieces whose concatenation has the lowest rank (leftmost of equals)
-and joins it, until no pair has a rank. The rank map is a literal: an array in which a perfect hash
-of (left piece, right piece) finds the joined piece, so a lookup is two array reads and no scan.
+and joins it, until no pair has a rank. The rank map is a literal: an array in which every pair
+(left piece, right piece) has a slot of its own, so a lookup is two array reads and no scan.
+
+Before the fold, one pass joins the byte pairs that the fold would join whatever else it does: those
+whose rank is below that of every piece that could take their first byte from the left or their second
+from the right, and below that of every piece made of theirs and one more. The fold's other
+joins, and their order, stay what they were.
 
 The distinct words of all texts are counted, and the most frequent ones, a bounded number, are folded
 once each; with the vocabulary's own pieces they form a second literal, whose words are compared whole.
@@ -19,7 +24,6 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,41 +51,31 @@ def spark_hash(data: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-@dataclass
-class PerfectHash:
-    """Slots for a fixed set of distinct 64-bit hashes: ``slot = (h ^ moves[h >> shift & low]) & high``."""
-
-    size: int
-    shift: int
-    moves: pa.Array
-    order: list[int]  # which key is in each slot, -1 if none
-
-    @classmethod
-    def of(cls, hashes: list[int]) -> PerfectHash:
-        size = 1 << max(3, (len(hashes) + len(hashes) // 4).bit_length())
-        places = [h & (size - 1) for h in hashes]
-        for shift in range(24, 44):
-            groups = [h >> shift & (size // 4 - 1) for h in hashes]
-            if len(set(zip(groups, places, strict=True))) == len(hashes):
-                break
-        else:
-            raise ValueError("two keys have one hash")
-        buckets: list[list[int]] = [[] for _ in range(size // 4)]
-        for k, b in enumerate(groups):
-            buckets[b].append(k)
-        moves, order = [0] * len(buckets), [-1] * size
-        for b in sorted(range(len(buckets)), key=lambda b: -len(buckets[b])):
-            if not buckets[b]:
-                break
-            move = next(d for d in range(size) if all(order[places[k] ^ d] < 0 for k in buckets[b]))
-            moves[b] = move
-            for k in buckets[b]:
-                order[places[k] ^ move] = k
-        return cls(size, shift, pa.array(moves, pa.int64()), order)
-
-    def slot(self, h: Column, literals: Literals) -> Column:
-        move = F.get(literals.use(self.moves), F.shiftright(h, self.shift).bitwiseAND(F.lit(len(self.moves) - 1)).cast("int"))
-        return h.bitwiseXOR(move).bitwiseAND(F.lit(self.size - 1)).cast("int")
+def pair_slots(pairs: list[tuple[int, int]], pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """Moves of left pieces and slots of pairs, ``moves[left] + right``: no two pairs share a slot.
+
+    The left pieces with most pairs come first, each at the first place where its pairs find all slots free.
+    """
+    moves, slots = np.zeros(pieces, np.int64), np.zeros(len(pairs), np.int64)
+    if not pairs:
+        return moves, slots
+    left, right = np.array(pairs, np.int64).T
+    order = np.argsort(left, kind="stable")
+    starts = np.flatnonzero(np.diff(left[order], prepend=-1))
+    groups = sorted(np.split(order, starts[1:]), key=lambda g: -len(g))
+    taken, end = np.zeros(len(pairs) + 2 * pieces, bool), 0
+    for group in groups:
+        rights = right[group]
+        clash = np.zeros(end + 1, bool)  # at ``end`` all are free
+        for r in rights:
+            clash |= taken[r : r + end + 1]
+        move = int(np.argmin(clash))
+        moves[left[group]], slots[group] = move, move + rights
+        taken[slots[group]] = True
+        end = max(end, int(slots[group].max()) + 1)
+        if len(taken) < end + pieces + 1:
+            taken = np.concatenate([taken, np.zeros(len(taken), bool)])
+    return moves, slots
 
 
 class Literals:
@@ -112,9 +106,9 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 BITS = 20  # of a piece's rank, which is its id
 MASK = (1 << BITS) - 1
-NONE = 1 << 60  # in an empty slot
+OWNER = 2 * BITS + 1  # where a slot of the pair table names its left piece
+NONE = 1 << 62  # in an empty slot
 LAST = 1 << BITS  # in place of the rank of a pair that has none
-EDGE = LAST << BITS | MASK  # before the first and after the last piece: no piece, no pair
 GONE = -1  # in place of a piece that another took in
 SHORT = 48  # places up to which a pass over all of them is cheaper than slices
 
@@ -124,50 +118,92 @@ class Ranks:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        pairs = [(ranks[p[:i]] << BITS | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
-        self.table = PerfectHash.of([spark_hash(key.to_bytes(8, "little")) for key, _ in pairs])
-        self.joined = pa.array([pairs[k][0] << BITS | pairs[k][1] if k >= 0 else NONE for k in self.table.order], pa.int64())
-        # two bytes to the first one's place in the fold's state; the 257th is the end
-        byte = [ranks[bytes([b])] for b in range(256)]
-        self.of_bytes = pa.array([ranks.get(bytes([b, c]), LAST) << BITS | byte[b] for b in range(256) for c in range(256)], pa.int64())
-        self.of_last = pa.array([LAST << BITS | x for x in byte], pa.int64())
+        pairs = [(ranks[p[:i]], ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
+        self.edge = max(ranks.values(), default=0) + 1  # before the first and after the last piece: no piece, no pair
+        moves, slots = pair_slots([(left, right) for left, right, _ in pairs], self.edge + 1)
+        joined = np.full(slots.max(initial=-1) + 1, NONE)
+        joined[slots] = [left << OWNER | r << BITS | left for left, _, r in pairs]
+        self.moves, self.joined = pa.array(moves), pa.array(joined)
+        self.of_byte = pa.array([ranks[bytes([b])] for b in range(256)], pa.int64())
+        self.of_two = pa.array(self._two_bytes(), pa.int64())
         texts = [""] * (max(ranks.values(), default=0) + 1)
         for p, r in ranks.items():
             texts[r] = p.decode("iso-8859-1")
         self.texts = pa.array(texts, pa.string())
 
-    def _place(self, key: Column, literals: Literals) -> Column:
-        """A pair's rank, or ``LAST``, above its left piece; ``key`` holds left above right."""
-        # the key's bits cancel where the slot holds it, which leaves the rank
-        found = F.get(literals.use(self.joined), self.table.slot(F.xxhash64(key), literals)).bitwiseXOR(F.shiftleft(key, BITS))
-        return F.shiftleft(F.least(found, F.lit(LAST)), BITS).bitwiseOR(F.shiftright(key, BITS))
+    def _two_bytes(self) -> list[int]:
+        """For every two bytes, in fields of ``BITS``: their rank if it is below that of all pieces made of theirs and
+        one more, the least rank of a piece of which the second byte is the right part and the first ends the
+        left part, and of a piece of which the first is the left part and the second begins the right part."""
+        own, right, left, later = ([MASK] * (1 << 16) for _ in range(4))
+        at = lambda two: two[0] << 8 | two[1]
+        for p, r in self.ranks.items():
+            for a, b in ((p[:i], p[i:]) for i in range(1, len(p))):
+                if a not in self.ranks or b not in self.ranks:
+                    continue
+                if len(b) == 1:
+                    right[at(a[-1:] + b)] = min(right[at(a[-1:] + b)], r)
+                if len(a) == 1:
+                    left[at(a + b[:1])] = min(left[at(a + b[:1])], r)
+                for part in (a, b):
+                    if len(part) == 2:
+                        later[at(part)] = min(later[at(part)], r)
+            if len(p) == 2:
+                own[at(p)] = r
+        return [(o if o < x else MASK) << 2 * BITS | r << BITS | l for o, x, r, l in zip(own, later, right, left, strict=True)]
+
+    def _places(self, word: Column, literals: Literals) -> Column:
+        """The fold's first state without its edges: the sure joins of bytes are done."""
+
+        def pieces(codes: Column, two: Column) -> Column:
+            # a pair's rank above the mask stands for its first byte, and the next byte goes
+            from_left = lambda i: F.coalesce(F.shiftright(F.get(two, i - 1), BITS).bitwiseAND(F.lit(MASK)), F.lit(MASK))
+            from_right = lambda i: F.get(two, i + 1).bitwiseAND(F.lit(MASK))
+            own = lambda x: F.shiftright(x, 2 * BITS)
+            sure = lambda x, i: (x < MASK << 2 * BITS) & (own(x) < from_right(i)) & (own(x) < from_left(i))
+            byte = lambda i: F.get(literals.use(self.of_byte), F.get(codes, i))
+            joined = F.transform(two, lambda x, i: F.when(sure(x, i), own(x).bitwiseOR(F.lit(LAST))).otherwise(byte(i)))
+            left = _let(joined, lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) < LAST)))
+            return F.transform(left, lambda x: x.bitwiseAND(F.lit(MASK)))
+
+        # the end has neither a rank nor a bound
+        none = MASK << 2 * BITS | MASK << BITS | MASK
+        two = lambda p: F.transform(p, lambda c, i: F.coalesce(F.get(literals.use(self.of_two), c * 256 + F.get(p, i + 1)), F.lit(none)))
+        codes = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
+        joined = _let(codes, lambda p: _let(two(p), lambda t: pieces(p, t)))
+        return _let(joined, lambda p: F.transform(p, lambda x, i: self._place(x, F.coalesce(F.get(p, i + 1), F.lit(self.edge)), literals)))
+
+    def _place(self, left: Column, right: Column, literals: Literals) -> Column:
+        """The rank of a pair, or ``LAST``, above its left piece."""
+        slot = F.get(literals.use(self.moves), left) + right
+        # a slot's owner cancels where it is the left piece, and else makes the value too large; no slot is null
+        found = F.get(literals.use(self.joined), slot).bitwiseXOR(F.shiftleft(left, OWNER))
+        return F.least(found, left.bitwiseOR(F.lit(LAST << BITS)))
 
     def fold(self, word: Column, literals: Literals) -> Column:
         """Ids of one word (string). The state has a place a piece, with an edge at both ends: the rank of
         the piece with the next one above its own id, so the least place is the pair to join next."""
-        codes = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.ascii(c))
-        two = lambda c, n: F.get(literals.use(self.of_bytes), c * 256 + n)
-        places = _let(codes, lambda p: F.transform(p, lambda c, i: F.coalesce(two(c, F.get(p, i + 1)), F.get(literals.use(self.of_last), c))))
-        first = F.concat(F.array(F.lit(EDGE)), places, F.array(F.lit(EDGE)))
+        edge = F.array(F.lit(LAST << BITS | self.edge))
+        first = F.concat(edge, self._places(word, literals), edge)
 
-        def keys(s: Column, at: Column) -> tuple[Column, Column]:
-            made = F.shiftright(F.get(s, at - 1), BITS)
-            left = F.shiftleft(F.get(s, at - 2).bitwiseAND(F.lit(MASK)), BITS).bitwiseOR(made)
-            return left, F.shiftleft(made, BITS).bitwiseOR(F.get(s, at + 1).bitwiseAND(F.lit(MASK)))
+        made = lambda x: F.shiftright(x, BITS)
+        piece = lambda x: x.bitwiseAND(F.lit(MASK))
 
         def join(s: Column, at: Column) -> Column:
-            left, right = keys(s, at)
-            place = lambda key: _let(key, lambda k: self._place(k, literals))
-            new = lambda i: F.when(i == at, F.lit(GONE)).otherwise(place(F.when(i == at - 1, right).otherwise(left)))
-            passed = F.array_remove(F.transform(s, lambda x, i: F.when(i > at, x).when(i < at - 2, x).otherwise(new(i))), F.lit(GONE))
-            sliced = F.concat(F.slice(s, F.lit(1), at - 2), F.array(place(left), place(right)), F.slice(s, at + 2, F.size(s)))
+            before = lambda x: self._place(piece(x), made(F.get(s, at - 1)), literals)
+            joined = lambda x: self._place(made(x), piece(F.get(s, at + 1)), literals)
+            new = lambda x, i: F.when(i == at, F.lit(GONE)).when(i == at - 1, joined(x)).otherwise(before(x))
+            passed = F.array_remove(F.transform(s, lambda x, i: F.when(i > at, x).when(i < at - 2, x).otherwise(new(x, i))), F.lit(GONE))
+            both = F.array(before(F.get(s, at - 2)), joined(F.get(s, at - 1)))
+            sliced = F.concat(F.slice(s, F.lit(1), at - 2), both, F.slice(s, at + 2, F.size(s)))
             return F.when(F.size(s) > SHORT, sliced).otherwise(passed)
 
         def step(s: Column, _: Column) -> Column:
-            least = F.array_min(s)
-            return F.when(least >= LAST << BITS, s).otherwise(_let(F.array_position(s, least).cast("int"), lambda at: join(s, at)))
+            joined = lambda least: _let(F.array_position(s, least).cast("int"), lambda at: join(s, at))
+            return _let(F.array_min(s), lambda least: F.when(least >= LAST << BITS, s).otherwise(joined(least)))
 
-        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), first, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(F.lit(MASK)).cast("int")))
+        ids = lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: piece(x).cast("int"))
+        return _let(first, lambda s: F.aggregate(F.sequence(F.lit(1), F.size(s) - 2), s, step, ids))
 
     def words(self) -> dict[str, int]:
         """The pieces that are text: a word equal to one has its rank as its only id."""

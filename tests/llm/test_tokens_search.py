@@ -217,6 +217,15 @@ def test_spark_hash(spark):
     assert tuple(row) == (bpe.spark_hash("über".encode()), bpe.spark_hash(b"\x00\xff\x10"), bpe.spark_hash((123456789012).to_bytes(8, "little")))
 
 
+def test_pairs_have_slots_of_their_own():
+    r = random.Random(2)
+    pairs = sorted({(min(r.randrange(300), r.randrange(300)), r.randrange(300)) for _ in range(4000)})
+    moves, slots = bpe.pair_slots(pairs, 300)
+    assert len(set(slots.tolist())) == len(pairs)
+    assert all(moves[a] + b == slot for (a, b), slot in zip(pairs, slots, strict=True))
+    assert bpe.pair_slots([], 3)[0].tolist() == [0, 0, 0]
+
+
 @pytest.mark.parametrize("dictionary", [0, 50])
 def test_bpe_against_the_library(spark, dictionary):
     r = random.Random(1)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekmill.llm import bpe, exact_dedup, jaccard, langid, line_dedup, packing, sharding, token_files, topk, url_filter
+from seekmill.llm import bpe, exact_dedup, jaccard, langid, line_dedup, packing, periodic, sharding, token_files, topk, url_filter
 from seekmill.llm.storage import new_path
 
 #: Sites of the list, each under three endings, and the days they were added (+) or removed (-).
@@ -145,6 +145,27 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text where each tenth document (by its id's CRC-32) goes on in a period from a word of its own on. A null doc_id has no CRC."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    docs = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words")).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.expr("int(g % n)"))).withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))"))
+    cycle = F.expr("flatten(array_repeat(slice(words, a + 1, p), int(1 + (n - a) div p)))")
+    planted = F.array_join(F.slice(F.concat(F.expr("slice(words, 1, a)"), cycle), 1, F.col("n")), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.find_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    # runs ascend by start, then period, so the first of equal exponents stays
+    best = F.expr("aggregate(runs, CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>), (b, r) -> IF(b IS NULL OR r.length * b.period > b.length * r.period, r, b))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[k].cast("string") for k in ("start", "length", "period"))), F.lit("\n"))), "")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
@@ -156,5 +177,6 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_top_k_search": op9_top_k_search,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_top_k_search": OP9_SQL}

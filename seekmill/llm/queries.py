@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekmill.llm import bpe, exact_dedup, jaccard, langid, line_dedup, packing, periodic, sharding, token_files, topk, url_filter
+from seekmill.llm import bpe, chat, exact_dedup, jaccard, langid, line_dedup, packing, periodic, sharding, token_files, topk, url_filter
 from seekmill.llm.storage import new_path
 
 #: Sites of the list, each under three endings, and the days they were added (+) or removed (-).
@@ -145,6 +145,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation -7 says control strings in both of its turns."""
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.format_and_read(turns.unionByName(extra))
+
+
 def _with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id, text where each tenth document (by its id's CRC-32) goes on in a period from a word of its own on. A null doc_id has no CRC."""
     h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
@@ -177,6 +185,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_top_k_search": op9_top_k_search,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_chat_formatting": op12_chat_formatting,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_top_k_search": OP9_SQL}

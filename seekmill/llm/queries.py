@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seekmill.llm import bpe, chat, exact_dedup, jaccard, langid, line_dedup, packing, periodic, sharding, token_files, topk, url_filter
+from seekmill.llm import bpe, chat, exact_dedup, jaccard, langid, line_dedup, packing, periodic, sharding, spelling, token_files, topk, url_filter
 from seekmill.llm.storage import new_path
 
 #: Sites of the list, each under three endings, and the days they were added (+) or removed (-).
@@ -145,6 +145,32 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents"), change=spelling.respell(199)))
+
+
+# CRC-32 by its table of 256 remainders; code points up to U+00FF have two bytes at most
+OP11_SQL = """
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+found AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS n FROM found WHERE length(run) >= 6 GROUP BY ALL),
+bytes AS (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)] END)) AS b FROM runs),
+hashed AS (SELECT doc_id, run, n, xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)]), 4294967295::BIGINT)) AS h FROM bytes, crc),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words),
+cuts AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS cut FROM places),
+shorter AS (SELECT DISTINCT c.word AS a, c.n AS a_n, w.word AS b, w.n AS b_n FROM cuts c JOIN words w ON c.cut = w.word),
+near AS (SELECT a AS word, b AS other, b_n AS other_n FROM shorter UNION ALL SELECT b, a, a_n FROM shorter
+         UNION ALL SELECT x.word, y.word, y.n FROM cuts x JOIN cuts y ON x.cut = y.cut AND x.p = y.p AND x.word <> y.word),
+best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS k FROM near),
+formed AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 5 * w.n THEN b.other END AS form, CASE WHEN b.other_n >= 5 * w.n THEN b.other_n END AS form_n
+           FROM words w LEFT JOIN best b ON b.word = w.word AND b.k = 1),
+walk AS (SELECT word, word AS at, form AS next FROM formed UNION ALL SELECT w.word, f.word, f.form FROM walk w JOIN formed f ON f.word = w.next)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk w ON w.word = f.word AND w.next IS NULL
+"""
+
+
 def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation -7 says control strings in both of its turns."""
     says = "</s>[INST] ok [/INST]"
@@ -185,7 +211,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_top_k_search": op9_top_k_search,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_chat_formatting": op12_chat_formatting,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_top_k_search": OP9_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op9_top_k_search": OP9_SQL, "op11_spelling_variants": OP11_SQL}

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from seekmill.functions import text as tx
 from seekmill.functions.snippet import snippet_column
-from seekmill.operators import dedup, hot, index, lexicon, search, suggest
-from seekmill.sources.shared import checkpointed, spread
+from seekmill.operators import blocks, dedup, hot, index, lexicon, search, suggest
+from seekmill.sources.shared import checkpointed, new_folder, spread
 from seekmill.streaming.clicks import count_to_table, stream_clicks
 
 #: A few function words and signs of the four languages.
@@ -77,6 +77,17 @@ def _matches(spark: SparkSession, sf_dir: str, absent: bool = True, strict: bool
     return search.matches(weights, vector, strict)
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as blocks, written, so that readers skip the parts they don't need."""
+    path = new_folder(spark)
+    blocks.posting_blocks(_index(spark, sf_dir)).write.parquet(path)
+    return spark.read.schema(blocks.BLOCKS).parquet(path)
+
+
+def _block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.block_search(_blocks(spark, sf_dir), checkpointed(_vector(spark, sf_dir)))
+
+
 def _all_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).select("doc_id", F.round("score", 9).alias("sparse_score"))
 
@@ -192,10 +203,12 @@ QUERIES: dict[str, Query] = {
     "vocab": lambda s, d: _counts(s, d).select("term").distinct(),
     "tfidf_index": lambda s, d: _rounded(_index(s, d), "weight"),
     "postings": lambda s, d: index.postings(_index(s, d)).select("term", F.size("postings").cast("long").alias("n"), F.get("postings", F.lit(0))["doc_id"].alias("first_doc")),
+    "postings_blocks": lambda s, d: _rounded(blocks.expand(_blocks(s, d)).select("doc_id", "term", "weight"), "weight"),
     "query_vector": lambda s, d: _rounded(_vector(s, d).select("term", "q_weight"), "q_weight"),
     "and_candidates": lambda s, d: _matches(s, d).select("doc_id"),
     "and_candidates_strict": lambda s, d: _matches(s, d, absent=False, strict=True).select("doc_id"),
     "sparse_search": lambda s, d: _rounded(_sparse(s, d), "sparse_score"),
+    "sparse_search_blocks": lambda s, d: _rounded(_block_search(s, d), "sparse_score"),
     "dense_search": lambda s, d: _rounded(_dense(s, d), "score"),
     "hybrid_search": lambda s, d: _rounded(_hybrid(s, d), "sparse_score", "dense_score", "final_score"),
     "hybrid_degraded": lambda s, d: _rounded(search.fuse(_all_sparse(s, d), None), "sparse_score", "dense_score", "final_score"),
@@ -335,3 +348,4 @@ SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM walk ORDER BY k DESC LIMIT
     "hot_stats": f"WITH {_CLICKS} SELECT count(*) AS unique_docs, sum(click_count)::BIGINT AS total_clicks FROM clicks",
     "hot_docs_streaming": _HOT,
 }
+ORACLE_SQL |= {"postings_blocks": ORACLE_SQL["tfidf_index"], "sparse_search_blocks": ORACLE_SQL["sparse_search"]}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seekmill.functions.snippet import snippet
 from seekmill.functions.text import indexed_text, tokenize
-from seekmill.operators import dedup, index, lexicon, search, suggest
+from seekmill.operators import blocks, dedup, index, lexicon, search, suggest
 from seekmill.plans.cache import LruCache
 from seekmill.sources.shared import checkpointed
 from seekmill.sources.sinks import json_array, write_sorted
@@ -48,6 +48,7 @@ def build(docs: DataFrame, path: str, stopwords: DataFrame | None = None, texts:
     kept = spark.read.parquet(f"{path}/documents")
     left = new(counts)
     write_sorted(index.tfidf(left, kept.count()), f"{path}/index", "term", "doc_id")
+    blocks.posting_blocks(spark.read.parquet(f"{path}/index")).write.mode("overwrite").parquet(f"{path}/blocks")
     write_sorted(spark.read.parquet(f"{path}/index").groupBy("term").agg(F.count("*").alias("df")), f"{path}/frequencies", "term")
     empty = spark.createDataFrame([], "text string")
     texts = texts or {}
@@ -78,7 +79,7 @@ class SearchService:
 
     def __post_init__(self) -> None:
         self.docs = self.spark.read.parquet(f"{self.path}/documents")
-        self.index = self.spark.read.parquet(f"{self.path}/index")
+        self.blocks = self.spark.read.parquet(f"{self.path}/blocks")
         self.frequencies = self.spark.read.parquet(f"{self.path}/frequencies")
         self.dictionary = self.spark.read.parquet(f"{self.path}/dictionary")
         self.n_docs = self.docs.count()
@@ -108,9 +109,15 @@ class SearchService:
         # the query's few words prune the sorted files
         freq = self.frequencies.where(F.col("term").isin(words))
         vector = search.query_vector(self.query_terms(query), freq, self.n_docs)
-        found = search.matches(self.index.where(F.col("term").isin(words)), vector, self.strict).select("doc_id", F.col("score").alias("sparse_score"))
+        vector = self.spark.createDataFrame(vector.collect(), vector.schema)  # the query's few terms, read once
         q = self._vector(query)
-        dense = search.dense_search(self.vectors, q, 3 * k) if q else None
+        near = search.dense_search(self.vectors, q, 3 * k).collect() if q else []
+        # a document that only its sparse score ranks is among the k best of those that no vector is near
+        found = blocks.block_search(self.blocks, vector, k + len(near), self.strict)
+        dense = None
+        if near:
+            dense = self.spark.createDataFrame(near, "vec_id long, score double")
+            found = found.unionByName(blocks.scores_of(self.blocks, vector, [r["vec_id"] for r in near], self.strict)).distinct()
         ranked = search.fuse(found, dense, k, self.alpha).collect()
         docs = self.documents([r["doc_id"] for r in ranked])
         rows = [(r["doc_id"], docs.get(r["doc_id"], NO_DOCUMENT), r) for r in sorted(ranked, key=lambda r: (-r["final_score"], r["doc_id"]))]

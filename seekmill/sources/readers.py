@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import re
-import struct
 import xml.parsers.expat
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekmill.functions.text import clean_html, first_filled
+from seekmill.sources.binary import read_trie, read_vectors
 
 DOCUMENTS = "doc_id long, link string, title string, content string"
 
@@ -138,57 +136,3 @@ def document_of(block: str) -> dict[str, str] | None:
         return None
     plain = lambda s: s.replace("&lt;", "<").replace("&gt;", ">").replace("&amp;", "&")
     return {t: plain(m[1]) for t, m in tags.items()}
-
-
-VECTOR_MAGIC = 0x44454D42
-TRIE_MAGIC = b"TRIE"
-
-
-def vector_record(dim: int) -> np.dtype:
-    return np.dtype([("id", "<i4"), ("v", "<f4", (dim,))])
-
-
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Vector files (magic, count, dimension, then id and 32-bit floats each): vec_id, embedding. A file
-    with another magic or a short one gives no rows."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cell in batch.column(0):
-                data = cell.as_buffer()
-                if data.size < 12:
-                    continue
-                magic, n, dim = struct.unpack_from("<Iii", data)
-                if magic != VECTOR_MAGIC or n < 0 or dim < 0 or data.size < 12 + n * (4 + 4 * dim):
-                    continue
-                records = np.frombuffer(data, vector_record(dim), n, 12)
-                for at in range(0, n, 10_000):
-                    part = records[at : at + 10_000]
-                    ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * dim)
-                    vectors = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(part["v"]).ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(part["id"].astype(np.int64)), vectors], names=["vec_id", "embedding"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, "vec_id long, embedding array<float>")
-
-
-def read_trie(spark: SparkSession, path: str) -> DataFrame:
-    """The word list of a trie snapshot: word, freq. A file with another magic or version, or a short one, gives no rows."""
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for data in frame["content"]:
-                try:
-                    if data[:4] != TRIE_MAGIC or struct.unpack_from("<I", data, 4)[0] != 1:
-                        continue
-                    (n,), at, words = struct.unpack_from("<Q", data, 8), 16, []
-                    for _ in range(n):
-                        (size,) = struct.unpack_from("<I", data, at)
-                        word = data[at + 4 : at + 4 + size]
-                        (freq,) = struct.unpack_from("<Q", data, at + 4 + size)
-                        words.append((word.decode("utf-8", "replace"), freq))
-                        at += 12 + size
-                except struct.error:
-                    continue
-                yield pd.DataFrame(words, columns=["word", "freq"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "word string, freq long")

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seekmill.sources.readers import VECTOR_MAGIC, vector_record
+from seekmill.operators.trie import preorder, trie_rows
+from seekmill.sources.binary import TRIE_MAGIC, TRIE_VERSION, VECTOR_MAGIC, register, vector_record
 from seekmill.sources.shared import checkpointed
 
 
@@ -59,26 +60,17 @@ def six_digits(weight: Column) -> Column:
 
 
 def trie_bytes(words: dict[str, int]) -> bytes:
-    """A dictionary in the binary snapshot layout: header, word list, then the nodes of its trie in
-    preorder, children by character. For dictionaries that fit one file."""
+    """The same as one string, of a dictionary that fits the driver; its word list is in the order of ``words``."""
     entries = [(w.encode(), f) for w, f in words.items()]
-    head = b"TRIE" + struct.pack("<IQ", 1, len(entries)) + b"".join(struct.pack("<I", len(w)) + w + struct.pack("<Q", f) for w, f in entries)
-    nodes: list[bytes] = []
-
-    def visit(below: list[tuple[str, int]]) -> None:
-        own = [f for rest, f in below if not rest]
-        children: dict[str, list[tuple[str, int]]] = {}
-        for rest, f in below:
-            if rest:
-                children.setdefault(rest[0], []).append((rest[1:], f))
-        nodes.append(struct.pack("<BQI", bool(own), own[-1] if own else 0, len(children)))
-        for ch in sorted(children):
-            key = ch.encode()
-            nodes.append(struct.pack("<H", len(key)) + key)
-            visit(children[ch])
-
-    visit(list(words.items()))
-    return head + b"".join(nodes)
+    head = TRIE_MAGIC + struct.pack("<IQ", TRIE_VERSION, len(entries)) + b"".join(struct.pack("<I", len(w)) + w + struct.pack("<Q", f) for w, f in entries)
+    return head + preorder(words)
+
+
+def write_trie(dictionary: DataFrame, path: str) -> None:
+    """A dictionary (word, freq) as a trie snapshot, a set of files that end to end are one: header, word list, then
+    the nodes of its trie in preorder, children by character."""
+    register(dictionary.sparkSession)
+    trie_rows(dictionary).write.format("seekmill_trie").mode("overwrite").save(path)
 
 
 def page_blocks(df: DataFrame) -> DataFrame:

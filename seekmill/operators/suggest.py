@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from itertools import combinations
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekmill.functions.text import max_distance
@@ -38,14 +42,64 @@ def suggest(dictionary: DataFrame, query: str, k: int = 5, order: str = "intende
     return out.unionByName(more.select("word", "freq", F.lit("correction").alias("type")))
 
 
+def best(hits: DataFrame, k: int, *order: Column) -> DataFrame:
+    """``hits`` with ``rank``, the ``k`` first of each query. Every task keeps its own ``k`` a query before they meet, so
+    a query that most rows hit is no hot group."""
+    by = Window.partitionBy("query").orderBy(*order)
+    return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(k, 0))
+
+
 def batch_prefix(dictionary: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query, word, freq, rank for many queries (column ``query``): an equi-join on all prefixes of words."""
-    from pyspark.sql import Window
+    """query, word, freq, rank for many queries (column ``query``): the best words of every prefix, as far as the longest query
+    goes, then an equi-join. Ranked first, a prefix that most words have brings ``k`` rows a task to it."""
+    asked = queries.select("query").where(F.length("query") > 0).distinct()
+    longest = asked.agg(F.max(F.length("query")).alias("longest"))  # one row
+    words = dictionary.where(F.length("word") > 0).select("word", "freq").crossJoin(F.broadcast(longest)).where(F.col("longest").isNotNull())
+    prefixes = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.col("longest"))), lambda n: F.substring(F.col("word"), F.lit(1), n))
+    ranked = best(words.select("word", "freq", F.explode(prefixes).alias("query")), k, F.desc("freq"), F.col("word"))
+    return ranked.join(asked, "query").select("query", "word", "freq", "rank")
+
+
+KEYED = 10  # characters of a word that its deletions are made of
+
+
+def deletions(word: str, most: int) -> set[str]:
+    """The texts that the first ``KEYED`` characters give without ``most`` of them or fewer.
+
+    Two words within ``most`` edits share one: what an alignment of both leaves unmatched in two beginnings
+    of equal length is no more than its edits on either side.
+    """
+    begin = word[:KEYED]
+    n = len(begin)
+    return {"".join(begin[i] for i in kept) for size in range(max(0, n - most), n + 1) for kept in combinations(range(n), size)}
+
+
+def _keys(column: str, others: list[str]):
+    """Rows with a column ``most`` -> a row a deletion."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, most = batch.column(batch.schema.get_field_index(column)).to_pylist(), batch.column(batch.schema.get_field_index("most")).to_pylist()
+            for at in range(0, len(words), 500):
+                found = [sorted(deletions(w, m)) for w, m in zip(words[at : at + 500], most[at : at + 500], strict=True)]
+                rows = pa.array([at + i for i, f in enumerate(found) for _ in f], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f], pa.string()), *(batch.column(batch.schema.get_field_index(c)).take(rows) for c in others)], names=["key", *others])
+
+    return run
+
 
-    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n)))
-    hits = dictionary.where(F.length("word") > 0).select("word", "freq", prefixes.alias("query")).join(queries.select("query").distinct(), "query")
-    by = Window.partitionBy("query").orderBy(F.desc("freq"), "word")
-    return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+def batch_corrections(dictionary: DataFrame, queries: DataFrame, k: int = 5, order: str = "intended") -> DataFrame:
+    """query, word, freq, dist, rank for many queries: what ``corrections`` gives for each. Words and queries meet by an
+    equi-join on texts with a few characters deleted, and distances are then computed in full."""
+    words = dictionary.select("word", F.col("freq").cast("long").alias("freq"), F.when(F.length("word") <= 2, 2).otherwise(3).alias("most"))
+    asked = queries.select("query").where(F.col("query").isNotNull()).distinct().withColumn("most", max_distance(F.col("query")))
+    word_keys = words.mapInArrow(_keys("word", ["word", "freq"]), "key string, word string, freq long")
+    query_keys = asked.mapInArrow(_keys("query", ["query", "most"]), "key string, query string, most int")
+    met = word_keys.join(query_keys, "key").where(F.abs(F.length("word") - F.length("query")) <= F.col("most"))
+    # candidates are verified where they meet, so few of them move to be made distinct
+    near = met.withColumn("dist", F.levenshtein("word", "query", 3)).where((F.col("dist") >= 0) & (F.col("dist") <= F.col("most")))
+    keys = {"intended": [F.col("dist"), F.desc("freq"), F.col("word")], "reference": [F.desc("dist"), F.desc("freq"), F.desc("word")]}[order]
+    return best(near.select("query", "word", "freq", "dist").distinct(), k, *keys)
 
 
 def levenshtein_pairs(words: DataFrame, query: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seekmill.functions import text as tx
 from seekmill.functions.snippet import snippet_column
 from seekmill.operators import blocks, dedup, hot, index, lexicon, search, suggest
+from seekmill.sources import binary, sinks
 from seekmill.sources.shared import checkpointed, new_folder, spread
 from seekmill.streaming.clicks import count_to_table, stream_clicks
 
@@ -124,6 +125,30 @@ def _suggested(spark: SparkSession, sf_dir: str, use: Callable[[DataFrame, str],
     return use(en, en.where(F.length("word") >= 5).orderBy(F.desc("freq"), "word").first()["word"])
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of benchmark texts, as queries of suggestions."""
+    return lexicon.english_dictionary(_read(spark, sf_dir, "benchmark")).select("word")
+
+
+def _batch_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the first letter, and the first three, of the benchmark's words."""
+    words = _asked(spark, sf_dir)
+    return suggest.batch_prefix(_en(spark, sf_dir), words.select(F.explode(F.array(*[F.substring("word", 1, n) for n in (1, 3)])).alias("query")))
+
+
+def _vector_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors, written as a set of files and read back by ranges."""
+    path = new_folder(spark)
+    binary.write_vectors(_read(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull()), path)
+    return binary.read_vectors(spark, path).select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+
+
+def _trie_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark)
+    sinks.write_trie(_en(spark, sf_dir), path)
+    return binary.read_trie(spark, path)
+
+
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.simhash(_docs(spark, sf_dir), _counts(spark, sf_dir))
 
@@ -223,6 +248,10 @@ QUERIES: dict[str, Query] = {
     "suggest_corrections": lambda s, d: _suggested(s, d, lambda en, word: suggest.corrections(en, word[:3] + "zz")),
     "suggest_corrections_ref": lambda s, d: _suggested(s, d, lambda en, word: suggest.corrections(en, word[:3] + "zz", order="reference")),
     "suggest": lambda s, d: _suggested(s, d, suggest.suggest),
+    "suggest_prefix_batch": _batch_prefix,
+    "suggest_corrections_batch": lambda s, d: suggest.batch_corrections(_en(s, d), _asked(s, d).withColumnRenamed("word", "query")),
+    "vector_files": _vector_files,
+    "trie_words": _trie_words,
     "simhash": lambda s, d: _hashes(s, d).select("doc_id", _hex(F.col("h")).alias("h")),
     "hamming_pairs": lambda s, d: dedup.near_pairs(_hashes(s, d)),
     "hamming_links": lambda s, d: dedup.near_links(_hashes(s, d)),
@@ -274,6 +303,7 @@ def _dict_sql(pattern: str, lowered: bool, valid: str = "") -> str:
 
 _EN = _dict_sql("([a-z]+)", True)
 _CN = _dict_sql(tx.REGEX_TOKENS, False, f" AND regexp_matches(word, '[A-Za-z0-9{tx.CJK}]')")
+_ASKED = f"asked AS (SELECT DISTINCT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '([a-z]+)', 1)) AS word FROM benchmark)"
 _CHARS = "SELECT DISTINCT unnest(string_split(word, '')) AS ch, word FROM d"
 _ENTITY_CASES = " ".join("WHEN t = '{}' THEN '{}'".format(e, to.replace("'", "''")) for e, to in tx.ENTITIES.items()) + " WHEN starts_with(t, '&#') THEN ''"
 _DECODE = f"array_to_string(list_transform(regexp_extract_all(html, '{tx.ENTITY_TOKENS}', 1), lambda t: CASE {_ENTITY_CASES} ELSE t END), '')"
@@ -333,6 +363,15 @@ SELECT doc_id, min(CASE WHEN p > 0 THEN octet_length(encode(left(text, (p - 1)::
     "suggest": f"""WITH {_WORD}, pre AS (SELECT word, freq FROM en, w WHERE starts_with(word, top) ORDER BY freq DESC, word LIMIT 5),
 fix AS (SELECT word, freq, row_number() OVER (ORDER BY levenshtein(word, top), freq DESC, word) AS k FROM en, w WHERE levenshtein(word, top) <= CASE WHEN length(top) <= 5 THEN 2 ELSE 3 END)
 SELECT word, freq, 'prefix' AS type FROM pre UNION ALL SELECT word, freq, 'correction' FROM fix WHERE k <= 5 - (SELECT count(*) FROM pre) AND word NOT IN (SELECT word FROM pre)""",
+    "suggest_prefix_batch": f"""WITH en AS ({_EN}), {_ASKED}, q AS (SELECT DISTINCT left(word, n) AS query FROM asked, (VALUES (1), (3)) AS v(n)),
+hits AS (SELECT query, word, freq, row_number() OVER (PARTITION BY query ORDER BY freq DESC, word)::INTEGER AS rank FROM en JOIN q ON starts_with(word, query))
+SELECT * FROM hits WHERE rank <= 5""",
+    "suggest_corrections_batch": f"""WITH en AS ({_EN}), {_ASKED}, near AS (SELECT a.word AS query, en.word, freq, levenshtein(en.word, a.word)::INTEGER AS dist, CASE WHEN length(a.word) <= 2 THEN 1 WHEN length(a.word) <= 5 THEN 2 ELSE 3 END AS most
+FROM en JOIN asked a ON abs(length(en.word) - length(a.word)) <= 3),
+ranked AS (SELECT query, word, freq, dist, row_number() OVER (PARTITION BY query ORDER BY dist, freq DESC, word)::INTEGER AS rank FROM near WHERE dist <= most)
+SELECT * FROM ranked WHERE rank <= 5""",
+    "vector_files": "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos, unnest(embedding) AS x FROM embeddings WHERE embedding IS NOT NULL",
+    "trie_words": _EN,
     "simhash": f"WITH {_HASHES} SELECT doc_id, format('{{:016x}}', h) AS h FROM hashes",
     "hamming_pairs": f"""WITH {_HASHES}, first AS (SELECT h, min(doc_id) AS doc_id FROM hashes GROUP BY h)
 SELECT a.doc_id AS i, b.doc_id AS j, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM first a JOIN first b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 3""",

@@ -100,6 +100,22 @@ def normalize_key(c: Column) -> Column:
     return ascii_lower(F.btrim(c, F.lit(" \t\n\r\f\x0b")))
 
 
+def four_digits(c: Column) -> Column:
+    """A score as a page shows it: four digits after the point, rounded by the number's exact value, halves away from zero.
+    A negative number keeps its sign, as in ``-0.0000``; NaN shows as such; numbers of 2^38 and more are cut by their
+    shortest decimal form."""
+    size = F.abs(c)
+    # twice as many ten-thousandths, and what rounding took from the product
+    product = size * 20000.0
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    error = (high * 20000.0 - product) + (size - high) * 20000.0
+    halves = F.floor(product) - F.when((F.floor(product) == product) & (error < 0), 1).otherwise(0)
+    units = F.floor((halves + 1) / 2).cast("long")
+    exact = F.concat(F.floor(units / 10000).cast("string"), F.lit("."), F.lpad(F.pmod(units, F.lit(10000)).cast("string"), 4, "0"))
+    shown = F.when(size < float(1 << 38), exact).when(size >= float(1 << 38), F.format_string("%.4f", size))
+    return F.when(F.isnan(c), "NaN").otherwise(F.concat(F.when(c < 0, "-").otherwise(""), shown))
+
+
 def escape_html(c: Column) -> Column:
     for sign, to in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(sign), F.lit(to))

@@ -235,6 +235,7 @@ QUERIES: dict[str, Query] = {
     "sparse_search": lambda s, d: _rounded(_sparse(s, d), "sparse_score"),
     "sparse_search_blocks": lambda s, d: _rounded(_block_search(s, d), "sparse_score"),
     "dense_search": lambda s, d: _rounded(_dense(s, d), "score"),
+    "score_display": lambda s, d: _dense(s, d).select("vec_id", tx.four_digits(F.col("score")).alias("score")),
     "hybrid_search": lambda s, d: _rounded(_hybrid(s, d), "sparse_score", "dense_score", "final_score"),
     "hybrid_degraded": lambda s, d: _rounded(search.fuse(_all_sparse(s, d), None), "sparse_score", "dense_score", "final_score"),
     "search_results": _search_results,
@@ -347,6 +348,7 @@ ORACLE_SQL: dict[str, str] = {
     "and_candidates_strict": f"WITH {_vector_sql(False)} SELECT doc_id FROM cands",
     "sparse_search": f"WITH {_vector_sql()} SELECT doc_id, round(sparse_score, 6) AS sparse_score FROM (SELECT * FROM cands ORDER BY sparse_score DESC, doc_id LIMIT 20)",
     "dense_search": f"WITH {_DENSE} SELECT vec_id, round(score, 6) AS score FROM dense",
+    "score_display": f"WITH {_DENSE} SELECT vec_id, format('{{:.4f}}', score) AS score FROM dense",
     "hybrid_search": f"WITH {_FUSED} SELECT doc_id, {_ROUND3} FROM best",
     "hybrid_degraded": f"WITH {_vector_sql()} SELECT doc_id, round(sparse_score, 6) AS sparse_score, 0.0::DOUBLE AS dense_score, round(sparse_score, 6) AS final_score FROM (SELECT * FROM cands ORDER BY sparse_score DESC, doc_id LIMIT 20)",
     "search_results": f"WITH {_FUSED} SELECT b.doc_id, '' AS title, md5(coalesce(text, '')) AS content_md5, {_ROUND3} FROM best b LEFT JOIN documents d USING (doc_id)",

@@ -14,15 +14,22 @@ from seekmill.plans.service import SearchService
 
 log = logging.getLogger("seekmill.server")
 JSON = "application/json; charset=utf-8"
+MOST = 1000  # rows a client may ask for
 
 
 def answer(service: SearchService, method: str, target: str) -> tuple[int, str]:
     """(status, JSON body) of one request; a missing query is an empty one, a click without an id counts
-    for nothing, a bad number is a client error."""
+    for nothing, a bad number, or one beyond ``MOST``, is a client error."""
     url = urlsplit(target)
     args = {k: v[0] for k, v in parse_qs(url.query, keep_blank_values=True).items()}
     try:
-        number = lambda name, default: int(args.get(name) or default)
+
+        def number(name: str, default: int) -> int:
+            n = int(args.get(name) or default)
+            if n > MOST:
+                raise ValueError(f"{name} is {MOST} at most")
+            return n
+
         routes: dict[tuple[str, str], Callable[[], str]] = {
             ("GET", "/search"): lambda: service.search_json(args["q"], number("k", 20)) if args.get("q") else "[]",
             ("GET", "/suggest"): lambda: service.suggest_json(args.get("q", ""), number("k", 5)),

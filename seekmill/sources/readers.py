@@ -43,23 +43,54 @@ def read_stopwords(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def _items(text: str) -> list[dict[str, str]]:
-    """Tags of the items of one RSS file, the first of each name; none if any of the file is malformed."""
-    parser, path, items, held = xml.parsers.expat.ParserCreate(), [], [], []
+    """Tags of the items of the first channel of one RSS file, the first of each name, with their first text or CDATA
+    section that isn't blank, if it stands before any child; none if any of the file is malformed. Entities that XML
+    doesn't know stay as they are written."""
+    parser, path, items = xml.parsers.expat.ParserCreate(), [], []
+    channels = 0
+    held: list[str] | None = None  # the text of the tag that is open, until it ends
 
     def start(name: str, _: object) -> None:
+        nonlocal channels, held
         path.append(name)
-        if path == ["rss", "channel", "item"]:
+        channels += path == ["rss", "channel"]
+        if path == ["rss", "channel", "item"] and channels == 1:
             items.append({})
-        held.append([])
+        if len(path) == 4 and path[:3] == ["rss", "channel", "item"] and channels == 1 and name not in items[-1]:
+            held = []
+            items[-1][name] = ""
+        elif len(path) > 4:
+            take()
 
     def end(name: str) -> None:
-        found = "".join(held.pop())
-        if len(path) == 4 and path[:3] == ["rss", "channel", "item"]:
-            items[-1].setdefault(name, found)
+        if len(path) == 4:
+            take()
         path.pop()
 
-    parser.StartElementHandler, parser.EndElementHandler = start, end
-    parser.CharacterDataHandler = lambda data: held[-1].append(data) if held else None
+    def take() -> None:
+        nonlocal held
+        if held is not None:
+            items[-1][path[3]] = "".join(held)
+            held = None
+
+    def between(*_: object) -> None:
+        """A comment, or the start of a CDATA section: text before it is all there is."""
+        if held is not None and "".join(held).strip():
+            take()
+        elif held is not None:
+            held.clear()
+
+    def add(data: str) -> None:
+        if held is not None:
+            held.append(data)
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, add
+    parser.CommentHandler = parser.StartCdataSectionHandler = between
+    parser.EndCdataSectionHandler = take
+    # as if a document type were given elsewhere, entities without a definition are reported and not an error
+    parser.UseForeignDTD(True)
+    parser.SkippedEntityHandler = lambda name, is_parameter: None if is_parameter else add(f"&{name};")
+    parser.ExternalEntityRefHandler = lambda *_: 1
     try:
         parser.Parse(text, True)
     except xml.parsers.expat.ExpatError:

@@ -1,3 +1,7 @@
+import decimal
+import math
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -93,3 +97,15 @@ def test_marked_words_are_taken_literally(spark):
 def test_snippets_lead_by_a_third_of_their_size():
     text = "x" * 400 + " word " + "y" * 400
     assert snippet(text, ["word"], 90) == "..." + text[401 - 30 : 401 + 60] + "..."
+
+
+def test_four_digits_are_exact(spark):
+    r = random.Random(1)
+    halves = [k / 10000 + 0.00005 for k in range(400)]
+    xs = [0.0, -0.0, 0.5, 0.03125, 0.00015, 1e-300, -0.00004, 1 / 3, -1.0, 123456.78905, *halves, *(math.nextafter(h, r.choice([0, 9])) for h in halves), *(r.randrange(1 << 20) / (1 << r.randrange(25)) for _ in range(500))]
+    got = [x[0] for x in spark.createDataFrame([(x,) for x in xs], "x double").select(tx.four_digits(F.col("x"))).collect()]
+    place = decimal.Decimal("0.0001")
+    want = [("-" if x < 0 else "") + str(decimal.Decimal(abs(x)).quantize(place, decimal.ROUND_HALF_UP, decimal.Context(prec=60))) for x in xs]
+    assert got == want
+    odd = spark.createDataFrame([(None,), (float("nan"),), (2.0**40,)], "x double").select(tx.four_digits(F.col("x"))).collect()
+    assert [x[0] for x in odd] == [None, "NaN", "1099511627776.0000"]

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from seekmill.functions import text as tx
 from seekmill.functions.snippet import snippet_column
 from seekmill.operators import blocks, dedup, hot, index, lexicon, search, suggest
+from seekmill.plans.embedding import hashed_embeddings
 from seekmill.sources import binary, sinks
 from seekmill.sources.shared import checkpointed, new_folder, spread
-from seekmill.streaming.clicks import count_to_table, stream_clicks
+from seekmill.streaming.clicks import ClickTable, count_to_table, stream_clicks
 
 #: A few function words and signs of the four languages.
 STOP = ["the", "of", "and", "to", "in", "is", "a", "that", "de", "la", "le", "les", "et", "der", "die", "und", "el", "en", "y", "que", ",", "."]
@@ -204,6 +205,26 @@ def _hot_streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot.hot(spark.table("hot_clicks"))
 
 
+def _hot_durable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    table = ClickTable(spark, new_folder(spark))
+    table.count(stream_clicks(spark, f"{path}*", spark.read.parquet(path).schema)).awaitTermination()
+    return hot.hot(table.totals())
+
+
+def _embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashed_embeddings(_counts(spark, sf_dir))
+
+
+def _hybrid_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse and dense scores of the same documents, whose vectors are made of their terms."""
+    vectors = checkpointed(_embedded(spark, sf_dir))
+    words = checkpointed(_vector(spark, sf_dir, False).select("term"))
+    query = hashed_embeddings(words.select(F.lit(0).alias("doc_id"), "term", F.lit(1).alias("n"))).first()
+    dense = search.dense_search(vectors, query["embedding"]) if query else None
+    return search.fuse(_all_sparse(spark, sf_dir), dense)
+
+
 def _hex(h: Column) -> Column:
     return F.lower(F.lpad(F.hex(h), 16, "0"))
 
@@ -237,6 +258,8 @@ QUERIES: dict[str, Query] = {
     "dense_search": lambda s, d: _rounded(_dense(s, d), "score"),
     "score_display": lambda s, d: _dense(s, d).select("vec_id", tx.four_digits(F.col("score")).alias("score")),
     "hybrid_search": lambda s, d: _rounded(_hybrid(s, d), "sparse_score", "dense_score", "final_score"),
+    "embed_docs": lambda s, d: _embedded(s, d).select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("pos", "x")),
+    "hybrid_docs": lambda s, d: _rounded(_hybrid_docs(s, d), "sparse_score", "dense_score", "final_score"),
     "hybrid_degraded": lambda s, d: _rounded(search.fuse(_all_sparse(s, d), None), "sparse_score", "dense_score", "final_score"),
     "search_results": _search_results,
     "snippet": _snippet,
@@ -260,6 +283,7 @@ QUERIES: dict[str, Query] = {
     "hot_docs": lambda s, d: hot.hot(_clicks(s, d)),
     "hot_stats": lambda s, d: hot.hot_stats(_clicks(s, d)),
     "hot_docs_streaming": _hot_streaming,
+    "hot_docs_durable": _hot_durable,
 }
 
 # --- the same in SQL
@@ -294,6 +318,11 @@ dense AS (SELECT vec_id, round(list_dot_product(list_transform(embedding, lambda
 _FUSED = f"""{_vector_sql()}, {_DENSE},
 fused AS (SELECT coalesce(c.doc_id, d.vec_id) AS doc_id, coalesce(sparse_score, 0) AS sparse_score, coalesce((d.score + 1) / 2, 0) AS dense_score FROM cands c FULL JOIN dense d ON d.vec_id = c.doc_id),
 best AS (SELECT *, round(0.5 * sparse_score + 0.5 * dense_score, 9) AS final_score FROM fused ORDER BY final_score DESC, doc_id LIMIT 20)"""
+_EMBEDDED_OF_COUNTS = """places AS (SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS place, sum(CASE WHEN substr(md5(term), 9, 1) < '8' THEN n ELSE -n END) AS v FROM counts GROUP BY ALL),
+squares AS (SELECT doc_id, sum(v * v)::DOUBLE AS squares FROM places GROUP BY doc_id HAVING sum(v * v) > 0),
+vectors AS (SELECT s.doc_id AS vec_id, list((coalesce(p.v, 0)::DOUBLE / sqrt(squares))::FLOAT ORDER BY i.place) AS embedding
+            FROM squares s CROSS JOIN (SELECT unnest(range(64)) AS place) i LEFT JOIN places p ON p.doc_id = s.doc_id AND p.place = i.place GROUP BY s.doc_id)"""
+_EMBEDDED = f"{_COUNTS}, {_EMBEDDED_OF_COUNTS}"
 _ROUND3 = "round(sparse_score, 6) AS sparse_score, round(dense_score, 6) AS dense_score, round(final_score, 6) AS final_score"
 
 
@@ -350,6 +379,14 @@ ORACLE_SQL: dict[str, str] = {
     "dense_search": f"WITH {_DENSE} SELECT vec_id, round(score, 6) AS score FROM dense",
     "score_display": f"WITH {_DENSE} SELECT vec_id, format('{{:.4f}}', score) AS score FROM dense",
     "hybrid_search": f"WITH {_FUSED} SELECT doc_id, {_ROUND3} FROM best",
+    "embed_docs": f"WITH {_EMBEDDED} SELECT vec_id AS doc_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos, unnest(embedding) AS x FROM vectors",
+    "hybrid_docs": f"""WITH {_vector_sql()}, {_EMBEDDED_OF_COUNTS},
+asked AS (SELECT place, sum(s) AS v FROM (SELECT ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS place, CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1 ELSE -1 END AS s FROM picked) GROUP BY place),
+qv AS (SELECT list((coalesce(a.v, 0)::DOUBLE / sqrt((SELECT sum(v * v) FROM asked))::DOUBLE)::FLOAT ORDER BY i.place) AS q FROM (SELECT unnest(range(64)) AS place) i LEFT JOIN asked a USING (place)),
+dense AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]), 9) AS score FROM vectors, qv ORDER BY score DESC, vec_id DESC LIMIT 60),
+fused AS (SELECT coalesce(c.doc_id, d.vec_id) AS doc_id, coalesce(sparse_score, 0) AS sparse_score, coalesce((d.score + 1) / 2, 0) AS dense_score FROM cands c FULL JOIN dense d ON d.vec_id = c.doc_id),
+best AS (SELECT *, round(0.5 * sparse_score + 0.5 * dense_score, 9) AS final_score FROM fused ORDER BY final_score DESC, doc_id LIMIT 20)
+SELECT doc_id, {_ROUND3} FROM best""",
     "hybrid_degraded": f"WITH {_vector_sql()} SELECT doc_id, round(sparse_score, 6) AS sparse_score, 0.0::DOUBLE AS dense_score, round(sparse_score, 6) AS final_score FROM (SELECT * FROM cands ORDER BY sparse_score DESC, doc_id LIMIT 20)",
     "search_results": f"WITH {_FUSED} SELECT b.doc_id, '' AS title, md5(coalesce(text, '')) AS content_md5, {_ROUND3} FROM best b LEFT JOIN documents d USING (doc_id)",
     "keyword_pos": f"""WITH {_COUNTS}, {_QUERY}, words AS (SELECT term FROM picked UNION ALL SELECT '{ABSENT}'),
@@ -388,5 +425,6 @@ SELECT unnest(kept) AS doc_id FROM (SELECT kept FROM walk ORDER BY k DESC LIMIT
     "hot_docs": _HOT,
     "hot_stats": f"WITH {_CLICKS} SELECT count(*) AS unique_docs, sum(click_count)::BIGINT AS total_clicks FROM clicks",
     "hot_docs_streaming": _HOT,
+    "hot_docs_durable": _HOT,
 }
 ORACLE_SQL |= {"postings_blocks": ORACLE_SQL["tfidf_index"], "sparse_search_blocks": ORACLE_SQL["sparse_search"]}

@@ -1,4 +1,5 @@
-"""Embeddings by a caller's model: of documents in batches on the executors, of queries over HTTP."""
+"""Embeddings: by a caller's model, of documents in batches on the executors and of queries over HTTP; and by signed
+feature hashing, which needs no model."""
 
 from __future__ import annotations
 
@@ -36,6 +37,30 @@ def embed_documents(docs: DataFrame, load: Callable[[], Callable[[list[str]], np
     return rows.mapInPandas(run, "vec_id long, embedding array<float>")
 
 
+def hashed_embeddings(counts: DataFrame, dim: int = 64) -> DataFrame:
+    """vec_id, embedding (L2-normalised) of documents by their term counts (doc_id, term, n): a term adds its count, or
+    takes it away, at a place that its MD5 names. Sums are integers, so the vector is the same in any order; a
+    document whose terms cancel has no vector. One shuffle by document, with partial sums."""
+    digest = F.md5(F.col("term").cast("binary"))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim
+    signed = F.when(F.substring(digest, 9, 1) < "8", F.col("n")).otherwise(-F.col("n"))
+    sums = counts.groupBy("doc_id", place.alias("place")).agg(F.sum(signed).alias("v"))
+    held = sums.where(F.col("v") != 0).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("at"), F.sum(F.col("v") * F.col("v")).alias("squares"))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
+    vector = F.transform(places, lambda i: (F.coalesce(F.try_element_at("at", i), F.lit(0)).cast("double") / F.sqrt("squares")).cast("float"))
+    return held.select(F.col("doc_id").alias("vec_id"), vector.alias("embedding"))
+
+
+def hashing_embedder(terms: Callable[[str], DataFrame], dim: int = 64) -> Callable[[str], list[float] | None]:
+    """A query's vector as ``hashed_embeddings`` gives it; ``terms`` cuts a query as the index does (``SearchService.query_terms``)."""
+
+    def embed(query: str) -> list[float] | None:
+        row = hashed_embeddings(terms(query).groupBy("doc_id", "term").agg(F.count("*").alias("n")), dim).first()
+        return None if row is None else list(row["embedding"])
+
+    return embed
+
+
 def query_embedder(url: str, seconds: float = 3.0) -> Callable[[str], list[float] | None]:
     """A query's vector from an embedding service at ``url``; None if that fails or takes over ``seconds`` in all,
     so that a slow model never holds up a search."""

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from seekmill.functions.snippet import snippet
 from seekmill.functions.text import indexed_text, tokenize
-from seekmill.operators import blocks, dedup, index, lexicon, search, suggest
+from seekmill.operators import blocks, dedup, hot, index, lexicon, search, suggest
 from seekmill.plans.cache import LruCache
 from seekmill.sources.shared import checkpointed
 from seekmill.sources.sinks import json_array, write_sorted
+from seekmill.streaming.clicks import ClickTable
 
 NO_DOCUMENT = {"link": "", "title": "", "content": ""}
 #: The field names of the JSON answers.
@@ -64,6 +65,7 @@ class SearchService:
     """Answers from what ``build`` wrote. Results are frames; the ``*_json`` calls give JSON.
 
     ``embed`` turns a query into a vector or None; without it, or where it fails, results are sparse only.
+    ``clicks`` keeps clicks beyond this process; without it they are counted in memory.
     """
 
     spark: SparkSession
@@ -75,6 +77,7 @@ class SearchService:
     alpha: float = 0.5
     strict: bool = False
     cache: LruCache = field(default_factory=lambda: LruCache(1000, 300.0))
+    clicks: ClickTable | None = None
     doc_cache: LruCache = field(default_factory=lambda: LruCache(500))
 
     def __post_init__(self) -> None:
@@ -153,15 +156,24 @@ class SearchService:
         return json_array(self.suggest(query, k)) if query else "[]"
 
     def record_click(self, doc_id: int) -> None:
+        if self.clicks is not None:
+            return self.clicks.record(doc_id)
         with self._lock:
             self._clicks[doc_id] += 1
 
     def _hot(self, k: int) -> list[tuple]:
-        with self._lock:
-            best = heapq.nlargest(max(k, 0), self._clicks.items(), key=lambda x: (x[1], x[0]))
+        if self.clicks is not None:
+            self.clicks.refresh()
+            best = [(r["doc_id"], r["click_count"]) for r in hot.hot(self.clicks.totals(), k).collect()]
+        else:
+            best = self._best_in_memory(k)
         docs = self.documents([i for i, _ in best])
         return [(rank, i, docs.get(i, NO_DOCUMENT)["title"], docs.get(i, NO_DOCUMENT)["link"], n) for rank, (i, n) in enumerate(best, 1)]
 
+    def _best_in_memory(self, k: int) -> list[tuple[int, int]]:
+        with self._lock:
+            return heapq.nlargest(max(k, 0), self._clicks.items(), key=lambda x: (x[1], x[0]))
+
     def hot_pages(self, k: int = 10) -> DataFrame:
         """rank, doc_id, title, link, click_count; ties go to the larger id, a document that isn't known has empty fields."""
         return self.spark.createDataFrame(self._hot(k), "rank int, doc_id long, title string, link string, click_count long")
@@ -170,6 +182,10 @@ class SearchService:
         return to_json([dict(zip(HOT_FIELDS, row, strict=True)) for row in self._hot(k)])
 
     def hot_stats(self) -> dict[str, int]:
+        if self.clicks is not None:
+            self.clicks.refresh()
+            unique, total = hot.hot_stats(self.clicks.totals()).first()
+            return {"uniqueDocs": unique, "totalClicks": total}
         with self._lock:
             return {"uniqueDocs": len(self._clicks), "totalClicks": sum(self._clicks.values())}
 

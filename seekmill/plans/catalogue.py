@@ -14,7 +14,7 @@ from seekmill.functions import text as tx
 from seekmill.functions.snippet import snippet_column
 from seekmill.operators import blocks, dedup, hot, index, lexicon, search, suggest
 from seekmill.plans.embedding import hashed_embeddings
-from seekmill.sources import binary, sinks
+from seekmill.sources import binary, sinks, store
 from seekmill.sources.shared import checkpointed, new_folder, spread
 from seekmill.streaming.clicks import ClickTable, count_to_table, stream_clicks
 
@@ -187,6 +187,14 @@ def _search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out, "sparse_score", "dense_score", "final_score")
 
 
+def _store_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a page store, and a result page read from it by ids."""
+    path = new_folder(spark)
+    sinks.write_page_store(_read(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("link"), F.lit("").alias("title"), F.col("text").alias("content")), path)
+    page = store.read_documents(spark, path, [r["doc_id"] for r in _hybrid(spark, sf_dir).collect()])
+    return page.select("doc_id", "title", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 def _snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _picked(index.document_frequencies(_counts(spark, sf_dir)))
     page = _results(spark, sf_dir)
@@ -262,6 +270,7 @@ QUERIES: dict[str, Query] = {
     "hybrid_docs": lambda s, d: _rounded(_hybrid_docs(s, d), "sparse_score", "dense_score", "final_score"),
     "hybrid_degraded": lambda s, d: _rounded(search.fuse(_all_sparse(s, d), None), "sparse_score", "dense_score", "final_score"),
     "search_results": _search_results,
+    "store_page": _store_page,
     "snippet": _snippet,
     "keyword_pos": _keyword_pos,
     "highlight": _highlight,
@@ -389,6 +398,7 @@ best AS (SELECT *, round(0.5 * sparse_score + 0.5 * dense_score, 9) AS final_sco
 SELECT doc_id, {_ROUND3} FROM best""",
     "hybrid_degraded": f"WITH {_vector_sql()} SELECT doc_id, round(sparse_score, 6) AS sparse_score, 0.0::DOUBLE AS dense_score, round(sparse_score, 6) AS final_score FROM (SELECT * FROM cands ORDER BY sparse_score DESC, doc_id LIMIT 20)",
     "search_results": f"WITH {_FUSED} SELECT b.doc_id, '' AS title, md5(coalesce(text, '')) AS content_md5, {_ROUND3} FROM best b LEFT JOIN documents d USING (doc_id)",
+    "store_page": f"WITH {_FUSED} SELECT b.doc_id, '' AS title, md5(coalesce(text, '')) AS content_md5 FROM best b JOIN documents d USING (doc_id)",
     "keyword_pos": f"""WITH {_COUNTS}, {_QUERY}, words AS (SELECT term FROM picked UNION ALL SELECT '{ABSENT}'),
 found AS (SELECT doc_id, text, strpos({_LOWER_TEXT}, term) AS p FROM documents, words)
 SELECT doc_id, min(CASE WHEN p > 0 THEN octet_length(encode(left(text, (p - 1)::BIGINT))) END)::BIGINT AS pos FROM found GROUP BY doc_id""",

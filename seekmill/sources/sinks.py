@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seekmill.operators.trie import preorder, trie_rows
 from seekmill.sources.binary import TRIE_MAGIC, TRIE_VERSION, VECTOR_MAGIC, register, vector_record
 from seekmill.sources.shared import checkpointed
+from seekmill.sources.store import write_index
 
 
 def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
@@ -84,7 +85,7 @@ def page_blocks(df: DataFrame) -> DataFrame:
 
 def write_page_store(docs: DataFrame, path: str) -> None:
     """``path``/pages: blocks in doc_id order, whose files end to end are one store; ``path``/offsets: doc_id,
-    offset in that store and size, tab-separated. Ranges are written in parallel; a range starts after the
+    offset in that store and size, tab-separated; ``path``/index: the same for ``read_documents``. Ranges are written in parallel; a range starts after the
     sizes of those before it, one row a range, which is what is broadcast."""
     ranged = page_blocks(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     blocks = checkpointed(ranged.select("doc_id", "block", "size", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
@@ -94,7 +95,9 @@ def write_page_store(docs: DataFrame, path: str) -> None:
     offsets = blocks.withColumn("inside", inside).join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("inside")).alias("offset"), "size")
     # the writer ends each value's line, so a block's own last line end goes
     blocks.sortWithinPartitions("at").select(F.regexp_replace("block", "\n$", "")).write.mode("overwrite").text(f"{path}/pages")
+    offsets = checkpointed(offsets)
     write_tsv(offsets.sort("doc_id"), f"{path}/offsets")
+    write_index(offsets, path)
 
 
 def write_postings(index: DataFrame, path: str) -> None:

@@ -282,7 +282,7 @@ def known_words(docs_words: DataFrame, ranks: Ranks, most: int, longest: int) ->
     return Dictionary(words, ids)
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str, dictionary: int = 1 << 19, longest: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, rank_path: str, pattern: str, dictionary: int = 1 << 18, longest: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of every row of ``docs``.
 
     ``dictionary`` words of ``longest`` bytes at most are folded once and go to all tasks.

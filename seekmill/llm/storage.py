@@ -40,6 +40,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each after as many underscores as it takes for ``df`` to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -60,8 +72,10 @@ def release() -> None:
         spark, path = _made.pop()
         try:
             _delete(spark, path)
-        except (Py4JError, ConnectionError, AttributeError):  # the JVM is gone when the process ends
+        except (ConnectionError, AttributeError):  # the JVM is gone when the process ends
             return
+        except Py4JError:  # this folder stays
+            continue
 
 
 atexit.register(release)

@@ -112,6 +112,25 @@ def test_drop_copies_leaves_one_row_of_each_text(spark):
         assert Counter((r["doc_id"], r["text"] or "") for r in left.collect()) == Counter([(3, "a"), (None, "b"), (4, ""), (9, "hot"), (10, "c")])
 
 
+def test_drop_copies_stands_any_column_name(spark):
+    names = ["gone_id", "GONE_DIGEST", "_gone_id", "_gone_digest", "kept", "n", "_kept", "_n", "heavy", "keep_id", "h"]
+    rows = [(1, "a"), (3, "a"), (3, "a"), (None, "b"), (None, "b"), (5, "c")]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], ["doc_id", "text", *names])
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns
+    assert Counter(map(tuple, left.collect())) == Counter((*r, *range(len(names))) for r in [(3, "a"), (None, "b"), (5, "c")])
+
+
+def test_every_digest_above_the_least_share_is_proposed(spark):
+    assert exact_dedup.least_share(4096) == 3.5 / 8192 and exact_dedup.least_share(12) == 3.5 / 16
+    rows = [f"hot {i % 8}" for i in range(800)] + [f"single {i}" for i in range(400)] + [f"pair {i % 200}" for i in range(400)]
+    df = spark.createDataFrame([(x,) for x in rows], "x string").select(F.unhex(F.sha2("x", 256)).alias("digest")).repartition(7)
+    want = {r["h"] for r in spark.createDataFrame([(f"hot {i}",) for i in range(8)], "x string").select(F.xxhash64(F.unhex(F.sha2("x", 256))).alias("h")).collect()}
+    found = {r["h"] for r in exact_dedup.frequent_digests(df, 128).collect()}  # a share of 1/16 each, where 1/73 is enough
+    assert want <= found and len(found) < 73
+    assert exact_dedup.frequent_digests(df.limit(0), 128).collect() == []
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000])
 def test_feistel_is_a_permutation(n):
     places = [sharding.locate(x, n, 16, 7) for x in range(n)]

@@ -1,14 +1,26 @@
-"""Segmentation with a user dictionary: the most probable path through all words of a text."""
+"""Segmentation with a dictionary: the most probable path through all words of a text, and, for what the dictionary
+lacks, the most probable division by where characters stand in its words.
+
+The second model has four states: a character begins a word, is inside it, ends it, or is one. Its
+probabilities are counted from the dictionary.
+"""
 
 from __future__ import annotations
 
 import math
+import re
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BEGIN, MIDDLE, END, SINGLE = range(4)
+#: What may follow a state: a word that began goes on or ends, and after its end another begins.
+FOLLOW = {BEGIN: (MIDDLE, END), MIDDLE: (MIDDLE, END), END: (BEGIN, SINGLE), SINGLE: (BEGIN, SINGLE)}
+UNSEEN = -20.0  # the log probability of what the dictionary never shows
+
 
 def segment(text: str, log_freq: dict[str, float], longest: int) -> list[str]:
     """Words of ``text`` with the greatest sum of log frequencies; unknown characters stand alone,
@@ -46,3 +58,128 @@ def segmenter(frequencies: dict[str, int]):
         return run(c)
 
     return tokens
+
+
+@dataclass
+class Segmenter:
+    """Words' log frequencies, also of all their beginnings (None), and the four states' log probabilities."""
+
+    words: dict[str, float | None]
+    start: list[float]
+    follow: dict[tuple[int, int], float]
+    shown: list[dict[str, float]]
+    floor: float = field(default=0.0)
+
+    def cut(self, text: str) -> list[str]:
+        """Words of ``text``, which joined are the text without its white space."""
+        return [w for part in text.split() for w in self._cut_part(part)]
+
+    def _cut_part(self, part: str) -> list[str]:
+        out, loose = [], ""
+        for w in self.path(part):
+            if len(w) == 1 and w.isalpha() and not w.isascii() or (loose and len(w) == 1 and w.isalpha()):
+                loose += w
+                continue
+            out += self._divide(loose)
+            loose = ""
+            out.append(w)
+        return out + self._divide(loose)
+
+    def path(self, part: str) -> list[str]:
+        """The way through the words that begin at each place, single characters and runs of Latin letters and digits, of
+        the greatest sum of log frequencies; of equal ways the one whose last word is longest."""
+        n = len(part)
+        run_end = {m.start(): m.end() for m in re.finditer("[0-9A-Za-z]+", part)}
+        best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        for i in range(n):
+            if best[i] == -math.inf:
+                continue
+            ends = {run_end.get(i, i + 1): None}
+            e = i + 1
+            while e <= n and (found := self.words.get(part[i:e], -math.inf)) != -math.inf:
+                if found is not None:
+                    ends[e] = found
+                e += 1
+            for e, value in ends.items():
+                score = best[i] + (self.floor if value is None else value)
+                if score > best[e]:
+                    best[e], back[e] = score, i
+        out = []
+        while n:
+            out.append(part[back[n] : n])
+            n = back[n]
+        return out[::-1]
+
+    def _divide(self, loose: str) -> list[str]:
+        """Single characters side by side: as they are where the dictionary has their text, else divided by states."""
+        if len(loose) < 2 or self.words.get(loose) is not None:
+            return list(loose)
+        out, at = [], 0
+        for i, state in enumerate(self.states(loose), 1):
+            if state in (END, SINGLE):
+                out.append(loose[at:i])
+                at = i
+        return out
+
+    def states(self, loose: str) -> list[int]:
+        """The most probable states: a first one that may begin, and a last one that may end."""
+        score = {s: self.start[s] + self.shown[s].get(loose[0], UNSEEN) for s in (BEGIN, SINGLE)}
+        back: list[dict[int, int]] = []
+        for ch in loose[1:]:
+            now, came = {}, {}
+            for a, value in score.items():
+                for b in FOLLOW[a]:
+                    total = value + self.follow[a, b] + self.shown[b].get(ch, UNSEEN)
+                    if b not in now or total > now[b]:
+                        now[b], came[b] = total, a
+            score = now
+            back.append(came)
+        at = max((s for s in (END, SINGLE) if s in score), key=lambda s: score[s])
+        out = [at]
+        for came in reversed(back):
+            at = came[at]
+            out.append(at)
+        return out[::-1]
+
+
+def learn(dictionary: DataFrame, most_bytes: int = 256 << 20) -> Segmenter:
+    """From word, freq. Every task gets the dictionary, so one whose words and beginnings would take more than ``most_bytes``
+    is refused before any of it is collected; the states' counts are a row a character and state."""
+    words = dictionary.where((F.length("word") > 0) & (F.col("freq") > 0)).groupBy("word").agg(F.sum("freq").alias("freq"))
+    size = words.agg(F.sum(F.length("word") * (F.octet_length("word") / 2 + 100))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"a dictionary of about {size / 1e6:.0f} MB in memory; {most_bytes / 1e6:.0f} MB are allowed")
+    n = F.length("word")
+    at = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.when(n == 1, SINGLE).when(i == 1, BEGIN).when(i == n, END).otherwise(MIDDLE).alias("state"), F.substring("word", i, F.lit(1)).alias("ch")))
+    shown = words.select("freq", F.inline(at)).groupBy("state", "ch").agg(F.sum("freq").alias("n")).collect()
+    sums = words.agg(
+        F.sum(F.when(n == 1, F.col("freq"))).alias("single"), F.sum(F.when(n > 1, F.col("freq"))).alias("several"), F.sum(F.when(n == 2, F.col("freq"))).alias("two"),
+        F.sum(F.when(n > 2, F.col("freq"))).alias("longer"), F.sum(F.when(n > 2, F.col("freq") * (n - 3))).alias("inside"),
+    ).first()
+    single, several, two, longer, inside = (float(x or 0) for x in sums)
+    log = lambda part, of: math.log(part / of) if part > 0 else UNSEEN
+    total = single + several
+    word = {BEGIN: log(several, total), SINGLE: log(single, total)}
+    follow = {(BEGIN, MIDDLE): log(longer, several), (BEGIN, END): log(two, several), (MIDDLE, MIDDLE): log(inside, inside + longer), (MIDDLE, END): log(longer, inside + longer)}
+    follow |= {(a, b): word[b] for a in (END, SINGLE) for b in (BEGIN, SINGLE)}
+    held: list[dict[str, float]] = [{}, {}, {}, {}]
+    for r in shown:
+        held[r["state"]][r["ch"]] = float(r["n"])
+    logs = [{ch: math.log(v / of) for ch, v in s.items()} for s, of in ((s, math.fsum(s.values())) for s in held)]
+    known: dict[str, float | None] = {r["word"]: math.log(r["freq"] / total) for r in words.collect()}
+    floor = min(known.values(), default=0.0) - 1.0
+    for w in list(known):
+        for e in range(1, len(w)):
+            known.setdefault(w[:e], None)
+    return Segmenter(known, [word[BEGIN], UNSEEN, UNSEEN, word[SINGLE]], follow, logs, floor)
+
+
+def learned_tokens(dictionary: DataFrame, most_bytes: int = 256 << 20):
+    """A column function for ``tokenize``-like use, by a model that ``learn`` makes; it is broadcast once."""
+    shared = dictionary.sparkSession.sparkContext.broadcast(learn(dictionary, most_bytes))
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shared.value.cut(t or ""))
+
+    return lambda c: run(c)

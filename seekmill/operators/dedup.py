@@ -26,8 +26,18 @@ def features_wanted(content: Column) -> Column:
     return F.greatest(F.lit(5), F.least(F.lit(200), F.floor(F.octet_length(content) / 120)))
 
 
+def integer_weights(counts: DataFrame, n_docs: int) -> DataFrame:
+    """doc_id, term, n of term counts as features of a fingerprint, with the TF-IDF weight as a whole number of thousandths of
+    count times ``log2(n_docs / df)``, one at least: sums of whole numbers are the same in any order. Terms of all documents,
+    which tell none apart, have one."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.greatest(F.lit(1), F.floor(F.col("n") * F.floor(1000 * F.log2(F.lit(float(n_docs)) / F.col("df")) + 1e-6)))
+    return counts.join(df, "term").select("doc_id", "term", weight.cast("long").alias("n"))
+
+
 def simhash(docs: DataFrame, counts: DataFrame, text_col: str = "text") -> DataFrame:
-    """doc_id, h: sign-weighted sums over the most frequent terms of each document. Documents without terms have h = 0."""
+    """doc_id, h: sign-weighted sums over the terms of greatest ``n`` of each document: its counts, or ``integer_weights``.
+    Documents without terms have h = 0."""
     wanted = docs.select("doc_id", features_wanted(F.coalesce(F.col(text_col), F.lit(""))).alias("wanted"))
     by = Window.partitionBy("doc_id").orderBy(F.desc("n"), "term")
     best = counts.withColumn("k", F.row_number().over(by)).where(F.col("k") <= 200).join(wanted, "doc_id").where(F.col("k") <= F.col("wanted"))

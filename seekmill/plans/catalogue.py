@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekmill.functions import text as tx
+from seekmill.functions.segment import learned_tokens
 from seekmill.functions.snippet import snippet_column
 from seekmill.operators import blocks, dedup, hot, index, lexicon, search, suggest
 from seekmill.plans.embedding import hashed_embeddings
@@ -150,6 +151,14 @@ def _trie_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.read_trie(spark, path)
 
 
+def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts, by a dictionary of the words that two documents or more have."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
+    words = docs.select("doc_id", F.explode(tx.tokenize(F.col("text"), "word")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"), F.count_distinct("doc_id").alias("docs"))
+    cut = learned_tokens(words.where(F.col("docs") > 1))
+    return docs.select("doc_id", F.posexplode(cut(F.col("text"))).alias("pos", "word"))
+
+
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.simhash(_docs(spark, sf_dir), _counts(spark, sf_dir))
 
@@ -245,6 +254,7 @@ QUERIES: dict[str, Query] = {
     "content_fallback": _fallback,
     "tokenize": lambda s, d: index.terms(_docs(s, d), _stop(s)),
     "tokenize_words": lambda s, d: index.terms(_docs(s, d), tokens=lambda c: tx.tokenize(c, "word")),
+    "segment": _segmented,
     "stopword_filter": lambda s, d: index.terms(_docs(s, d), _stop(s)).select("doc_id", "term").distinct(),
     "en_dict": _en,
     "cn_dict": _cn,
@@ -286,6 +296,7 @@ QUERIES: dict[str, Query] = {
     "vector_files": _vector_files,
     "trie_words": _trie_words,
     "simhash": lambda s, d: _hashes(s, d).select("doc_id", _hex(F.col("h")).alias("h")),
+    "simhash_tfidf": lambda s, d: dedup.simhash(_docs(s, d), dedup.integer_weights(_kept(s, d), _size(s, d))).select("doc_id", _hex(F.col("h")).alias("h")),
     "hamming_pairs": lambda s, d: dedup.near_pairs(_hashes(s, d)),
     "hamming_links": lambda s, d: dedup.near_links(_hashes(s, d)),
     "dedup_greedy": lambda s, d: dedup.keep_first(_hashes(s, d)),
@@ -356,6 +367,7 @@ wanted AS (SELECT doc_id, greatest(5, least(200, octet_length(encode(coalesce(te
 feats AS (SELECT doc_id, n, ('0x' || substr(md5(term), 1, 16))::UBIGINT AS fh FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS k FROM counts) JOIN wanted USING (doc_id) WHERE k <= wanted),
 sums AS (SELECT doc_id, {_SUM} FROM feats GROUP BY doc_id),
 hashes AS (SELECT d.doc_id, coalesce({_BITS}, 0::UBIGINT) AS h FROM documents d LEFT JOIN sums USING (doc_id))"""
+_WEIGHED = """weighed AS (SELECT doc_id, term, greatest(1, n * floor(1000 * log2(docs / df) + 1e-6)::BIGINT)::BIGINT AS n FROM counts JOIN df USING (term), size)"""
 _CLICKS = "clicks AS (SELECT json_extract_string(props, '$.k')::BIGINT AS doc_id, count(*) AS click_count FROM events WHERE event_type = 'click' GROUP BY ALL)"
 _HOT = f"WITH {_CLICKS} SELECT row_number() OVER (ORDER BY click_count DESC, doc_id DESC)::INTEGER AS rank, doc_id, click_count FROM clicks ORDER BY rank LIMIT 10"
 _LOWER_TEXT = f"translate(text, '{_UP}', '{_LOW}')"
@@ -422,6 +434,7 @@ SELECT * FROM ranked WHERE rank <= 5""",
     "vector_files": "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::INTEGER AS pos, unnest(embedding) AS x FROM embeddings WHERE embedding IS NOT NULL",
     "trie_words": _EN,
     "simhash": f"WITH {_HASHES} SELECT doc_id, format('{{:016x}}', h) AS h FROM hashes",
+    "simhash_tfidf": f"WITH {_HASHES.replace('wanted AS', f'{_WEIGHED}, wanted AS', 1).replace('FROM counts) JOIN', 'FROM weighed) JOIN')} SELECT doc_id, format('{{:016x}}', h) AS h FROM hashes",
     "hamming_pairs": f"""WITH {_HASHES}, first AS (SELECT h, min(doc_id) AS doc_id FROM hashes GROUP BY h)
 SELECT a.doc_id AS i, b.doc_id AS j, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM first a JOIN first b ON a.doc_id < b.doc_id AND bit_count(xor(a.h, b.h)) <= 3""",
     "hamming_links": f"""WITH {_HASHES}, named AS (SELECT doc_id, h, min(doc_id) OVER (PARTITION BY h) AS head FROM hashes)

@@ -186,3 +186,9 @@ def test_blocks_follow_the_number_of_fingerprints():
     for n in (0, 1000, 10**8, 10**9, 5 * 10**10, 10**13):
         b = dedup.blocks_for(n)
         assert fits(n, b) and (b == 5 or not fits(n, b - 1))
+
+
+def test_integer_weights(spark):
+    rows = [(1, "all", 3), (2, "all", 1), (3, "all", 2), (4, "all", 9), (1, "half", 2), (2, "half", 1), (3, "own", 7)]
+    got = {(r["doc_id"], r["term"]): r["n"] for r in dedup.integer_weights(spark.createDataFrame(rows, "doc_id long, term string, n long"), 4).collect()}
+    assert got == {(1, "all"): 1, (2, "all"): 1, (3, "all"): 1, (4, "all"): 1, (1, "half"): 2000, (2, "half"): 1000, (3, "own"): 14000}

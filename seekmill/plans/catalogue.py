@@ -282,6 +282,7 @@ QUERIES: dict[str, Query] = {
     "search_results": _search_results,
     "store_page": _store_page,
     "snippet": _snippet,
+    "snippet_start": lambda s, d: _docs(s, d).select("doc_id", snippet_column(F.col("text"), [ABSENT]).alias("abstract")),
     "keyword_pos": _keyword_pos,
     "highlight": _highlight,
     "highlight_words": lambda s, d: _docs(s, d).select("doc_id", F.explode(tx.highlight_words(F.col("text"))).alias("word")),
@@ -411,6 +412,11 @@ SELECT doc_id, {_ROUND3} FROM best""",
     "hybrid_degraded": f"WITH {_vector_sql()} SELECT doc_id, round(sparse_score, 6) AS sparse_score, 0.0::DOUBLE AS dense_score, round(sparse_score, 6) AS final_score FROM (SELECT * FROM cands ORDER BY sparse_score DESC, doc_id LIMIT 20)",
     "search_results": f"WITH {_FUSED} SELECT b.doc_id, '' AS title, md5(coalesce(text, '')) AS content_md5, {_ROUND3} FROM best b LEFT JOIN documents d USING (doc_id)",
     "store_page": f"WITH {_FUSED} SELECT b.doc_id, '' AS title, md5(coalesce(text, '')) AS content_md5 FROM best b JOIN documents d USING (doc_id)",
+    "snippet_start": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+heads AS (SELECT *, left(t, list_max(list_filter(range(301), lambda k: octet_length(encode(left(t, k))) <= 300))) AS head FROM d),
+ends AS (SELECT *, list_max(list_transform(['。', '，', '！', '？', ',', '.', '!', '?', ' '], lambda m: CASE WHEN strpos(reverse(head), m) > 0 THEN length(head) - strpos(reverse(head), m) ELSE -1 END)) AS soft FROM heads)
+SELECT doc_id, CASE WHEN octet_length(encode(t)) <= 300 THEN t
+  WHEN soft >= 0 AND octet_length(encode(left(head, soft))) > octet_length(encode(head)) * 2 // 3 THEN left(head, soft) || '...' ELSE head || '...' END AS abstract FROM ends""",
     "keyword_pos": f"""WITH {_COUNTS}, {_QUERY}, words AS (SELECT term FROM picked UNION ALL SELECT '{ABSENT}'),
 found AS (SELECT doc_id, text, strpos({_LOWER_TEXT}, term) AS p FROM documents, words)
 SELECT doc_id, min(CASE WHEN p > 0 THEN octet_length(encode(left(text, (p - 1)::BIGINT))) END)::BIGINT AS pos FROM found GROUP BY doc_id""",

@@ -109,3 +109,15 @@ def test_four_digits_are_exact(spark):
     assert got == want
     odd = spark.createDataFrame([(None,), (float("nan"),), (2.0**40,)], "x double").select(tx.four_digits(F.col("x"))).collect()
     assert [x[0] for x in odd] == [None, "NaN", "1099511627776.0000"]
+
+
+def test_snippets_as_expressions(spark):
+    r = random.Random(5)
+    parts = ["word ", "é", "漢字", "。", "\n", ". ", "! ", "? ", ",", "𝔸", "x" * 40, "Key", "sentence end. ", "，", " "]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 160))) for _ in range(300)] + [None, "", "a" * 300, "a" * 301, "é" * 151, "漢" * 200, "x" * 500 + "key", "key" + "x" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for keys, size in ((["key", "none"], 300), (["字", ""], 60), ([], 300), (["KEY"], 7)):
+        from seekmill.functions.snippet import snippet_column
+
+        got = [x["s"] for x in df.select("i", snippet_column(F.col("t"), keys, size).alias("s")).orderBy("i").collect()]
+        assert got == [snippet(t, keys, size) for t in texts]

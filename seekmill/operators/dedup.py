@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekmill.functions.text import hamming
-from seekmill.sources.shared import checkpointed
+from seekmill.sources.shared import checkpointed, discard, written
 
 BITS = 64
 
@@ -126,14 +126,16 @@ def keep_first(hashes: DataFrame, distance: int = 3, blocks: int | None = None,
     first = hashes.groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     kept = first.join(edges.select(F.col("j").alias("doc_id")).distinct(), "doc_id", "left_anti")
     newly, open_edges = kept, edges
+    former: list[DataFrame] = []  # of the round before, whose tables no later one reads
     while open_edges.count() > local:
         gone = open_edges.join(newly.select(F.col("doc_id").alias("i")), "i", "left_semi").select("j").distinct()
         # edges from or to a dropped document decide nothing any more
         left = open_edges.join(gone, "j", "left_anti").join(gone.select(F.col("j").alias("i")), "i", "left_anti")
         waiting = open_edges.select("j").distinct().join(gone, "j", "left_anti")
-        newly = checkpointed(waiting.join(left.select("j").distinct(), "j", "left_anti").select(F.col("j").alias("doc_id")))
-        open_edges = checkpointed(left)
-        kept = checkpointed(kept.unionByName(newly))
+        newly = written(waiting.join(left.select("j").distinct(), "j", "left_anti").select(F.col("j").alias("doc_id")))
+        open_edges, kept = written(left), written(kept.unionByName(newly))
+        discard(*former)
+        former = [newly, open_edges, kept]
     last = open_edges.repartition(1).sortWithinPartitions("j", "i").mapInArrow(_walk, "doc_id long")
     return kept.unionByName(last)
 

@@ -27,6 +27,24 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/seekmill-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for rounds that replace one another: ``discard`` deletes it."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing reads any more; others stay."""
+    for table in tables:
+        session = table.sparkSession
+        jvm, folder = session.sparkContext._jvm, shared_folder(session)
+        for name in {f.rpartition("/")[0].rpartition("/")[2] for f in table.inputFiles()}:
+            if name.startswith("seekmill-"):
+                path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+                path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:

@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from seekmill.operators import dedup, hot, index, lexicon, search, suggest
+from seekmill.sources.shared import shared_folder
 
 DOCS = [(1, "apple banana apple"), (2, "banana cherry"), (3, "cherry durian apple"), (4, "fig")]
 
@@ -178,7 +180,10 @@ def test_a_long_chain_of_neighbours(spark, local):
             chain.append(h)
     hashes = [(k, h - (1 << 64) if h >> 63 else h) for k, h in enumerate(chain)]
     df = spark.createDataFrame(hashes, "doc_id long, h long")
+    tables = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file://")).glob("seekmill-*")}
+    before = tables()
     assert {x["doc_id"] for x in dedup.keep_first(df, local=local).collect()} == set(range(0, 500, 2))
+    assert len(tables() - before) == (0 if local > 500 else 3)  # a round's tables go once the next has its own
 
 
 def test_blocks_follow_the_number_of_fingerprints():

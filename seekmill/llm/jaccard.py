@@ -6,8 +6,8 @@
 3. A shuffle on band hashes finds buckets with several representatives, as one star of edges a
    bucket, and the components of these stars bound who can be linked with whom.
 4. Only texts of representatives in such components are read again. Their sets meet by component;
-   a component over ``block`` members is dealt by blocks, or by its buckets and their blocks where
-   that ships less, so each task holds two blocks at most and every candidate pair meets.
+   a component over ``block`` members or ``BLOCK_BYTES`` of sets is dealt by blocks, or by its buckets and
+   their blocks where that ships less, so each task holds two blocks at most and every candidate pair meets.
 5. A task compares all pairs of its blocks by inverted lists and matrix products and returns per
    document its number of links and one edge of a spanning forest: rows grow with documents, not pairs.
 
@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from seekmill.llm.components import connected_components
 from seekmill.llm.shingles import SIZE, mix, shingle_set
-from seekmill.llm.storage import materialize
+from seekmill.llm.storage import materialize, unused
 
 SIGNED = "doc_id long, n int, s1 long, s2 long, bands array<long>"
-BROADCAST_ROWS, SALTS = 1 << 16, 64
+BROADCAST_ROWS, SALTS, BLOCK_BYTES = 1 << 16, 64, 4 << 20
 VERIFIED = "rep long, links long, root long, unit long, giant boolean, other long"
 
 
@@ -274,20 +274,23 @@ def _compared(docs: DataFrame, threshold: float, size: int, recall: float, block
     sets = every.where(F.col("n") > 0)
     equal = sets.groupBy(*key).agg(F.min("doc_id").alias("rep"), mult.alias("mult"))
     reps = materialize(equal.join(sets.select(F.col("doc_id").alias("rep"), "bands"), "rep"))
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("c"), F.min("rep").alias("head")).where(F.col("c") > 1)
+    banded = reps.select("rep", "n", F.explode("bands").alias("band"))
+    # blocks by members and by bytes of their sets
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("n") * 8 / BLOCK_BYTES))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("c"), F.min("rep").alias("head"), blocks.alias("bb")).where(F.col("c") > 1)
     inside = materialize(banded.join(buckets, "band"))
     parts = connected_components(inside.select(F.col("rep").alias("u"), F.col("head").alias("v")))
-    parts = materialize(parts.select(F.col("node").alias("rep"), F.col("component").alias("part")))
-    per_part = parts.groupBy("part").agg(F.count("*").alias("m")).withColumn("pb", F.ceil(F.col("m") / block))
+    sizes = inside.groupBy("rep").agg(F.max("n").alias("n"))
+    parts = materialize(parts.select(F.col("node").alias("rep"), F.col("component").alias("part")).join(sizes, "rep"))
+    per_part = parts.groupBy("part").agg(F.count("*").alias("m"), blocks.alias("pb"))
     giants = materialize(per_part.where(F.col("pb") > 1))
 
     large = giants.count()
     small = _by_part(parts, giants, large, "left_anti")
     units = small.select("rep", F.col("part").alias("unit"), F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("own"), F.lit(0).alias("kind"))
     if large:
-        big = _by_part(parts, giants, large)
-        by_bucket = inside.join(big, "rep").withColumn("bb", F.ceil(F.col("c") / block))
+        big = _by_part(parts.drop("n"), giants, large)
+        by_bucket = inside.join(big, "rep")
         shipped = by_bucket.groupBy("part").agg(F.sum("bb").alias("by_bucket"), F.max("m").alias("m"), F.max("pb").alias("pb"))
         whole = materialize(shipped.select("part", (F.col("m") * F.col("pb") <= F.col("by_bucket")).alias("whole")))
         dense = _by_part(big, whole.where("whole"), large)
@@ -348,9 +351,10 @@ def drop_near_copies(docs: DataFrame, threshold: float = 0.8, size: int = SIZE,
     """``docs`` with the least doc_id of each class; rows with null ids stay; columns as they were. Where a
     doc_id repeats, its texts are judged one by one."""
     nodes, names, _ = _compared(docs, threshold, size, recall, block, id_col, text_col)
-    gone = nodes.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone_id"))
+    gone_id, gone_digest = unused(docs, "gone_id", "gone_digest")
+    gone = nodes.where(F.col("class_id") != F.col("doc_id")).select(F.col("doc_id").alias(gone_id))
     # what goes grows with the documents, so it is never broadcast, however little it is here
     if names is None:
-        return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone_id"], "left_anti")
-    gone = gone.join(names, gone["_gone_id"] == names["node"]).select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest"))
-    return docs.join(gone.hint("merge"), (docs[id_col] == gone["_gone_id"]) & (_digest(docs[text_col]) == gone["_gone_digest"]), "left_anti")
+        return docs.join(gone.hint("merge"), docs[id_col] == gone[gone_id], "left_anti")
+    gone = gone.join(names, gone[gone_id] == names["node"]).select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest))
+    return docs.join(gone.hint("merge"), (docs[id_col] == gone[gone_id]) & (_digest(docs[text_col]) == gone[gone_digest]), "left_anti")

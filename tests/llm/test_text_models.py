@@ -62,8 +62,9 @@ def test_common_counts():
     assert jaccard.common_counts(a, b, columns=16).tolist() == want
 
 
-@pytest.mark.parametrize("block", [256, 8])
-def test_join_against_brute_force(spark, block):
+@pytest.mark.parametrize("block,size", [(256, 4 << 20), (8, 4 << 20), (256, 4000)])
+def test_join_against_brute_force(spark, monkeypatch, block, size):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", size)
     r = np.random.default_rng(2)
     rows, i = [], 0
     for size in (1, 2, 5, 40):
@@ -88,6 +89,22 @@ def test_join_odd_tables(spark):
     assert left.columns == ["doc_id", "text", "band"] and sorted(map(repr, (r["doc_id"] for r in left.collect()))) == ["1", "None"]
 
 
+def test_long_texts_of_one_component_meet_in_small_blocks(spark):
+    """Sets of 0.3 MB each: 24 of them are two blocks by their bytes."""
+    r = np.random.default_rng(8)
+    base = [f"w{x}" for x in r.integers(0, 1 << 30, 40_000)]
+    rows = []
+    for i in range(24):
+        t = list(base)
+        for at in r.integers(0, len(t), 200 * (i % 4)):
+            t[at] = f"v{i}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame([(i, t, "") for i, t in rows], "doc_id long, text string, gone_id string")
+    assert join(df) == brute(rows)
+    left = jaccard.drop_near_copies(df)
+    assert left.columns == df.columns and {x["doc_id"] for x in left.collect()} == {c for _, c, _ in brute(rows)}
+
+
 @pytest.mark.parametrize("block", [256, 4])
 def test_every_text_of_a_repeated_doc_id_is_compared(spark, block):
     r = np.random.default_rng(6)
@@ -212,6 +229,28 @@ def test_the_sample_is_bounded_by_rows(spark):
     assert len(few) == 20 and sum(r["text"].startswith("kurz") for r in few) == 10 and sum(r["aside"] for r in few) == 4
 
 
+def test_letters_beyond_16_bits_are_letters(spark):
+    m = model_of({"a": "the cat sat on the mat", "b": "und das haus"})
+    for point in (0x20020, 0x10020, 0x20000, 0x2000A, 0x1D538):
+        assert chr(point).isalpha() and langid.BLANK not in langid.codes(chr(point)).tolist()
+        assert m.decide(*m.measure(chr(point)))[0] in ("a", "b")
+    assert m.decide(*m.measure("\U0001F600"))[0] == "und"
+
+
+def test_ties_go_to_the_first_language_by_name():
+    m = model_of({"b": "the cat sat on the mat", "a": "the cat sat on the mat", "c": "the cat sat on the mat"})
+    lang, score, _, _ = m.decide(*m.measure("the cat"))
+    assert lang == "a" and score == pytest.approx(1 / 3)
+
+
+def test_drop_unrecognised_stands_any_column_name(spark):
+    names = ["lm_rejected", "_lm_rejected", "LM_SCORE", "score", "rejected"]
+    rows = [(1, "the cat sat on the mat " * 5), (2, "77"), (3, "le chat est sur la table " * 5)]
+    df = spark.createDataFrame([(*r, "en" if r[0] < 3 else "fr", *["x"] * len(names)) for r in rows * 9], ["doc_id", "text", "lang", *names])
+    left = langid.drop_unrecognised(df, langid.train(df))
+    assert left.columns == df.columns and {r["doc_id"] for r in left.collect()} == {1, 3}
+
+
 def test_identify_odd_tables(spark):
     schema = "doc_id long, text string, lang string, score string"
     empty = spark.createDataFrame([], schema)

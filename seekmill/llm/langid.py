@@ -4,7 +4,7 @@ One model of ``ORDER`` characters a language. Texts become lower-case letters wi
 between runs of them; each character is predicted from the three before it. The n-grams of all
 languages share sorted arrays of hashes with a row of log probabilities (one column a language), so
 one lookup serves all models; contexts have a row of interpolation weights. The language with the
-lowest cross-entropy a character wins.
+lowest cross-entropy a character wins, of equal ones the first by name.
 
 Learning uses a bounded sample: per language the ``per_language`` labelled rows of lowest hash,
 those of at most ``long`` characters first; a fifth of them is set aside to calibrate. Calibration
@@ -46,13 +46,19 @@ def _letters() -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
+def folded(point: int) -> int:
+    """The 16-bit code of a letter beyond U+FFFF: its low bits, where these are no letter's place of a blank or zero."""
+    low = point & 0xFFFF
+    return 1 if low in (0, BLANK) else low
+
+
 def codes(text: str, last: int = BLANK) -> np.ndarray:
     """Letters and single blanks of ``text`` as 16-bit codes; ``last`` is the code before it."""
     if not _TABLE:
         _TABLE.append(_letters())
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     if points.size and points.max() > 0xFFFF:
-        low = np.array([c if c <= 0xFFFF else (c & 0xFFFF) or 1 if chr(c).isalpha() else BLANK for c in points.tolist()], np.uint32)
+        low = np.array([c if c <= 0xFFFF else folded(c) if chr(c).isalpha() else BLANK for c in points.tolist()], np.uint32)
         out = np.where(points > 0xFFFF, low, _TABLE[0][np.minimum(points, 0xFFFF)]).astype(np.uint16)
     else:
         out = _TABLE[0][points]
@@ -313,5 +319,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", carry: tuple
 
 def drop_unrecognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that identification rejects; columns as they were."""
-    found = identify(docs, model, text_col, tuple(docs.columns), "_lm_")
-    return found.where(~F.col("_lm_rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "lm_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    found = identify(docs, model, text_col, tuple(docs.columns), prefix)
+    return found.where(~F.col(f"{prefix}rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])

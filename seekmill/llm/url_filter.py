@@ -7,11 +7,10 @@ scheme, user, port, fragment and trailing slash. List values are brought to the
 with or without a scheme, so entries that differ in form only are one.
 
 Captures are first reduced to distinct (host, day), so a hot host costs a row a day; only those are
-expanded to domain suffixes. Both joins are plain equi-joins that AQE can split or broadcast by size.
+expanded to domain suffixes, of as many labels as the longest listed domain has. Both joins are plain equi-joins that AQE can split or broadcast by size.
 
 Cases: entries of one key and day count once, and ``remove`` wins over ``add``; a null or
-unparsable URL, a host over 253 characters (no DNS name is longer) or a null fetch day matches
-nothing and is not blocked; an entry without a host counts for nothing; repeated captures are each answered; an empty list blocks nothing. Of
+unparsable URL or a null fetch day matches nothing and is not blocked; an entry without a host counts for nothing; repeated captures are each answered; an empty list blocks nothing. Of
 several active entries the URL's own is reported, else the longest domain. Other columns are ignored.
 """
 
@@ -26,7 +25,7 @@ def host_of(url: Column) -> Column:
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\]*)", 1)
     host = F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), ":[0-9]*$", ""))
     host = F.regexp_replace(host, r"\.$", "")
-    return F.when((F.length(host) > 0) & (F.length(host) <= 253), host)
+    return F.when(F.length(host) > 0, host)
 
 
 def address_of(url: Column) -> Column:
@@ -61,11 +60,13 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     listed = intervals(entries)
 
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    first = F.greatest(F.lit(1), F.size(labels) - F.col("most") + 1)
+    suffixes = F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     seen = caps.where(F.col("host").isNotNull() & F.col("fetch_day").isNotNull()).select("host", "fetch_day").distinct()
     domains = listed.where(F.col("kind") == "domain").select(F.col("value").alias("suffix"), "valid_from", "valid_to")
+    most = domains.agg(F.max(F.size(F.split("suffix", r"\."))).alias("most"))  # one row
     verdicts = (
-        seen.select("host", "fetch_day", F.explode(suffixes).alias("suffix"))
+        seen.crossJoin(F.broadcast(most)).where(F.col("most").isNotNull()).select("host", "fetch_day", F.explode(suffixes).alias("suffix"))
         .join(domains, "suffix")
         .where(_active(F.col("fetch_day")))
         .groupBy("host", "fetch_day")

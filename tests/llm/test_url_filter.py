@@ -25,7 +25,7 @@ def parts(url):
     if not m:
         return None, None
     host = re.sub(r"\.$", "", re.sub(r":[0-9]*$", "", re.sub(r"^.*@", "", m[2])).lower())
-    return (host, host + re.sub("/$", "", m[3])) if 0 < len(host) <= 253 else (None, None)
+    return (host, host + re.sub("/$", "", m[3])) if host else (None, None)
 
 
 def brute(captures):

@@ -1,17 +1,18 @@
 """Exact top-k inner-product search by a ball tree per shard.
 
-Vectors fall into hash shards of about ``shard_rows``; a task builds the ball tree of its shard and
-then streams queries in batches. A node's inner products with ``q`` are at most
-``q . centre + |q| * radius``, and a leaf's bound is the least over its ancestors. Each query visits
-leaves from the highest bound down and stops at the first that its kth score excludes.
+Vectors fall into cells by their nearest pivot, a bounded sample of the vectors, and a cell that is larger than the
+average into hash shards; a task builds the ball tree of its shard and then streams queries in
+batches. A node's inner products with ``q`` are at most ``q . centre + |q| * radius``, and a leaf's bound is
+the least over its ancestors. Each query visits leaves from the highest bound down and stops at the
+first that its kth score excludes.
 
 The kth score is shared over shards in two rounds: every query first searches one shard only (its
-home); the score of its kth hit there goes along to all other shards, which prune with it from the
-start and return hits of at least that score. Queries are streamed in blocks and not broadcast, so
-memory is a shard and a batch, however many queries there are.
+home); then each cell's ball, one row a cell that all tasks get, gives a bound, and the query goes to the shards
+of those cells only whose bound reaches the score of its kth hit at home, along with that score.
+Queries are streamed in blocks and not broadcast, so memory is a shard and a batch, however many queries there are.
 
-Components become ``floor(scale * x)``; sums are exact in doubles while scores stay below 2**53. Larger
-scores are rounded to doubles, and those beyond a long's range come back as its nearest end.
+Components become ``floor(scale * x)``. Where norms allow sums of 2**53 or more, scores are summed as whole
+numbers of any size; those beyond a long's range come back as its nearest end.
 
 Cases: vectors that are null or hold null or non-finite components, and rows with a null id, take no
 part; rows that share an id count once, with the greatest vector; vectors meet only vectors of equal
@@ -21,6 +22,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +36,9 @@ from seekmill.llm.storage import materialize
 HITS = "query_id long, vec_id long, score long"
 LEAF = 128
 BATCH = 512
+MOST_CELLS = 1024
 VECTOR, QUERY = 0, 1
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 @dataclass
@@ -116,7 +120,19 @@ class BallTree:
                 who[q] = np.take_along_axis(names, top, axis=1)
                 least[q] = np.maximum(least[q], best[q, -1])
         row, col = np.nonzero(best > -np.inf)
-        return row, who[row, col], np.clip(np.rint(best[row, col]), -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+        return row, who[row, col], np.rint(best[row, col]).astype(np.int64)
+
+    def inexact(self, queries: np.ndarray) -> np.ndarray:
+        """Queries some of whose sums here may be 2**53 or more."""
+        with np.errstate(over="ignore"):
+            longest = np.sqrt((self.vectors**2).sum(axis=1)).max()
+            return ~(np.sqrt((queries**2).sum(axis=1)) * longest < 2.0**52)
+
+    def search_whole(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """(id, score) of one query's best ``k``, in whole numbers."""
+        q = [int(x) for x in query.tolist()]
+        scores = ((sum(a * int(b) for a, b in zip(q, v, strict=True)), i) for i, v in zip(self.ids.tolist(), map(np.ndarray.tolist, self.vectors), strict=True) if i != query_id)
+        return [(i, score) for score, i in heapq.nsmallest(k, ((min(max(s, LOW), HIGH), i) for s, i in scores), key=lambda x: (-x[0], x[1]))]
 
 
 def _search(k: int):
@@ -149,8 +165,12 @@ def _search(k: int):
                     continue
                 own = [w for w in waiting if w[1].shape[1] == dim]
                 q, v, floor = (np.concatenate([w[i] for w in own]) for i in range(3))
-                row, who, score = trees[dim].search(q, v, k, floor)
-                yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(who), pa.array(score)], names=names)
+                large = trees[dim].inexact(v)
+                row, who, score = trees[dim].search(q[~large], v[~large], k, floor[~large])
+                yield pa.RecordBatch.from_arrays([pa.array(q[~large][row]), pa.array(who), pa.array(score)], names=names)
+                for at in np.flatnonzero(large).tolist():
+                    hits = trees[dim].search_whole(int(q[at]), v[at], k)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(q[at])] * len(hits), pa.int64()), pa.array([i for i, _ in hits], pa.int64()), pa.array([x for _, x in hits], pa.int64())], names=names)
             waiting.clear()
 
         for batch in batches:
@@ -197,6 +217,118 @@ def _round(vectors: DataFrame, queries: DataFrame, parts: int, k: int) -> DataFr
     return met.mapInArrow(_search(k), HITS)
 
 
+@dataclass
+class Cells:
+    """Pivots of each length of vectors, and of every cell its length, radius, and shards."""
+
+    pivots: dict[int, tuple[int, np.ndarray]]  # length -> first cell, matrix
+    dims: np.ndarray
+    radii: np.ndarray
+    shards: list[list[int]]
+
+    def bounds(self, dim: int, queries: np.ndarray) -> np.ndarray:
+        """Upper bounds of each query's inner products with each cell; a cell of vectors of another length has none."""
+        out = np.where(self.dims[None, :] == dim, np.inf, -np.inf).repeat(len(queries), axis=0)
+        if dim in self.pivots:
+            first, pivots = self.pivots[dim]
+            at = slice(first, first + len(pivots))
+            with np.errstate(over="ignore", invalid="ignore"):
+                norms = np.sqrt((queries**2).sum(axis=1))
+                found = queries @ pivots.T + norms[:, None] * self.radii[None, at]
+                found += 1e-9 * (1 + np.abs(found))  # for rounding
+            out[:, at] = np.where(np.isnan(found), np.inf, found)
+        return out
+
+
+def _nearest(pivots: dict[int, tuple[int, np.ndarray]], others: dict[int, int]):
+    """(vec_id, v) -> with the cell of the nearest pivot and the distance from it; lengths without a pivot have a cell of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            cell, away = np.zeros(len(sizes), np.int32), np.full(len(sizes), np.inf)
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                if dim not in pivots:
+                    cell[at] = others[dim]
+                    continue
+                first, centres = pivots[dim]
+                v = lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), dim)
+                for lo in range(0, len(at), BATCH):
+                    part = v[lo : lo + BATCH]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        squares = (centres**2).sum(axis=1)[None, :] - 2 * (part @ centres.T)
+                        best = np.where(np.isnan(squares), np.inf, squares).argmin(axis=1)
+                        cell[at[lo : lo + BATCH]] = first + best
+                        away[at[lo : lo + BATCH]] = np.sqrt(((part - centres[best]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(cell), pa.array(away)], names=["vec_id", "v", "cell", "away"])
+
+    return run
+
+
+def cells_of(rows: DataFrame, lengths: list[int], wanted: int) -> tuple[DataFrame, Cells]:
+    """(vec_id, v, shard) of all vectors, an id once, and the cells: ``wanted`` pivots at most, the vectors of lowest hash."""
+    spark = rows.sparkSession
+    sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(wanted).collect()
+    by_dim: dict[int, list[list[float]]] = {}
+    for r in sample:
+        by_dim.setdefault(len(r["v"]), []).append(r["v"])
+    pivots, first = {}, 0
+    for dim, vs in sorted(by_dim.items()):
+        pivots[dim] = first, np.array(vs)
+        first += len(vs)
+    others = {dim: first + i for i, dim in enumerate(sorted(set(lengths) - set(pivots)))}
+    near = materialize(rows.select("vec_id", "v").mapInArrow(_nearest(pivots, others), "vec_id long, v array<double>, cell int, away double"))
+    if near.groupBy("vec_id").count().where("count > 1").limit(1).count():
+        once = near.groupBy("vec_id").agg(F.max(F.struct("v", "cell", "away")).alias("most"))
+        near = materialize(once.select("vec_id", "most.v", "most.cell", "most.away"))
+    total = first + len(others)
+    stats = {r["cell"]: r for r in near.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
+    average = -(-sum(r["n"] for r in stats.values()) // max(1, len(sample)))
+    shards, at = [], 0
+    for c in range(total):
+        parts = -(-stats[c]["n"] // average) if c in stats else 0
+        shards.append(list(range(at, at + parts)))
+        at += parts
+    dims = np.zeros(total, np.int64)
+    for dim, (low, vs) in pivots.items():
+        dims[low : low + len(vs)] = dim
+    for dim, c in others.items():
+        dims[c] = dim
+    cells = Cells(pivots, dims, np.array([stats[c]["radius"] * (1 + 1e-9) if c in stats else 0.0 for c in range(total)]), shards)
+    begin, count = (F.get(F.lit(x), F.col("cell")) for x in ([s[0] if s else 0 for s in shards], [max(1, len(s)) for s in shards]))
+    return near.select("vec_id", "v", (begin + F.pmod(F.xxhash64("vec_id"), count)).cast("int").alias("shard")), cells
+
+
+def _elsewhere(shared):
+    """Queries (vec_id, v, shard, kth) -> a row for each further shard that may hold a hit of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        shards = [np.array(s, np.int32) for s in cells.shards]
+        for batch in batches:
+            lists = batch.column(1)
+            sizes, home = np.diff(lists.offsets.to_numpy()), batch.column(2).to_numpy()
+            floor = batch.column(3).to_numpy(zero_copy_only=False)
+            for dim in np.unique(sizes).tolist():
+                every = np.flatnonzero(sizes == dim)
+                for lo in range(0, len(every), BATCH):
+                    at = every[lo : lo + BATCH]
+                    v = lists.take(pa.array(at)).flatten().to_numpy().reshape(len(at), dim)
+                    go = (cells.dims[None, :] == dim) & (cells.bounds(dim, v) >= floor[at][:, None])
+                    rows, to = [], []
+                    for i, own in enumerate(go):
+                        found = np.concatenate([shards[c] for c in np.flatnonzero(own)] or [np.zeros(0, np.int32)])
+                        found = found[found != home[at[i]]]
+                        rows += [at[i]] * len(found)
+                        to.append(found)
+                    take = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)), batch.column(0).take(take), lists.take(take), batch.column(3).take(take)], names=["shard", "vec_id", "v", "floor"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64, shard_rows: int = 1 << 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the rows where ``is_query`` (a column of the integer ``vec_id``)."""
     spark = vectors.sparkSession
@@ -206,20 +338,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64,
     raw = F.col(vector_col)
     sound = F.col(id_col).isNotNull() & raw.isNotNull() & (F.size(raw) > 0)
     sound &= F.forall(raw, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = materialize(vectors.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")))
-    n = rows.count()
-    cores = spark.sparkContext.defaultParallelism
-    shards = max(1, -(-n // shard_rows), min(cores, -(-n // 2048)))
-    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    rows = rows.withColumn("shard", home)
-    parts = max(shards, 1)
-    asked = rows.where(is_query).groupBy("vec_id", "shard").agg(F.max("v").alias("v"))
+    rows = vectors.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    lengths = {r["n"]: r["count"] for r in rows.groupBy(F.size("v").alias("n")).count().collect()}
+    n, cores = sum(lengths.values()), spark.sparkContext.defaultParallelism
+    rows, cells = cells_of(rows, list(lengths), min(MOST_CELLS, max(1, -(-n // shard_rows), min(cores, -(-n // 2048)))))
+    parts = max(1, sum(map(len, cells.shards)))
+    asked = rows.where(is_query)
 
     first = materialize(_round(rows, asked.withColumn("floor", F.lit(float("-inf"))), parts, k))
     kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
     known = asked.join(kth.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
-    others = F.array_remove(F.sequence(F.lit(0), F.lit(shards - 1)), F.col("shard"))
-    rest = known.select(F.explode(others).alias("shard"), "vec_id", "v", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("floor"))
+    known = known.select("vec_id", "v", "shard", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("floor"))
+    rest = known.mapInArrow(_elsewhere(spark.sparkContext.broadcast(cells)), "shard int, vec_id long, v array<double>, floor double")
     hits = first.unionByName(_round(rows, rest, parts, k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -194,7 +194,46 @@ def test_scores_beyond_a_long_are_its_ends(spark):
     rows = [(0, [1e30, 0.0]), (1, [1e30, 1.0]), (2, [-1e30, 0.0]), (3, [0.0, 3.4e38])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).orderBy("rank").collect()]
-    assert got == [(1, 1, 2**63 - 1024), (2, 3, 0), (3, 2, -(2**63))]
+    assert got == [(1, 1, 2**63 - 1), (2, 3, 0), (3, 2, -(2**63))]
+
+
+def test_large_scores_are_exact(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in r.integers(-(1 << 22), 1 << 22, 6)]) for i in range(300)]
+    rows += [(1000 + i, [float(x) for x in r.integers(-9, 9, 6)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    good = {i: [int(64 * x) for x in v] for i, v in rows}
+    want = set()
+    for q in (i for i in good if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(good[q], w)), i) for i, w in good.items() if i != q)[:20]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert max(abs(s) for *_, s in want) > 1 << 54
+    got = {(x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(df, F.col("vec_id") % 20 == 0, shard_rows=50).collect()}
+    assert got == want
+
+
+def test_cells_bound_their_vectors_and_spare_queries(spark):
+    r = np.random.default_rng(10)
+    centres = 100 * r.normal(size=(6, 8))
+    rows = [(i, np.floor(centres[i % 6 if i > 900 else 0] + r.normal(size=8)).tolist()) for i in range(2400)]
+    df = spark.createDataFrame([*rows, (5000, [1.0]), (5000, [2.0]), (5001, [7.0, 7.0])], "vec_id long, v array<double>")
+    near, cells = topk.cells_of(df, [1, 2, 8], 12)
+    found = {x["vec_id"]: (x["shard"], x["v"]) for x in near.collect()}
+    assert len(found) == 2402 and found[5000][1] == [2.0]
+    of = {s: c for c, shards in enumerate(cells.shards) for s in shards}
+    q = r.normal(size=(30, 8)) * 100
+    bounds = cells.bounds(8, q)
+    for i, v in rows:
+        assert (q @ np.array(v) <= bounds[:, of[found[i][0]]]).all()
+    for dim in (1, 2):
+        assert np.isneginf(cells.bounds(dim, np.ones((1, dim)))[0][cells.dims != dim]).all()
+    sizes = np.bincount([s for s, _ in found.values()])
+    assert sizes.max() <= 2 * (2403 // 12) and len(sizes) <= 24 + 2
+    shared = spark.sparkContext.broadcast(cells)
+    kth = {i: sorted((float(np.dot(v, w)) for _, w in rows), reverse=True)[20] for i, v in rows[::20]}
+    asked = spark.createDataFrame([(i, found[i][1], found[i][0], f) for i, f in kth.items()], "vec_id long, v array<double>, shard int, floor double")
+    sent = asked.mapInArrow(topk._elsewhere(shared), "shard int, vec_id long, v array<double>, floor double").count()
+    assert sent < 0.7 * len(kth) * (len(sizes) - 1)
 
 
 def test_ball_tree_bounds_hold():

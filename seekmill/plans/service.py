@@ -38,7 +38,7 @@ def build(docs: DataFrame, path: str, stopwords: DataFrame | None = None, texts:
     ``docs`` has doc_id, link, title, content; ``texts`` may hold frames ``cn`` and ``en`` with a column text."""
     spark = docs.sparkSession
     whole = docs.withColumn("text", indexed_text(F.col("title"), F.col("content")))
-    counts = checkpointed(index.term_counts(index.terms(whole, stopwords, tokens=tokens)))
+    counts = checkpointed(index.document_terms(whole, stopwords, tokens=tokens))
     hashes = dedup.simhash(docs, dedup.integer_weights(counts, docs.count()), "content")
     kept = docs.join(dedup.keep_first(hashes, distance), "doc_id", "left_semi")
     ids = kept.select("doc_id", F.col("doc_id").alias("new_id"))

@@ -40,14 +40,16 @@ def embed_documents(docs: DataFrame, load: Callable[[], Callable[[list[str]], np
 def hashed_embeddings(counts: DataFrame, dim: int = 64) -> DataFrame:
     """vec_id, embedding (L2-normalised) of documents by their term counts (doc_id, term, n): a term adds its count, or
     takes it away, at a place that its MD5 names. Sums are integers, so the vector is the same in any order; a
-    document whose terms cancel has no vector. One shuffle by document, with partial sums."""
+    document whose terms cancel has no vector. One shuffle by document, of one row of ``dim`` partial sums a task and document."""
     digest = F.md5(F.col("term").cast("binary"))
     place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim
     signed = F.when(F.substring(digest, 9, 1) < "8", F.col("n")).otherwise(-F.col("n"))
-    sums = counts.groupBy("doc_id", place.alias("place")).agg(F.sum(signed).alias("v"))
-    held = sums.where(F.col("v") != 0).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("at"), F.sum(F.col("v") * F.col("v")).alias("squares"))
-    places = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
-    vector = F.transform(places, lambda i: (F.coalesce(F.try_element_at("at", i), F.lit(0)).cast("double") / F.sqrt("squares")).cast("float"))
+    each = counts.select("doc_id", place.alias("place"), signed.alias("v"))
+    sums = each.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(F.col("place") == i, F.col("v"))), F.lit(0)).alias(f"v{i}") for i in range(dim)])
+    sums = sums.select("doc_id", F.array(*[f"v{i}" for i in range(dim)]).alias("at"))
+    held = sums.withColumn("squares", F.aggregate("at", F.lit(0).cast("long"), lambda s, v: s + v * v)).where(F.col("squares") > 0)
+    # the norm as an array of its own, so that it is taken once a document
+    vector = F.zip_with("at", F.array_repeat(F.sqrt("squares"), dim), lambda v, norm: (v.cast("double") / norm).cast("float"))
     return held.select(F.col("doc_id").alias("vec_id"), vector.alias("embedding"))
 
 

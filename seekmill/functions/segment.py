@@ -9,17 +9,24 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seekmill.sources.shared import checkpointed
+
 BEGIN, MIDDLE, END, SINGLE = range(4)
 #: What may follow a state: a word that began goes on or ends, and after its end another begins.
 FOLLOW = {BEGIN: (MIDDLE, END), MIDDLE: (MIDDLE, END), END: (BEGIN, SINGLE), SINGLE: (BEGIN, SINGLE)}
 UNSEEN = -20.0  # the log probability of what the dictionary never shows
+LONG = 64  # characters of a word from which its further beginnings aren't kept
+KEYED, SLOTS, CHUNK = 8, 1 << 27, 1 << 19  # characters that words are looked up by, bits that tell absent ones, texts checked at once
 
 
 def segment(text: str, log_freq: dict[str, float], longest: int) -> list[str]:
@@ -62,13 +69,15 @@ def segmenter(frequencies: dict[str, int]):
 
 @dataclass
 class Segmenter:
-    """Words' log frequencies, also of all their beginnings (None), and the four states' log probabilities."""
+    """Words' log frequencies, also of all their beginnings (None), and the four states' log probabilities. Of words of over
+    ``LONG`` characters ``words`` has the beginnings up to that many; they themselves stand in ``long`` by the last of those."""
 
     words: dict[str, float | None]
     start: list[float]
     follow: dict[tuple[int, int], float]
     shown: list[dict[str, float]]
     floor: float = field(default=0.0)
+    long: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
 
     def cut(self, text: str) -> list[str]:
         """Words of ``text``, which joined are the text without its white space."""
@@ -100,6 +109,9 @@ class Segmenter:
                 if found is not None:
                     ends[e] = found
                 e += 1
+            for w, value in self.long.get(part[i : i + LONG], ()) if self.long else ():
+                if part.startswith(w, i):
+                    ends[i + len(w)] = value
             for e, value in ends.items():
                 score = best[i] + (self.floor if value is None else value)
                 if score > best[e]:
@@ -112,7 +124,7 @@ class Segmenter:
 
     def _divide(self, loose: str) -> list[str]:
         """Single characters side by side: as they are where the dictionary has their text, else divided by states."""
-        if len(loose) < 2 or self.words.get(loose) is not None:
+        if len(loose) < 2 or self.words.get(loose) is not None or any(w == loose for w, _ in self.long.get(loose[:LONG], ())):
             return list(loose)
         out, at = [], 0
         for i, state in enumerate(self.states(loose), 1):
@@ -142,19 +154,18 @@ class Segmenter:
         return out[::-1]
 
 
-def learn(dictionary: DataFrame, most_bytes: int = 256 << 20) -> Segmenter:
-    """From word, freq. Every task gets the dictionary, so one whose words and beginnings would take more than ``most_bytes``
-    is refused before any of it is collected; the states' counts are a row a character and state."""
-    words = dictionary.where((F.length("word") > 0) & (F.col("freq") > 0)).groupBy("word").agg(F.sum("freq").alias("freq"))
-    size = words.agg(F.sum(F.length("word") * (F.octet_length("word") / 2 + 100))).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"a dictionary of about {size / 1e6:.0f} MB in memory; {most_bytes / 1e6:.0f} MB are allowed")
+def _summed(dictionary: DataFrame) -> DataFrame:
+    return dictionary.where((F.length("word") > 0) & (F.col("freq") > 0)).groupBy("word").agg(F.sum("freq").alias("freq"))
+
+
+def _states(words: DataFrame) -> tuple[Segmenter, float]:
+    """The four states' model and the sum of all frequencies; its counts are a row a character and state."""
     n = F.length("word")
     at = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.when(n == 1, SINGLE).when(i == 1, BEGIN).when(i == n, END).otherwise(MIDDLE).alias("state"), F.substring("word", i, F.lit(1)).alias("ch")))
     shown = words.select("freq", F.inline(at)).groupBy("state", "ch").agg(F.sum("freq").alias("n")).collect()
-    sums = words.agg(
+    *sums, least = words.agg(
         F.sum(F.when(n == 1, F.col("freq"))).alias("single"), F.sum(F.when(n > 1, F.col("freq"))).alias("several"), F.sum(F.when(n == 2, F.col("freq"))).alias("two"),
-        F.sum(F.when(n > 2, F.col("freq"))).alias("longer"), F.sum(F.when(n > 2, F.col("freq") * (n - 3))).alias("inside"),
+        F.sum(F.when(n > 2, F.col("freq"))).alias("longer"), F.sum(F.when(n > 2, F.col("freq") * (n - 3))).alias("inside"), F.min("freq").alias("least"),
     ).first()
     single, several, two, longer, inside = (float(x or 0) for x in sums)
     log = lambda part, of: math.log(part / of) if part > 0 else UNSEEN
@@ -166,12 +177,32 @@ def learn(dictionary: DataFrame, most_bytes: int = 256 << 20) -> Segmenter:
     for r in shown:
         held[r["state"]][r["ch"]] = float(r["n"])
     logs = [{ch: math.log(v / of) for ch, v in s.items()} for s, of in ((s, math.fsum(s.values())) for s in held)]
-    known: dict[str, float | None] = {r["word"]: math.log(r["freq"] / total) for r in words.collect()}
-    floor = min(known.values(), default=0.0) - 1.0
-    for w in list(known):
+    floor = (0.0 if least is None else math.log(least / total)) - 1.0
+    return Segmenter({}, [word[BEGIN], UNSEEN, UNSEEN, word[SINGLE]], follow, logs, floor), total
+
+
+def _knowing(model: Segmenter, frequencies: dict[str, int], total: float) -> Segmenter:
+    """``model`` with the words of ``frequencies``."""
+    known: dict[str, float | None] = {w: math.log(f / total) for w, f in frequencies.items() if len(w) <= LONG}
+    long: dict[str, list[tuple[str, float]]] = {}
+    for w, f in frequencies.items():
+        if len(w) > LONG:
+            long.setdefault(w[:LONG], []).append((w, math.log(f / total)))
+    for w in [*known, *(x + " " for x in long)]:
         for e in range(1, len(w)):
             known.setdefault(w[:e], None)
-    return Segmenter(known, [word[BEGIN], UNSEEN, UNSEEN, word[SINGLE]], follow, logs, floor)
+    return Segmenter(known, model.start, model.follow, model.shown, model.floor, long)
+
+
+def learn(dictionary: DataFrame, most_bytes: int = 256 << 20) -> Segmenter:
+    """From word, freq. Every task gets the dictionary, so one whose words and beginnings would take more than ``most_bytes``
+    is refused before any of it is collected; ``segmented`` takes a dictionary of any size."""
+    words = _summed(dictionary)
+    size = words.agg(F.sum(F.length("word") * (F.octet_length("word") / 2 + 100))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"a dictionary of about {size / 1e6:.0f} MB in memory; {most_bytes / 1e6:.0f} MB are allowed")
+    model, total = _states(words)
+    return _knowing(model, {r["word"]: r["freq"] for r in words.collect()}, total)
 
 
 def learned_tokens(dictionary: DataFrame, most_bytes: int = 256 << 20):
@@ -183,3 +214,83 @@ def learned_tokens(dictionary: DataFrame, most_bytes: int = 256 << 20):
         return texts.map(lambda t: shared.value.cut(t or ""))
 
     return lambda c: run(c)
+
+
+def _slot(key: Column) -> Column:
+    return F.crc32(key.cast("binary")).bitwiseAND(F.lit(SLOTS - 1)) + 1
+
+
+def _taken(keys: DataFrame) -> np.ndarray:
+    """A bit for each of ``SLOTS`` values of a checksum: whether a key has it. Tasks build it in pieces of 4 KB."""
+    at = keys.select(_slot(F.col("key")).alias("at"))
+    rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros((SLOTS // 32768, 4096), np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _lookups(characters: frozenset[str], taken):
+    """The texts of a batch -> the keys of at most ``KEYED`` characters in them that words may begin with or be."""
+
+    def run(table: pa.Table) -> pa.Table:
+        runs: set[str] = set()
+        pieces = {p for t in table.column("text").to_pylist() for p in t.split()}
+        for p in pieces:
+            runs.update("".join(c if c in characters else " " for c in p).split())
+        kept: set[str] = set()
+        new: set[str] = set()
+
+        def check() -> None:
+            texts = list(new - kept)
+            at = np.fromiter((zlib.crc32(x.encode()) for x in texts), np.int64, len(texts)) & (SLOTS - 1)
+            kept.update(texts[i] for i in np.flatnonzero(taken.value[at >> 3] >> (at & 7).astype(np.uint8) & 1))
+            new.clear()
+
+        for r in runs:
+            for i in range(len(r)):
+                new.update(r[i:e] for e in range(i + 1, min(len(r), i + KEYED) + 1))
+                if len(new) > CHUNK:
+                    check()
+        check()
+        keys = pa.array(list(kept), pa.string())
+        return pa.table({"batch": pa.array(np.full(len(keys), table.column("batch")[0].as_py()), pa.int64()), "key": keys})
+
+    return run
+
+
+def _cut(model: Segmenter, total: float):
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        able = _knowing(model, dict(zip(words.column("word").to_pylist(), words.column("freq").to_pylist(), strict=True)), total)
+        done: dict[str, list[str]] = {}
+        out = []
+        for t in texts.column("text").to_pylist():
+            cut: list[str] = []
+            for part in t.split():
+                if part not in done:
+                    done[part] = able._cut_part(part)
+                cut += done[part]
+            out.append(cut)
+        return pa.table({"doc_id": texts.column("doc_id"), "words": pa.array(out, pa.list_(pa.string()))})
+
+    return run
+
+
+def segmented(docs: DataFrame, dictionary: DataFrame, batch: int = 16 << 20) -> DataFrame:
+    """doc_id, words of every text: what ``learn(dictionary).cut`` gives, with a dictionary of any size.
+
+    Texts are dealt in batches of about ``batch`` bytes. A batch asks for the words that begin with a text of its own of ``KEYED``
+    characters, or are a shorter one, by an equi-join, and is cut with those. Keys that no word has are mostly left out before,
+    by a bitmap of 16 MB; it, a row a character and the sums are all that the driver holds."""
+    context = docs.sparkSession.sparkContext
+    words = checkpointed(_summed(dictionary))
+    model, total = _states(words)
+    keyed = words.select(F.substring("word", 1, KEYED).alias("key"), "word", F.col("freq").cast("long").alias("freq"))
+    taken = context.broadcast(_taken(keyed))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(size // batch + 1)).cast("long").alias("batch"))
+    keys = texts.groupBy("batch").applyInArrow(_lookups(frozenset(ch for s in model.shown for ch in s), taken), "batch long, key string")
+    asked = keys.join(keyed, "key").select("batch", "word", "freq")
+    kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("words", T.ArrayType(T.StringType()))])
+    return texts.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(_cut(model, total), kind)

@@ -97,3 +97,23 @@ def test_query_keeps_all_characters(spark, sf):
         out.setdefault(r["doc_id"], []).append(r["word"])
     docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "lower(text) text").collect()
     assert all("".join(out.get(d["doc_id"], [])) == "".join((d["text"] or "").split()) for d in docs)
+
+
+def test_a_dictionary_of_any_size(spark, monkeypatch):
+    long = "ab" * 15000
+    words = {**WORDS, long: 3, long + "c": 2, "中国" * 40: 4, "他们来到": 3}
+    texts = ["中国经济增长 GDP增长 3.5", None, "", " \n", f"x{long}c {long}", "研究生命起源他们来到了杭研大厦", "中国" * 41 + "，大学生活动中" * 3, "gdp大学生活动x"]
+    df = spark.createDataFrame([*enumerate(texts), (0, "国家")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="MB"):
+        sg.learn(frame(spark, words))
+    small = {w: f for w, f in words.items() if len(w) < 1000}
+    monkeypatch.setattr(sg, "CHUNK", 5)
+    for batch in (16 << 20, 40):
+        model = sg.learn(frame(spark, small))
+        want = sorted((i, model.cut(t or "")) for i, t in [*enumerate(texts), (0, "国家")])
+        assert sorted((r["doc_id"], r["words"]) for r in sg.segmented(df, frame(spark, small), batch).collect()) == want
+        got = {r["doc_id"]: r["words"] for r in sg.segmented(df.where("doc_id > 3"), frame(spark, words), batch).collect()}
+        assert got[4] == [f"x{long}c", long]  # one unknown run is more probable than one beside a word
+    assert sg.segmented(df.limit(0), frame(spark, WORDS)).collect() == []
+    none = frame(spark, WORDS).limit(0)
+    assert [r["words"] for r in sg.segmented(df.where("doc_id = 7"), none).collect()] == [sg.learn(none).cut(texts[7])]

@@ -44,3 +44,11 @@ def test_counting_shuffles_nothing(spark, sf):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
         assert all("doc_id" not in line or "term" not in line.split("]")[0] for line in exchanges) and len(exchanges) <= 1, name
+
+
+def test_only_texts_reach_python(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string").unionByName(spark.sql("SELECT 7L AS doc_id, CAST(X'61FF20C3A9' AS STRING) AS text"))
+    want, got = both(df)
+    assert got == want and (7, "�", 1) in got
+    plan = index.document_terms(df)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan

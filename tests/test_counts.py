@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from seekmill.functions.text import tokenize
 from seekmill.operators import dedup, index
 from seekmill.plans import catalogue
+from seekmill.sources.shared import spread
 
 ROWS = [(1, "Apple apple pie ÉCLAIR éclair. 中文中"), (2, None), (3, ""), (4, " \t\n"), (5, "the The a 3.5 3.5 \x0b b"), (6, "x " * 3000 + "y z Z")]
 
@@ -52,3 +53,11 @@ def test_only_texts_reach_python(spark):
     assert got == want and (7, "�", 1) in got
     plan = index.document_terms(df)._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_rows_are_dealt_without_a_sort(spark):
+    cores = spark.sparkContext.defaultParallelism
+    df = spread(spark.range(0, 4000, 1, 1).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x").alias("text")))
+    assert df._jdf.queryExecution().executedPlan().toString().count("RoundRobinPartitioning") == 0
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) == cores and max(sizes) < 2 * 4000 / cores

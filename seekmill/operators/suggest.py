@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekmill.functions.text import max_distance
+from seekmill.sources.shared import written
 
 
 def by_prefix(dictionary: DataFrame, query: str, k: int = 5) -> DataFrame:
@@ -74,27 +77,69 @@ def deletions(word: str, most: int) -> set[str]:
     return {"".join(begin[i] for i in kept) for size in range(max(0, n - most), n + 1) for kept in combinations(range(n), size)}
 
 
-def _keys(column: str, others: list[str]):
-    """Rows with a column ``most`` -> a row a deletion."""
+SLOTS = 26  # leading bits of a key that name its bit in the table of the queries' keys
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hashed_deletions(words: pa.Array, most: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the ``deletions`` of many words: a key is a text's hash, so texts that are equal have equal keys. With
+    ``wanted``, a table of 2 ** ``SLOTS`` bits, only keys whose bit is set."""
+    begins = pc.utf8_rpad(pc.utf8_slice_codeunits(words, 0, KEYED), KEYED, "\0")
+    codes = np.frombuffer("".join(begins.to_pylist()).encode("utf-32-le"), np.uint32).reshape(-1, KEYED).astype(np.uint64) + np.uint64(1)
+    length = np.minimum(pc.utf8_length(words).to_numpy(zero_copy_only=False), KEYED)
+    rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for n, m in {*zip(length.tolist(), most.tolist(), strict=True)}:
+        at = np.flatnonzero((length == n) & (most == m))
+        columns = codes[at].T
+        # texts by how many characters are gone: a character is kept, or goes too
+        texts = [(np.full(len(at), FACTOR), 0)]
+        for i in range(n):
+            texts = [((h ^ (h >> np.uint64(29))) * FACTOR + columns[i], gone) for h, gone in texts] + [(h, gone + 1) for h, gone in texts if gone < m]
+        for h, _ in texts:
+            if wanted is None:
+                rows.append(at), keys.append(h)
+            else:
+                slot = h >> np.uint64(64 - SLOTS)
+                hit = np.flatnonzero(wanted[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+                rows.append(at[hit]), keys.append(h[hit])
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1]))[: len(row)]
+    return row[new], key[new]
+
+
+def _keys(column: str, others: list[str], wanted: np.ndarray | None = None):
+    """Rows with a column ``most`` -> a row a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, most = batch.column(batch.schema.get_field_index(column)).to_pylist(), batch.column(batch.schema.get_field_index("most")).to_pylist()
-            for at in range(0, len(words), 500):
-                found = [sorted(deletions(w, m)) for w, m in zip(words[at : at + 500], most[at : at + 500], strict=True)]
-                rows = pa.array([at + i for i, f in enumerate(found) for _ in f], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f], pa.string()), *(batch.column(batch.schema.get_field_index(c)).take(rows) for c in others)], names=["key", *others])
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                row, key = hashed_deletions(part.column(column), part.column("most").to_numpy(zero_copy_only=False), wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(part.column(c).take(pa.array(row)) for c in others)], names=["key", *others])
 
     return run
 
 
+def _wanted(keys: DataFrame) -> np.ndarray:
+    """The table of the bits that keys name: 8 MB, however many there are."""
+    slot = F.shiftrightunsigned("key", 64 - SLOTS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - SLOTS}) & 63 AS int))")
+    found = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(1 << (SLOTS - 6), np.uint64)
+    table[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return table
+
+
 def batch_corrections(dictionary: DataFrame, queries: DataFrame, k: int = 5, order: str = "intended") -> DataFrame:
     """query, word, freq, dist, rank for many queries: what ``corrections`` gives for each. Words and queries meet by an
-    equi-join on texts with a few characters deleted, and distances are then computed in full."""
-    words = dictionary.select("word", F.col("freq").cast("long").alias("freq"), F.when(F.length("word") <= 2, 2).otherwise(3).alias("most"))
+    equi-join on texts with a few characters deleted, and distances are then computed in full. Of the words' texts only
+    those leave their task that a query may have."""
+    words = dictionary.where(F.col("word").isNotNull()).select("word", F.col("freq").cast("long").alias("freq"), F.when(F.length("word") <= 2, 2).otherwise(3).alias("most"))
     asked = queries.select("query").where(F.col("query").isNotNull()).distinct().withColumn("most", max_distance(F.col("query")))
-    word_keys = words.mapInArrow(_keys("word", ["word", "freq"]), "key string, word string, freq long")
-    query_keys = asked.mapInArrow(_keys("query", ["query", "most"]), "key string, query string, most int")
+    query_keys = written(asked.mapInArrow(_keys("query", ["query", "most"]), "key long, query string, most int"))
+    word_keys = words.mapInArrow(_keys("word", ["word", "freq"], _wanted(query_keys)), "key long, word string, freq long")
     met = word_keys.join(query_keys, "key").where(F.abs(F.length("word") - F.length("query")) <= F.col("most"))
     # candidates are verified where they meet, so few of them move to be made distinct
     near = met.withColumn("dist", F.levenshtein("word", "query", 3)).where((F.col("dist") >= 0) & (F.col("dist") <= F.col("most")))

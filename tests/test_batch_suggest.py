@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,23 @@ def test_prefixes_of_many_queries(spark, words):
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan  # before the rows meet, and after
     assert suggest.batch_prefix(df, asked.limit(0)).collect() == [] and suggest.batch_prefix(df.limit(0), asked).collect() == []
     assert suggest.batch_prefix(df, asked, 0).collect() == [] and suggest.batch_corrections(df.where(F.lit(False)), asked).collect() == []
+
+
+def test_hashed_deletions_are_the_deletions():
+    r = random.Random(4)
+    words = ["", "a", "aa", "é増\U00020000", *("".join(r.choice("abcdé増") for _ in range(r.randrange(0, 14))) for _ in range(300))]
+    allowed = np.array([r.randrange(4) for _ in words])
+    row, key = suggest.hashed_deletions(pa.array(words), allowed)
+    texts = [suggest.deletions(w, m) for w, m in zip(words, allowed.tolist(), strict=True)]
+    assert np.bincount(row, minlength=len(words)).tolist() == [len(t) for t in texts]
+    of_text = {t: suggest.hashed_deletions(pa.array([t]), np.array([0]))[1][0] for t in set().union(*texts)}
+    assert len(set(of_text.values())) == len(of_text)
+    assert {*zip(row.tolist(), key.tolist(), strict=True)} == {(i, int(of_text[t])) for i, found in enumerate(texts) for t in found}
+
+
+def test_few_words_leave_their_task(spark):
+    queries = spark.createDataFrame([("abcdefg", 3)], "query string, most int")
+    keys = queries.mapInArrow(suggest._keys("query", ["query"]), "key long, query string")
+    words = spark.createDataFrame([(f"{i:07d}", 3) for i in range(500)] + [("abcdxfg", 3)], "word string, most int")
+    left = words.mapInArrow(suggest._keys("word", ["word"], suggest._wanted(keys)), "key long, word string")
+    assert left.where("word = 'abcdxfg'").count() >= 1 and left.where("word <> 'abcdxfg'").count() < 500

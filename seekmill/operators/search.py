@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seekmill.operators.index import idf
+from seekmill.sources.shared import written
 
 
 def query_vector(query_terms: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFrame:
@@ -21,6 +22,16 @@ def query_vector(query_terms: DataFrame, frequencies: DataFrame, n_docs: int) ->
     return raw.crossJoin(F.broadcast(norm)).where(F.col("norm") > 0).select("term", "df", (F.col("w") / F.col("norm")).alias("q_weight"))
 
 
+def with_all_terms(counts: DataFrame, vector: DataFrame) -> DataFrame:
+    """The rows of ``counts`` (doc_id, term once a document) of those documents that ``matches`` can find: of all
+    documents only they need weights."""
+    known = vector.where(F.col("df").isNotNull()).select("term")
+    found = counts.join(F.broadcast(known), "term").groupBy("doc_id").agg(F.count("*").alias("found"))
+    needed = F.broadcast(known.agg(F.count("*").alias("needed")))
+    # as a table its size is known, so that counts aren't shuffled for few documents
+    return counts.join(written(found.join(needed, F.col("found") == F.col("needed")).select("doc_id")), "doc_id", "left_semi")
+
+
 def matches(index: DataFrame, vector: DataFrame, strict: bool = False) -> DataFrame:
     """doc_id, score (cosine) of the documents with all terms that any document has; under ``strict``
     a term that none has leaves no result."""

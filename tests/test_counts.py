@@ -61,3 +61,13 @@ def test_rows_are_dealt_without_a_sort(spark):
     assert df._jdf.queryExecution().executedPlan().toString().count("RoundRobinPartitioning") == 0
     sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 4000 and len(sizes) == cores and max(sizes) < 2 * 4000 / cores
+
+
+def test_terms_are_counted_once_a_query(spark, sf, monkeypatch):
+    made = []
+    counted = index.document_terms
+    monkeypatch.setattr(index, "document_terms", lambda *a, **k: made.append(1) or counted(*a, **k))
+    for name in ("hybrid_docs", "sparse_search_blocks", "and_candidates_strict", "hybrid_degraded"):
+        made.clear()
+        catalogue.QUERIES[name](spark, sf)
+        assert len(made) == 1, name

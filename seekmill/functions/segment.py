@@ -26,7 +26,8 @@ BEGIN, MIDDLE, END, SINGLE = range(4)
 FOLLOW = {BEGIN: (MIDDLE, END), MIDDLE: (MIDDLE, END), END: (BEGIN, SINGLE), SINGLE: (BEGIN, SINGLE)}
 UNSEEN = -20.0  # the log probability of what the dictionary never shows
 LONG = 64  # characters of a word from which its further beginnings aren't kept
-KEYED, SLOTS, CHUNK = 8, 1 << 27, 1 << 19  # characters that words are looked up by, bits that tell absent ones, texts checked at once
+KEYED, SLOTS, CHUNK = 16, 1 << 27, 1 << 19  # characters that words are looked up by, bits that tell absent ones, texts checked at once
+WHOLE = re.compile(r"[^\W_]+|.", re.DOTALL)  # what most pieces of text are cut into: runs of letters and digits, other characters alone
 
 
 def segment(text: str, log_freq: dict[str, float], longest: int) -> list[str]:
@@ -230,13 +231,26 @@ def _taken(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _asks(buckets: int):
+    """The texts of a batch -> its distinct pieces of two characters or more by bucket, joined by spaces."""
+
+    def run(table: pa.Table) -> pa.Table:
+        dealt: dict[int, list[str]] = {}
+        for p in sorted({p for t in table.column("text").to_pylist() for p in t.split()}):
+            if len(p) > 1:
+                dealt.setdefault(zlib.crc32(p.encode()) % buckets, []).append(p)
+        batch = pa.array(np.full(len(dealt), table.column("batch")[0].as_py()), pa.int32())
+        return pa.table({"bucket": pa.array(dealt, pa.int32()), "batch": batch, "pieces": pa.array([" ".join(x) for x in dealt.values()], pa.string())})
+
+    return run
+
+
 def _lookups(characters: frozenset[str], taken):
-    """The texts of a batch -> the keys of at most ``KEYED`` characters in them that words may begin with or be."""
+    """The pieces of a bucket -> the keys of at most ``KEYED`` characters in them that words may begin with or be."""
 
     def run(table: pa.Table) -> pa.Table:
         runs: set[str] = set()
-        pieces = {p for t in table.column("text").to_pylist() for p in t.split()}
-        for p in pieces:
+        for p in {p for x in table.column("pieces").to_pylist() for p in x.split(" ")}:
             runs.update("".join(c if c in characters else " " for c in p).split())
         kept: set[str] = set()
         new: set[str] = set()
@@ -254,43 +268,69 @@ def _lookups(characters: frozenset[str], taken):
                     check()
         check()
         keys = pa.array(list(kept), pa.string())
-        return pa.table({"batch": pa.array(np.full(len(keys), table.column("batch")[0].as_py()), pa.int64()), "key": keys})
+        return pa.table({"bucket": pa.array(np.full(len(keys), table.column("bucket")[0].as_py()), pa.int32()), "key": keys})
 
     return run
 
 
 def _cut(model: Segmenter, total: float):
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+    """The pieces of a bucket and the words in them -> for every batch that asked, a line for each piece that is not cut as
+    ``WHOLE`` does: its words, joined by spaces."""
+
+    def run(asked: pa.Table, words: pa.Table) -> pa.Table:
         able = _knowing(model, dict(zip(words.column("word").to_pylist(), words.column("freq").to_pylist(), strict=True)), total)
-        done: dict[str, list[str]] = {}
+        done: dict[str, str | None] = {}
         out = []
-        for t in texts.column("text").to_pylist():
-            cut: list[str] = []
-            for part in t.split():
-                if part not in done:
-                    done[part] = able._cut_part(part)
-                cut += done[part]
-            out.append(cut)
-        return pa.table({"doc_id": texts.column("doc_id"), "words": pa.array(out, pa.list_(pa.string()))})
+        for x in asked.column("pieces").to_pylist():
+            lines: list[str] = []
+            for p in x.split(" "):
+                if p not in done:
+                    cut = able._cut_part(p)
+                    done[p] = None if cut == WHOLE.findall(p) else " ".join(cut)
+                if (line := done[p]) is not None:
+                    lines.append(line)
+            out.append("\n".join(lines))
+        return pa.table({"batch": asked.column("batch"), "lines": pa.array(out, pa.string())})
 
     return run
 
 
+def _spelt(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """The texts of a batch with their pieces' words, by the lines that ``_cut`` gave for it."""
+    known: dict[str, list[str]] = {}
+    for lines in answers.column("lines").to_pylist():
+        for line in lines.split("\n") if lines else ():
+            known[line.replace(" ", "")] = line.split(" ")
+    out = []
+    for t in texts.column("text").to_pylist():
+        cut: list[str] = []
+        for p in t.split():
+            if p not in known:
+                known[p] = WHOLE.findall(p)
+            cut += known[p]
+        out.append(cut)
+    return pa.table({"doc_id": texts.column("doc_id"), "words": pa.array(out, pa.list_(pa.string()))})
+
+
 def segmented(docs: DataFrame, dictionary: DataFrame, batch: int = 16 << 20) -> DataFrame:
     """doc_id, words of every text: what ``learn(dictionary).cut`` gives, with a dictionary of any size.
 
-    Texts are dealt in batches of about ``batch`` bytes. A batch asks for the words that begin with a text of its own of ``KEYED``
-    characters, or are a shorter one, by an equi-join, and is cut with those. Keys that no word has are mostly left out before,
-    by a bitmap of 16 MB; it, a row a character and the sums are all that the driver holds."""
+    Texts are dealt once, in batches of about ``batch`` bytes. A batch sends its distinct pieces between white space to buckets, so
+    that each piece of all texts is cut in one place, and gets back those that are cut otherwise than by ``WHOLE``. A bucket asks for
+    the words that begin with a text of its own of ``KEYED`` characters, or are a shorter one, by an equi-join. Keys that no word has
+    are mostly left out before, by a bitmap of 16 MB; it, a row a character and the sums are all that the driver holds."""
     context = docs.sparkSession.sparkContext
     words = checkpointed(_summed(dictionary))
     model, total = _states(words)
     keyed = words.select(F.substring("word", 1, KEYED).alias("key"), "word", F.col("freq").cast("long").alias("freq"))
     taken = context.broadcast(_taken(keyed))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    batches, buckets = size // batch + 2, max(size // (4 * batch) + 1, context.defaultParallelism)
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(size // batch + 1)).cast("long").alias("batch"))
-    keys = texts.groupBy("batch").applyInArrow(_lookups(frozenset(ch for s in model.shown for ch in s), taken), "batch long, key string")
-    asked = keys.join(keyed, "key").select("batch", "word", "freq")
+    texts = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(batches)).cast("int").alias("batch")).repartitionById(batches, "batch")
+    asks = texts.groupBy("batch").applyInArrow(_asks(buckets), "bucket int, batch int, pieces string").repartitionById(buckets, "bucket")
+    keys = asks.groupBy("bucket").applyInArrow(_lookups(frozenset(ch for s in model.shown for ch in s), taken), "bucket int, key string")
+    asked = keys.join(keyed, "key").select("bucket", "word", "freq").repartitionById(buckets, "bucket")
+    answers = asks.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_cut(model, total), "batch int, lines string").repartitionById(batches, "batch")
     kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("words", T.ArrayType(T.StringType()))])
-    return texts.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(_cut(model, total), kind)
+    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_spelt, kind)

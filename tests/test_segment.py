@@ -117,3 +117,20 @@ def test_a_dictionary_of_any_size(spark, monkeypatch):
     assert sg.segmented(df.limit(0), frame(spark, WORDS)).collect() == []
     none = frame(spark, WORDS).limit(0)
     assert [r["words"] for r in sg.segmented(df.where("doc_id = 7"), none).collect()] == [sg.learn(none).cut(texts[7])]
+
+
+def test_a_piece_is_cut_once_for_all_batches(spark):
+    """What is shuffled doesn't grow with batches times words, and odd pieces and spaces come back as they are cut whole."""
+    r = random.Random(3)
+    words = WORDS | {f"abcdefgh{i}": 2 + i % 7 for i in range(1000, 6000)} | {"été": 3, "the": 900, "_": 2, "a_b": 4}
+    parts = ["the", "été,", "thethe", "a_b_", "ab9", "%%", "中国経済x", "x̂", "\U00020000国", "abcdefgh1234the", "ététhe.", "²三", "他们来到了"]
+    gaps = [" ", "\n", "　", "\x1c", "\x85", " \t "]
+    texts = [None, *("".join(r.choice(parts) + r.choice(gaps) + f"abcdefgh{r.randrange(1000, 1200)} " for _ in range(60)) for _ in range(100))]
+    df, dictionary = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), frame(spark, words)
+    model = sg.learn(dictionary)
+    executors = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    sent = lambda: sum(executors().apply(i).totalShuffleWrite() for i in range(executors().size()))
+    before = sent()
+    got = {x["doc_id"]: x["words"] for x in sg.segmented(df, dictionary, 2000).collect()}
+    assert sent() - before < 1 << 20
+    assert got == {i: model.cut(t or "") for i, t in enumerate(texts)}

@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import math
 import re
+import string
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,7 +29,9 @@ BEGIN, MIDDLE, END, SINGLE = range(4)
 FOLLOW = {BEGIN: (MIDDLE, END), MIDDLE: (MIDDLE, END), END: (BEGIN, SINGLE), SINGLE: (BEGIN, SINGLE)}
 UNSEEN = -20.0  # the log probability of what the dictionary never shows
 LONG = 64  # characters of a word from which its further beginnings aren't kept
-KEYED, SLOTS, CHUNK = 16, 1 << 27, 1 << 19  # characters that words are looked up by, bits that tell absent ones, texts checked at once
+KEYED, SLOTS, CHUNK = 16, 1 << 27, 1 << 20  # characters that words are looked up by, bits that tell absent ones, characters checked at once
+MIX = np.uint64(0x9E3779B97F4A7C15)
+SIGNS = string.punctuation + "，。、；：？！…”’»）》」』"  # none is a letter or digit
 WHOLE = re.compile(r"[^\W_]+|.", re.DOTALL)  # what most pieces of text are cut into: runs of letters and digits, other characters alone
 
 
@@ -79,6 +84,7 @@ class Segmenter:
     shown: list[dict[str, float]]
     floor: float = field(default=0.0)
     long: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
+    top: float = 0.0  # no word's log frequency is greater
 
     def cut(self, text: str) -> list[str]:
         """Words of ``text``, which joined are the text without its white space."""
@@ -102,7 +108,7 @@ class Segmenter:
         run_end = {m.start(): m.end() for m in re.finditer("[0-9A-Za-z]+", part)}
         best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for i in range(n):
-            if best[i] == -math.inf:
+            if best[i] == -math.inf or best[i] + self.top <= best[n]:  # no way on from here beats one that is found
                 continue
             ends = {run_end.get(i, i + 1): None}
             e = i + 1
@@ -189,10 +195,13 @@ def _knowing(model: Segmenter, frequencies: dict[str, int], total: float) -> Seg
     for w, f in frequencies.items():
         if len(w) > LONG:
             long.setdefault(w[:LONG], []).append((w, math.log(f / total)))
+    top = max(chain(known.values(), (value for x in long.values() for _, value in x)), default=model.floor)
     for w in [*known, *(x + " " for x in long)]:
-        for e in range(1, len(w)):
-            known.setdefault(w[:e], None)
-    return Segmenter(known, model.start, model.follow, model.shown, model.floor, long)
+        for e in range(len(w) - 1, 0, -1):
+            if w[:e] in known:  # a word, or the beginning of one, whose own beginnings are added with it
+                break
+            known[w[:e]] = None
+    return Segmenter(known, model.start, model.follow, model.shown, model.floor, long, top)
 
 
 def learn(dictionary: DataFrame, most_bytes: int = 256 << 20) -> Segmenter:
@@ -217,13 +226,37 @@ def learned_tokens(dictionary: DataFrame, most_bytes: int = 256 << 20):
     return lambda c: run(c)
 
 
-def _slot(key: Column) -> Column:
-    return F.crc32(key.cast("binary")).bitwiseAND(F.lit(SLOTS - 1)) + 1
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _beginnings(codes: np.ndarray, fits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """n, places, slots: for n from 1 to ``KEYED``, the texts of n characters that all fit, each by its place and a checksum."""
+    at = np.flatnonzero(fits)
+    value = np.ones(len(at), np.uint64)
+    for n in range(1, KEYED + 1):
+        value = value * MIX + codes[at + n - 1]
+        yield n, at, (((value ^ value >> np.uint64(29)) * MIX) >> np.uint64(37)).astype(np.int64)
+        on = at + n < len(codes)
+        on[on] = fits[at[on] + n]
+        at, value = at[on], value[on]
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slot of every key, from 1."""
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        size = np.fromiter(map(len, keys), np.int64, len(keys))
+        begin, codes = np.cumsum(size) - size, _codes("".join(keys))
+        length = np.zeros(len(codes), np.int64)
+        length[begin] = size
+        found = [slots[length[at] == n] for n, at, slots in _beginnings(codes, np.ones(len(codes), bool))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) + 1)], names=["at"])
 
 
 def _taken(keys: DataFrame) -> np.ndarray:
     """A bit for each of ``SLOTS`` values of a checksum: whether a key has it. Tasks build it in pieces of 4 KB."""
-    at = keys.select(_slot(F.col("key")).alias("at"))
+    at = keys.select("key").mapInArrow(_slots, "at long")
     rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros((SLOTS // 32768, 4096), np.uint8)
     for r in rows.toLocalIterator():
@@ -231,12 +264,16 @@ def _taken(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _asks(buckets: int):
-    """The texts of a batch -> its distinct pieces of two characters or more by bucket, joined by spaces."""
+def _asks(buckets: int, signs: str):
+    """The texts of a batch -> its distinct pieces of two characters or more, without ``signs`` at their ends, by bucket, joined by
+    spaces."""
 
     def run(table: pa.Table) -> pa.Table:
         dealt: dict[int, list[str]] = {}
-        for p in sorted({p for t in table.column("text").to_pylist() for p in t.split()}):
+        pieces: set[str] = set()
+        for t in table.column("text").to_pylist():
+            pieces.update(t.split())
+        for p in sorted({p.rstrip(signs) for p in pieces}):
             if len(p) > 1:
                 dealt.setdefault(zlib.crc32(p.encode()) % buckets, []).append(p)
         batch = pa.array(np.full(len(dealt), table.column("batch")[0].as_py()), pa.int32())
@@ -249,23 +286,26 @@ def _lookups(characters: frozenset[str], taken):
     """The pieces of a bucket -> the keys of at most ``KEYED`` characters in them that words may begin with or be."""
 
     def run(table: pa.Table) -> pa.Table:
-        runs: set[str] = set()
-        for p in {p for x in table.column("pieces").to_pylist() for p in x.split(" ")}:
-            runs.update("".join(c if c in characters else " " for c in p).split())
+        able = np.zeros(0x110000, bool)
+        able[[ord(c) for c in characters if not c.isspace()]] = True
         kept: set[str] = set()
-        new: set[str] = set()
+        new: list[str] = []
+        held = 0
 
         def check() -> None:
-            texts = list(new - kept)
-            at = np.fromiter((zlib.crc32(x.encode()) for x in texts), np.int64, len(texts)) & (SLOTS - 1)
-            kept.update(texts[i] for i in np.flatnonzero(taken.value[at >> 3] >> (at & 7).astype(np.uint8) & 1))
+            text = " ".join(new)
+            codes = _codes(text)
+            for n, at, slots in _beginnings(codes, able[codes]):
+                there = at[taken.value[slots >> 3] >> (slots & 7).astype(np.uint8) & 1 == 1]
+                kept.update(text[i : i + n] for i in there.tolist())
             new.clear()
 
-        for r in runs:
-            for i in range(len(r)):
-                new.update(r[i:e] for e in range(i + 1, min(len(r), i + KEYED) + 1))
-                if len(new) > CHUNK:
-                    check()
+        for p in {p for x in table.column("pieces").to_pylist() for p in x.split(" ")}:
+            new.append(p)
+            held += len(p)
+            if held > CHUNK:
+                check()
+                held = 0
         check()
         keys = pa.array(list(kept), pa.string())
         return pa.table({"bucket": pa.array(np.full(len(keys), table.column("bucket")[0].as_py()), pa.int32()), "key": keys})
@@ -295,42 +335,59 @@ def _cut(model: Segmenter, total: float):
     return run
 
 
-def _spelt(texts: pa.Table, answers: pa.Table) -> pa.Table:
-    """The texts of a batch with their pieces' words, by the lines that ``_cut`` gave for it."""
-    known: dict[str, list[str]] = {}
-    for lines in answers.column("lines").to_pylist():
-        for line in lines.split("\n") if lines else ():
-            known[line.replace(" ", "")] = line.split(" ")
-    out = []
-    for t in texts.column("text").to_pylist():
-        cut: list[str] = []
-        for p in t.split():
-            if p not in known:
-                known[p] = WHOLE.findall(p)
-            cut += known[p]
-        out.append(cut)
-    return pa.table({"doc_id": texts.column("doc_id"), "words": pa.array(out, pa.list_(pa.string()))})
+def _spelt(signs: str):
+    """The texts of a batch with their pieces' words, by the lines that ``_cut`` gave for it. ``signs`` at a piece's end, which no
+    word has, stand alone and leave the way to them as it is."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        given: dict[str, list[str]] = {}
+        for lines in answers.column("lines").to_pylist():
+            for line in lines.split("\n") if lines else ():
+                given[line.replace(" ", "")] = line.split(" ")
+        number: dict[str, int] = {}
+        order: list[int] = []
+        ends = [0]
+        for t in texts.column("text").to_pylist():
+            order += [number.setdefault(p, len(number)) for p in t.split()]
+            ends.append(len(order))
+        words: list[str] = []
+        begins = [0]
+        for p in number:
+            core = p.rstrip(signs)
+            words += given[core] if core in given else WHOLE.findall(core)
+            words += p[len(core) :]
+            begins.append(len(words))
+        at, begin = np.array(order, np.int64), np.array(begins, np.int64)
+        upto = np.append(0, np.cumsum(np.diff(begin)[at]))
+        taken = np.arange(upto[-1]) + np.repeat(begin[at] - upto[:-1], np.diff(upto))
+        lists = pa.ListArray.from_arrays(pa.array(upto[ends], pa.int32()), pa.array(words, pa.string()).take(pa.array(taken)))
+        return pa.table({"doc_id": texts.column("doc_id"), "words": lists})
+
+    return run
 
 
 def segmented(docs: DataFrame, dictionary: DataFrame, batch: int = 16 << 20) -> DataFrame:
     """doc_id, words of every text: what ``learn(dictionary).cut`` gives, with a dictionary of any size.
 
     Texts are dealt once, in batches of about ``batch`` bytes. A batch sends its distinct pieces between white space to buckets, so
-    that each piece of all texts is cut in one place, and gets back those that are cut otherwise than by ``WHOLE``. A bucket asks for
+    that each piece of all texts is cut in one place, and gets back those that are cut otherwise than by ``WHOLE``. Signs at a piece's
+    end that no word has aren't sent. A bucket asks for
     the words that begin with a text of its own of ``KEYED`` characters, or are a shorter one, by an equi-join. Keys that no word has
     are mostly left out before, by a bitmap of 16 MB; it, a row a character and the sums are all that the driver holds."""
     context = docs.sparkSession.sparkContext
     words = checkpointed(_summed(dictionary))
     model, total = _states(words)
+    characters = frozenset(ch for s in model.shown for ch in s)
+    signs = "".join(c for c in SIGNS if c not in characters)
     keyed = words.select(F.substring("word", 1, KEYED).alias("key"), "word", F.col("freq").cast("long").alias("freq"))
     taken = context.broadcast(_taken(keyed))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches, buckets = size // batch + 2, max(size // (4 * batch) + 1, context.defaultParallelism)
     text = F.coalesce("text", F.lit(""))
     texts = docs.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(batches)).cast("int").alias("batch")).repartitionById(batches, "batch")
-    asks = texts.groupBy("batch").applyInArrow(_asks(buckets), "bucket int, batch int, pieces string").repartitionById(buckets, "bucket")
-    keys = asks.groupBy("bucket").applyInArrow(_lookups(frozenset(ch for s in model.shown for ch in s), taken), "bucket int, key string")
+    asks = texts.groupBy("batch").applyInArrow(_asks(buckets, signs), "bucket int, batch int, pieces string").repartitionById(buckets, "bucket")
+    keys = asks.groupBy("bucket").applyInArrow(_lookups(characters, taken), "bucket int, key string")
     asked = keys.join(keyed, "key").select("bucket", "word", "freq").repartitionById(buckets, "bucket")
     answers = asks.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_cut(model, total), "batch int, lines string").repartitionById(batches, "batch")
     kind = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("words", T.ArrayType(T.StringType()))])
-    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_spelt, kind)
+    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_spelt(signs), kind)
